@@ -18,6 +18,31 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(_table(spark, sf_dir, "documents")).drop("phash")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
@@ -32,6 +57,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_media_columns": op3_media_columns,
+    "op5_pii": op5_pii,
     "op6_rendezvous": op6_rendezvous,
     "op7_exact_dedup": op7_exact_dedup,
 }
