@@ -189,14 +189,21 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all their columns: one row of each group of equal texts."""
-    seen = exact_duplicates(docs, key, text).groupBy(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marks = materialize(seen.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1"), "dropped")
+def keep_marked(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (key, text_sha256) is ``kept`` in ``marked``, all their columns; of rows that repeat both, one."""
+    seen = marked.groupBy(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha"))
+    marks = materialize(seen.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1"), "marks")
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.sha2(clean_text(text), 256).alias("_text"))
     on = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
     gone, twice = (broadcast_if_small(marks.where(w)) for w in ("NOT _kept", "_kept"))
     keep = rows.join(gone, on, "left_anti")
+    if marks.where("_kept").isEmpty():
+        return keep.select("_row.*")
     once = keep.join(twice, on, "left_anti").select("_row")
     first = keep.join(twice, on, "left_semi").groupBy("_key", "_text").agg(F.first("_row").alias("_row")).select("_row")
     return once.unionByName(first).select("_row.*")
+
+
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay, all their columns: one row of each group of equal texts."""
+    return keep_marked(docs, exact_duplicates(docs, key, text), key, text)
