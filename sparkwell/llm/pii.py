@@ -242,17 +242,28 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return out if key == "doc_id" else out.withColumnRenamed("doc_id", key)
 
 
-def _redacted(column: str):
+def _redacted(column: str, length: str | None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
         for batch in batches:
             i = batch.schema.get_field_index(column)
-            texts = [t if t is None else redact(t, find_spans(t, automaton)) for t in batch.column(i).to_pylist()]
-            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+            texts = batch.column(i).to_pylist()
+            clean = [t if not t else redact(t, find_spans(t, automaton)) for t in texts]
+            if length is not None:
+                k = batch.schema.get_field_index(length)
+                sizes = [n if a is None or a == b else len(b) for a, b, n in zip(texts, clean, batch.column(k).to_pylist(), strict=True)]
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(sizes, batch.schema.field(k).type))
+            yield batch.set_column(i, batch.schema.field(i), pa.array(clean, batch.schema.field(i).type))
 
     return apply
 
 
-def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with personal data in ``text`` replaced by the name of its kind in brackets; null texts stay null."""
-    return docs.mapInArrow(_redacted(text), docs.schema)
+def redact_pii(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The documents with personal data in ``text`` replaced by the name of its kind in brackets.
+
+    Null texts stay null. Where a text changes, the column ``length``, if there is
+    one of an integer type, becomes its new number of characters.
+    """
+    integers = ("tinyint", "smallint", "int", "bigint")
+    length = length if dict(docs.dtypes).get(length) in integers else None
+    return docs.mapInArrow(_redacted(text, length), docs.schema)
