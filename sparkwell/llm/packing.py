@@ -21,19 +21,24 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import clean_text, materialize, numbered
 
 CAPACITY = 2048
-#: Cached encodings of space-separated chunks in a worker; emptied when full.
-CACHE_CHUNKS = 500_000
+#: Encodings of chunks between spaces, and of words, that a worker remembers; emptied when full.
+CACHE_CHUNKS = 700_000
+#: Characters of text whose new chunks are encoded together.
+BATCH_CHARS = 1 << 20
 #: Share of a length's demand that one step of the weights may cover.
 STEP = 0.2
 #: How far weights fall until a length is covered: exp(-TILT).
@@ -59,37 +64,104 @@ def _segments(text: str, size: int = 1 << 20) -> Iterator[list[str]]:
         at = end + 1
 
 
-def _piece_rows(tokenizer_path: str, capacity: int, end_id: int):
-    """No token of this vocabulary spans a space, and white space gives none, so a text is encoded chunk by chunk, each distinct chunk once."""
-    end = np.array([end_id], "<u4").tobytes()
+#: Fixed value: how this vocabulary's tokenizer cuts lower-case text into words; white space gives none. Null characters, which part chunks here, stand alone.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}\0]+|\0")
+#: What the library must see as it is: characters beyond Latin-1, null characters, and the start of a special token.
+_OTHER = regex.compile(r"[^\x01-\xff]|<\|")
+#: Between the ids of chunks; no id has its upper bytes set.
+_MARK = b"\xff" * 4
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class ChunkEncoder:
+    """Ids of whole texts as bytes, from a tokenizer file of words without white space.
+
+    No token spans a space, so a text is encoded chunk by chunk, each distinct
+    chunk once. A chunk of Latin-1 characters, whose normal form is its lower
+    case, is looked up word by word; the library encodes new words, all other
+    chunks, and those in which a special token may stand.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        cache: dict[str, bytes] = {}
-
-        def encoded(text: str) -> bytes:
-            parts = []
-            for chunks in _segments(text):
-                try:
-                    parts.append(b"".join(map(cache.__getitem__, chunks)))
-                except KeyError:
-                    if len(cache) > CACHE_CHUNKS:
-                        cache.clear()
-                    new = [c for c in dict.fromkeys(chunks) if c not in cache]
-                    for chunk, got in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        cache[chunk] = np.array(got.ids, "<u4").tobytes()
-                    parts.append(b"".join(map(cache.__getitem__, chunks)))
-            return b"".join(parts) + end
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _library_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, in texts of many words: the last token of each word, and no other, is one that ends a word."""
+        texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]) if texts else np.zeros(0, "<u4")
+        cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks, as many at once as there are."""
+        for cache in (self.chunks, self.words):
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
+        new = list(chunks.difference(self.chunks))
+        if _OTHER.search(" ".join(new)):
+            other = [c for c in new if _OTHER.search(c)]
+            self.chunks.update(zip(other, self._library(other), strict=True))
+            new = list(set(new).difference(other))
+        words = _WORDS.findall("\0".join(new).lower())
+        unknown = list(set(words).difference(self.words, "\0"))
+        self.words.update(zip(unknown, self._library_words(unknown), strict=True))
+        self.words["\0"] = _MARK
+        self.chunks.update(zip(new, b"".join(map(self.words.__getitem__, words)).split(_MARK), strict=True) if new else ())
+
+    def _joined(self, chunks: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.chunks.__getitem__, chunks))
+        except KeyError:
+            self.learn(set(chunks))
+            return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return b"".join(map(self._joined, _segments(text)))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each text in order; what is new in about ``BATCH_CHARS`` characters is learned at once."""
+        held: list[str | list[str]] = []
+        size = 0
+        for value in [*texts, None]:
+            if value is not None:
+                text = value.as_py() or ""
+                held.append(text if len(text) > BATCH_CHARS else text.split(" "))
+                size += len(text)
+            if value is None or size >= BATCH_CHARS:
+                self.learn(set().union(*(t for t in held if isinstance(t, list))))
+                for t in held:
+                    yield self._joined(t) if isinstance(t, list) else self.encode(t)
+                held, size = [], 0
+
+
+@lru_cache(1)
+def _encoder(path: str) -> ChunkEncoder:
+    """One for each worker process, which keeps what it has learned from task to task."""
+    return ChunkEncoder(path)
+
+
+def _piece_rows(tokenizer_path: str, capacity: int, end_id: int):
+    end = np.array([end_id], "<u4").tobytes()
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encoded(text.as_py() or ""))
+            for doc, body in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                ids = memoryview(body + end)
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
