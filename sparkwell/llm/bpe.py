@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -27,10 +29,14 @@ from .shared import clean_text
 
 #: Fixed value: the pre-tokenisation pattern of this family of vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for units with null characters between them, which stand alone; white space before one is at its unit's end.
+_PARTED = regex.compile(r"\0|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\0]+|\s+(?![^\s\0])|\s+")
+#: Between the ids of units; no id is as large.
+_MARK = b"\xff" * 4
 _SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 #: Units (text between single spaces), and words, whose ids a worker remembers; emptied when full.
-CACHE_UNITS = 400_000
-CACHE_WORDS = 500_000
+CACHE_UNITS = 700_000
+CACHE_WORDS = 700_000
 #: Up to this many bytes a word is merged by scanning its pairs, beyond by a queue.
 SHORT = 48
 #: Characters of text whose new words are proposed and verified together.
@@ -67,8 +73,8 @@ class SpeculativeBPE:
             self.automaton.add_word(raw(token).decode("latin-1"), i)
         self.automaton.make_automaton()
         self._pairs, self._sound = np.zeros(0, np.int64), np.zeros(0, bool)
-        self._spaced: dict[str, tuple[int, ...]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._spaced: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._packed = {a << 20 | b: rank << 20 | made for (a, b), (rank, made) in self.ranks.items()}
         self.failed = self.verified = 0
 
@@ -131,8 +137,8 @@ class SpeculativeBPE:
             at = np.searchsorted(self._pairs, distinct)
         return self._sound[at][back]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word: proposed and verified together, merged exactly where verification fails."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, 32 bits each: proposed and verified together, merged exactly where verification fails."""
         if not words:
             return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -144,35 +150,44 @@ class SpeculativeBPE:
         sound = self._compatible(np.r_[(ids[:-1][same] << 31) | ids[1:][same], (ids << 31) | _ALONE])
         bad = np.unique(np.r_[word[1:][same], word][~sound])
         cuts = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-        flat = ids.tolist()
-        out = [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for i in bad.tolist():
-            out[i] = self.merge(words[i])
+            out[i] = array("I", self.merge(words[i])).tobytes()
         self.failed += len(bad)
         self.verified += len(words)
         return out
 
     # ------------------------------------------------------------ texts
 
-    def _units(self, units: list[str]) -> list[tuple[int, ...]]:
+    def _units(self, units: list[str]) -> list[bytes]:
         """Ids of texts that stand between sure boundaries; each distinct word is encoded once."""
-        pieces = [PATTERN.findall(u) for u in units]
         known = self._words
         if len(known) > CACHE_WORDS:
             known.clear()
-        if new := [w for w in dict.fromkeys(chain.from_iterable(pieces)) if w not in known]:
-            known.update(zip(new, map(tuple, self.encode_words([w.encode() for w in new])), strict=True))
-        return [known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for p in pieces]
+        joined = "\0".join(units)
+        if joined.count("\0") >= len(units):  # some text has null characters itself
+            pieces = [PATTERN.findall(u) for u in units]
+            words = list(chain.from_iterable(pieces))
+        else:
+            pieces, words = None, _PARTED.findall(joined)
+        known["\0"] = _MARK
+        new = list(set(words).difference(known))
+        known.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        if pieces is not None:
+            known["\0"] = self.encode_words([b"\0"])[0]
+            return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        return b"".join(map(known.__getitem__, words)).split(_MARK) if units else []
 
     @staticmethod
     def _parts(text: str) -> list[str]:
         """No word spans a single space between two other characters but begins with it, so such spaces part the text."""
         return text.split(" ") if "  " not in text else _SINGLE_SPACE.split(text)
 
-    def _remember(self, units: set[str] | list[str]) -> None:
+    def _remember(self, units: set[str]) -> None:
         if len(self._spaced) > CACHE_UNITS:
             self._spaced.clear()
-        new = [u for u in units if u not in self._spaced]
+        new = list(units.difference(self._spaced))
         self._spaced.update(zip(new, self._units([" " + u for u in new]), strict=True))
 
     def learn(self, texts: list[str]) -> None:
@@ -184,13 +199,14 @@ class SpeculativeBPE:
     def _plain(self, text: str, opening: bool) -> list[int]:
         """A text without special tokens."""
         parts = self._parts(text)
-        first = list(self._units(parts[:1])[0]) if opening else []
+        first = self._units(parts[:1]) if opening else []
         rest = parts[1:] if opening else parts
         try:
-            return first + list(chain.from_iterable(map(self._spaced.__getitem__, rest)))
+            ids = b"".join([*first, *map(self._spaced.__getitem__, rest)])
         except KeyError:
-            self._remember(dict.fromkeys(rest))
-            return first + list(chain.from_iterable(map(self._spaced.__getitem__, rest)))
+            self._remember(set(rest))
+            ids = b"".join([*first, *map(self._spaced.__getitem__, rest)])
+        return np.frombuffer(ids, "<u4").tolist()
 
     def encode_parts(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, some at a time. Strings of special tokens give their ids, as by default in the library."""
@@ -226,6 +242,12 @@ class SpeculativeBPE:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def _vocabulary(path: str) -> SpeculativeBPE:
+    """One for each worker process, which keeps the words and pairs it has seen from task to task."""
+    return SpeculativeBPE(path)
+
+
 def _fixed(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
@@ -249,7 +271,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """(key, ids array<int>) of each whole text; null counts as empty, which has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBPE(path)
+        bpe = _vocabulary(path)
         for batch in batches:
             yield _fixed([("k", pa.int64()), ("ids", pa.list_(pa.int32()))], [(k, bpe.encode(t)) for k, t in zip(batch.column(0).to_pylist(), _groups(batch.column(1), bpe), strict=True)])
 
@@ -260,7 +282,7 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
     """(key, text) of each list of ids; a null list decodes to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBPE(path)
+        bpe = _vocabulary(path)
         for batch in batches:
             yield _fixed([("k", pa.int64()), ("text", pa.string())], [(k, bpe.decode(i or [])) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
 
@@ -277,7 +299,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SpeculativeBPE(path)
+        bpe = _vocabulary(path)
         decimal = {i: str(i) for i in bpe.bytes_of}
         for batch in batches:
             rows = []
