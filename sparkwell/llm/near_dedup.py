@@ -26,6 +26,8 @@ from .shared import broadcast_if_small, clean_text, lookup, materialize, mix64,
 
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
 BLOCK = 256
+#: Bytes of text whose multisets a worker holds at once; a block with more is compared in parts.
+PART_BYTES = 4 << 20
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +63,7 @@ class _Sets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         n = len(offsets) - 1
         doc, shingle, weight = [], [], []
-        for i, j in slices(offsets, 1 << 22):
+        for i, j in slices(offsets):
             d, s, w = bag.multisets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             doc.append(d + i)
             shingle.append(s)
@@ -90,16 +92,29 @@ class _Sets:
 
 def _links_of(nodes: np.ndarray, classes: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links that join the classes of a block. Rows with ``left`` are compared with all rows, the others only with those."""
-    sets, links = _Sets(data, offsets), []
-    root = classes.copy()
-    for i in np.flatnonzero(left).tolist():
-        others = np.flatnonzero((root != root[i]) & (~left | (np.arange(len(root)) > i)))
-        if not len(others):
-            continue
-        for j in others[sets.against(i, others) >= least].tolist():
-            if root[j] != root[i]:
-                links.append((int(nodes[i]), int(nodes[j])))
-                root[root == root[j]] = root[i]
+    root, links = classes.copy(), []
+    parts = list(slices(offsets, PART_BYTES))
+    for k, first in enumerate(parts):
+        for second in parts[k:]:
+            rows = np.arange(*first) if first == second else np.r_[np.arange(*first), np.arange(*second)]
+            if not left[rows].any() or (root[rows] == root[rows[0]]).all():
+                continue
+            spans = [data[offsets[i] : offsets[j]] for i, j in ([first] if first == second else [first, second])]
+            sets = _Sets(np.concatenate(spans), np.r_[0, np.cumsum(np.diff(offsets)[rows])])
+            inside = len(rows) if first == second else first[1] - first[0]
+            for i in np.flatnonzero(left[rows]).tolist():
+                # inside a part the later ones; between parts those of the other part; the rows that are not left in any case
+                where = np.arange(len(rows))
+                other = where > i if first == second else (where >= inside) != (i >= inside)
+                if first == second:
+                    other |= ~left[rows] & (where != i)
+                others = np.flatnonzero(other & (root[rows] != root[rows[i]]))
+                if not len(others):
+                    continue
+                for j in rows[others[sets.against(i, others) >= least]].tolist():
+                    if root[j] != root[rows[i]]:
+                        links.append((int(nodes[rows[i]]), int(nodes[j])))
+                        root[root == root[j]] = root[rows[i]]
     return links
 
 
