@@ -1,0 +1,155 @@
+"""Constructs: codon choice, fragments for cloning, assembly checks, vendor limits."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import dna
+from ..kernels import codon
+from ..registry import Registry
+
+STRATEGIES: Registry[Callable[..., dict[str, Column]]] = Registry("cloning strategy")
+FILLER = "ACTGATCGTAGCTAGTCAAGCTTGACCATGTCAGTACGTTCAGATCCATGCTAACGTTGCA"
+
+
+@dataclass(frozen=True)
+class Vector:
+    """What stands before and after the insert: flanks, coding parts, stop."""
+
+    name: str
+    upstream: str
+    downstream: str
+    coding_before: str = ""
+    coding_after: str = ""
+    stop: str = "TAA"
+
+    def fusion_sites(self, width: int = 4) -> tuple[str, str]:
+        return self.upstream[-width:], self.downstream[:width]
+
+    def check_fusion_sites(self, width: int = 4) -> list[str]:
+        """What is wrong with the overhangs: palindromes, equal or complementary ones, three or more matches."""
+        five, three = self.fusion_sites(width)
+        found = [f"{n} site {s} is a palindrome" for n, s in (("5'", five), ("3'", three)) if s == dna.complement_of(s)]
+        if five == three:
+            found.append("both sites are equal")
+        elif five == dna.complement_of(three):
+            found.append("the sites are complementary")
+        elif sum(a == b for a, b in zip(five, three, strict=True)) >= 3:
+            found.append("the sites differ in one base")
+        return found
+
+    def orf(self, insert: Column) -> Column:
+        return F.concat(F.lit(self.coding_before), insert, F.lit(self.coding_after), F.lit(self.stop))
+
+
+def scfv(heavy: Column, light: Column, linker: str = "GGGGSGGGGSGGGGS", orientation: str = "VH-VL") -> Column:
+    first, second = (heavy, light) if orientation == "VH-VL" else (light, heavy)
+    return F.concat(first, F.lit(linker), second)
+
+
+def padded(core: Column, minimum: int, flank: int, offset: int = 31) -> tuple[Column, Column]:
+    """Filler for both sides: a flank, and half of what is missing to a minimum length."""
+    short = F.greatest(F.lit(0), minimum - F.length(core) - 2 * flank)
+    left, right = flank + F.ceil(short / 2).cast("int"), flank + F.floor(short / 2).cast("int")
+    repeats = F.lit(FILLER * (1 + (minimum + offset + 2 * flank) // len(FILLER)))
+    return F.substr(repeats, F.lit(1), left), F.substr(repeats, F.lit(1 + offset), right)
+
+
+def _warnings(*cases: tuple[Column, Column]) -> Column:
+    return F.filter(F.array(*[F.when(c, m) for c, m in cases]), lambda x: x.isNotNull())
+
+
+@STRATEGIES.register("golden_gate")
+def golden_gate(cds: Column, vector: Vector, enzyme: str = "BsaI", minimum: int = 300, flank: int = 8, spacer: str = "A") -> dict[str, Column]:
+    """Pad, site, spacer, overhang, insert, overhang, spacer, reversed site, pad."""
+    site = dna.ENZYME_SITES[enzyme]
+    five, three = vector.fusion_sites()
+    core = F.concat(F.lit(site + spacer + five), cds, F.lit(three + spacer + dna.complement_of(site)))
+    left, right = padded(core, minimum, flank)
+    internal = dna.internal_sites(cds, [enzyme])
+    problems = vector.check_fusion_sites()
+    return {"fragment": F.concat(left, core, right), "cloneable": F.lit(not problems) & (F.size(internal) == 0), "warnings": F.concat(F.array(*[F.lit(p) for p in problems]).cast("array<string>"), _warnings((F.size(internal) > 0, F.concat(F.lit(f"{enzyme} cuts the insert: "), F.array_join(internal, ",")))))}
+
+
+@STRATEGIES.register("gibson")
+def gibson(cds: Column, vector: Vector, arm: int = 25, minimum: int = 0, flank: int = 0) -> dict[str, Column]:
+    """The insert between arms that the vector has on either side."""
+    fragment = F.concat(F.lit(vector.upstream[-arm:]), cds, F.lit(vector.downstream[:arm]))
+    return {"fragment": fragment, "cloneable": F.lit(len(vector.upstream) >= arm and len(vector.downstream) >= arm), "warnings": _warnings((F.length(fragment) < minimum, F.lit("shorter than the minimum")))}
+
+
+@STRATEGIES.register("blunt")
+def blunt(cds: Column, vector: Vector, minimum: int = 0, flank: int = 0) -> dict[str, Column]:
+    """The insert alone, which cannot be cloned as it is."""
+    return {"fragment": cds, "cloneable": F.lit(False), "warnings": F.array(F.lit("no ends to clone with"))}
+
+
+def design(rows: DataFrame, vector: Vector, strategy: str = "golden_gate", cds: str = "insert_dna_seq", **options) -> DataFrame:
+    """Rows with fragment, its length and GC, whether it can be cloned, and warnings."""
+    made = STRATEGIES.get(strategy)(F.col(cds), vector, **options)
+    out = rows.withColumns({"order_dna_seq": made["fragment"], "cloneable": made["cloneable"], "synthesis_warnings": F.array_join(made["warnings"], "; ")})
+    return out.withColumns({"order_length": F.length("order_dna_seq"), "order_gc": F.round(dna.gc_fraction(F.col("order_dna_seq")), 6)})
+
+
+def assembly_problems(cds: Column, fragment: Column, vector: Vector, protein: Column) -> Column:
+    """What the assembled reading frame fails: insert intact, frame, inner stops, protein present."""
+    orf = vector.orf(cds)
+    translated = dna.translate(orf)
+    inner = F.substr(translated, F.lit(1), F.length(translated) - 1)
+    return _warnings(
+        (~F.contains(fragment, cds), F.lit("the fragment lacks the insert")),
+        (F.length(orf) % 3 != 0, F.lit("out of frame")),
+        (F.contains(inner, F.lit("*")), F.lit("stop inside the frame")),
+        (~F.contains(translated, protein), F.lit("the protein is not in the frame")),
+    )
+
+
+def optimize_codons(rows: DataFrame, protein: str = "insert_aa_seq", enzymes: tuple[str, ...] = ("BsaI", "BsmBI", "BbsI")) -> DataFrame:
+    """Rows with insert_dna_seq, gc_swaps, sites_removed and problems: a greedy repair of each protein by itself."""
+    schema = T.StructType([*rows.schema, *T.StructType.fromDDL("insert_dna_seq string, gc_swaps long, sites_removed long, problems string")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [codon.optimize(p, enzymes) for p in b[protein]]
+            yield b.assign(insert_dna_seq=[m.dna for m in made], gc_swaps=[m.gc_swaps for m in made], sites_removed=[m.sites_removed for m in made], problems=["; ".join(m.problems) for m in made])
+
+    return rows.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a vendor makes. Defaults are those of gene fragments."""
+
+    min_bp: int = 300
+    max_bp: int = 1500
+    min_gc: float = 0.25
+    max_gc: float = 0.65
+    homopolymer: int = 8
+
+    def issues(self, seq: Column) -> Column:
+        """One message for each limit that a sequence breaks."""
+        gc = F.round(dna.gc_fraction(seq), 6)
+        runs = dna.homopolymers(seq, self.homopolymer + 1)
+        return _warnings(
+            (F.length(seq) < self.min_bp, F.concat(F.length(seq).cast("string"), F.lit(f" bp is below {self.min_bp}"))),
+            (F.length(seq) > self.max_bp, F.concat(F.length(seq).cast("string"), F.lit(f" bp is above {self.max_bp}"))),
+            (gc < self.min_gc, F.lit(f"GC is below {self.min_gc:.0%}")),
+            (gc > self.max_gc, F.lit(f"GC is above {self.max_gc:.0%}")),
+            (F.size(runs) > 0, F.lit(f"a run of more than {self.homopolymer} equal bases")),
+        )
+
+
+def vendor_issues(rows: DataFrame, limits: Limits, name: str = "insert_name", seq: str = "order_dna_seq") -> DataFrame:
+    """(name, issue), a row for each."""
+    return rows.select(F.col(name).alias("name"), F.explode(limits.issues(F.col(seq))).alias("issue"))
+
+
+def clone_report(clones: DataFrame) -> DataFrame:
+    """One row: clones, lengths, GC, how many have warnings or problems or cannot be cloned."""
+    return clones.agg(F.count("*").alias("n"), F.min("order_length").cast("long").alias("min_length"), F.max("order_length").cast("long").alias("max_length"), F.sum("order_length").cast("long").alias("total_length"), F.round(F.min("order_gc"), 3).alias("min_gc"), F.round(F.max("order_gc"), 3).alias("max_gc"), F.count_if(F.col("synthesis_warnings") != "").alias("with_warnings"), F.count_if(~F.col("cloneable")).alias("not_cloneable"))
