@@ -2,9 +2,9 @@
 
 1. Equal texts become one node. Nodes get signatures; each band of a signature
    is a bucket. Buckets with the same members are one bucket.
-2. A bucket of many members is first linked to its smallest member, and linked
+2. The members of a bucket are first compared with its smallest one, and linked
    members become classes; what remains to be compared is who is not in the class
-   of that member, against all. Buckets are compared in blocks of bounded size.
+   of that member, against all. Large buckets are compared in blocks.
 3. In a block, each text is compared with all others of another class at once,
    by exact multiset overlap. A block returns the links that join its classes,
    not all pairs: at most one fewer than its members.
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from . import bagminhash as bag
 from .components import connected_components
-from .shared import broadcast_if_small, clean_text, lookup, materialize, mix64, slices, utf8
+from .shared import broadcast_if_small, clean_text, lookup, materialize, mix64, release_memory, slices, utf8
 
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
-BLOCK = 256
+BLOCK = 512
 #: Bytes of text whose multisets a worker holds at once; a block with more is compared in parts.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,6 +40,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = bag.SLOTS * 2
             blobs += [raw[k * size : (k + 1) * size] if found[k].any() else None for k in range(j - i)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*batch.schema.names[:-1], "signature"])
+    release_memory()
 
 
 def sign_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,6 +149,8 @@ def _compared(least: float):
                 held.append(batch.slice(i, j - i))
             yield _link_batch(links)
         yield _link_batch(flush())
+        held.clear()
+        release_memory()
 
     return run
 
@@ -168,6 +171,7 @@ def _verified(least: float):
                 if bag.similarity(*sets) >= least:
                     links.append((a, b))
             yield _link_batch(links)
+        release_memory()
 
     return run
 
@@ -223,38 +227,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 def _compare_buckets(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join all similar members of every bucket."""
-    cold = members.where(F.col("n") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), "node", F.col("node").alias("class"), F.lit(True).alias("left"))
-    hot = members.where(F.col("n") > BLOCK)
-    if hot.isEmpty():
-        return materialize(_in_blocks(cold, bodies, least), "links")
-    # the star of each hot bucket around its smallest member
-    star = hot.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    # the star of each bucket around its smallest member; a pair that meets in many buckets is compared once
+    star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     with_a = star.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     found = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(least), "a long, b long"), "star-links")
-    roots = materialize(connected_components(found), "star-roots")
-    total = hot.count()
-    named = hot.join(roots, "node", "left").select("bucket", "node", "n", "low", F.coalesce("root", "node").alias("class"))
-    named = materialize(named, "hot-members")
+    # what is left in buckets of three members or more: who is not in the class of the smallest member
+    larger = members.where("n > 2")
+    named = larger.join(connected_components(found), "node", "left").select("bucket", "node", "n", "low", F.coalesce("root", "node").alias("class"))
+    named = materialize(named, "classed")
+    total = named.count()
     lows = named.where("node = low").select("bucket", F.col("class").alias("low_class"), "n")
-    named = materialize(lookup(named.drop("n"), lows, "bucket", total).withColumn("left", F.col("class") != F.col("low_class")), "hot-left")
-    # rows that are left are dealt into blocks; a block meets itself, later blocks, and all rows of the class of the smallest member
-    counts = named.where("left").groupBy("bucket").agg(F.count("*").alias("rest"))
-    counts = counts.select("bucket", F.ceil(F.col("rest") / BLOCK).cast("int").alias("blocks"))
-    counts = materialize(counts.join(lows.select("bucket", "n"), "bucket"), "hot-counts")
-    dealt = materialize(lookup(named.select("bucket", "node", "class", "left"), counts, "bucket", total).where("blocks IS NOT NULL"), "hot-dealt")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    part = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))).cast("int")
-    base = dealt.select("bucket", "node", "class", "left", "n", "blocks", own.alias("own"), part.alias("part"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    # block (i, j) of two kinds: rest i with rest j (i <= j), and rest i with part j of the others
-    rest = base.where("left")
-    pairs = rest.select("bucket", "node", "class", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("p"))
+    named = materialize(lookup(named.drop("n"), lows, "bucket", total).withColumn("left", F.col("class") != F.col("low_class")), "left")
+    rest = named.where("left").groupBy("bucket").agg(F.count("*").alias("rest"), F.any_value("n").alias("n"))
+    blocks, parts = (F.ceil(size / BLOCK).cast("int") for size in (F.col("rest"), F.col("n") - F.col("rest")))
+    counts = materialize(rest.select("bucket", "n", blocks.alias("blocks"), parts.alias("parts")), "open-buckets")
+    if counts.isEmpty():
+        return found
+    rows = materialize(lookup(named.select("bucket", "node", "class", "left"), counts, "bucket", total).where("blocks IS NOT NULL"), "open-members")
+    small = rows.where(F.col("n") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), "node", "class", "left")
+    # a large bucket: the rows that are left are dealt into blocks, which meet each other (i <= j) and every part of the
+    # others; these, of one class, are then the rows that are compared with all
+    large = rows.where(F.col("n") > BLOCK).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")})
+    open_ = large.where("left")
+    pairs = open_.select("bucket", "node", "class", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("p"))
     pairs = pairs.select("bucket", (F.col("p.i").cast("long") * 1_000_003 + F.col("p.j") + 1).alias("block"), "node", "class", F.lit(True).alias("left"))
-    cross_rest = rest.select("bucket", "node", "class", F.explode(F.sequence(F.lit(0), parts - 1)).alias("j"), F.col("own").alias("i"), F.lit(True).alias("left"))
-    cross_all = base.where("NOT left").select("bucket", "node", "class", F.col("part").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(False).alias("left"))
-    cross = cross_rest.unionByName(cross_all).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
-    more = _in_blocks(cold.unionByName(pairs).unionByName(cross), bodies, least)
+    cross_open = open_.select("bucket", "node", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("own").alias("i"), F.lit(False).alias("left"))
+    cross_rest = large.where("NOT left").select("bucket", "node", "class", F.col("part").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(True).alias("left"))
+    cross = cross_open.unionByName(cross_rest).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
+    more = _in_blocks(small.unionByName(pairs).unionByName(cross), bodies, least)
     return materialize(found.unionByName(more), "links")
 
 

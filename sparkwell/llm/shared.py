@@ -8,6 +8,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -112,7 +115,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def release_memory() -> None:
+    """Give freed memory of a worker back to the system, so that idle workers do not add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(offsets: np.ndarray, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``max_bytes`` each: bounds the memory of vectorised steps; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -122,6 +133,13 @@ def slices(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
         i = j
 
 
+def pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``max_bytes`` bytes of one of its string columns, without copying."""
+    _, offsets = utf8(batch.column(column))
+    for i, j in slices(offsets, max_bytes):
+        yield batch.slice(i, j - i)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)
