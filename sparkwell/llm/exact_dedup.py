@@ -116,9 +116,11 @@ def _filters_of_partition(range_bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for b in batches]
         keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        if not len(keys):
+            return
         where = (keys >> np.uint64(64 - range_bits)).astype(np.int64)
         low = keys & np.uint64((1 << (64 - range_bits)) - 1)
-        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         rows = []
         for i, j in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
             rows.append({"range": int(where[i])} | QuotientFilter.build(low[i:j], bits=64 - range_bits).to_row())
