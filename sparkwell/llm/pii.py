@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text
+from .shared import clean_text, pieces, release_memory
 
 #: Kinds in the order of reports; the first four are the base ones.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "secret")
@@ -245,7 +245,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def _redacted(column: str, length: str | None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index(column))):
             i = batch.schema.get_field_index(column)
             texts = batch.column(i).to_pylist()
             clean = [t if not t else redact(t, find_spans(t, automaton)) for t in texts]
@@ -254,6 +254,7 @@ def _redacted(column: str, length: str | None):
                 sizes = [n if a is None or a == b else len(b) for a, b, n in zip(texts, clean, batch.column(k).to_pylist(), strict=True)]
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(sizes, batch.schema.field(k).type))
             yield batch.set_column(i, batch.schema.field(i), pa.array(clean, batch.schema.field(i).type))
+        release_memory()
 
     return apply
 

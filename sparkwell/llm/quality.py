@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text, mix64, slices, utf8
+from .shared import clean_text, mix64, pieces, release_memory, slices, utf8
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
@@ -83,7 +83,9 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     out[:, :_CLASSES] = np.bincount(of_byte * _CLASSES + _CLASS[body], minlength=len(out) * _CLASSES).reshape(len(out), -1) * scale
     pair = body[:-1].astype(np.uint32) * np.uint32(256) + body[1:]
     bins = (pair * np.uint32(2654435761)) >> np.uint32(26)
-    out[:, _CLASSES : _CLASSES + _PAIR_BINS] = np.bincount(of_byte[1:] * _PAIR_BINS + bins, minlength=len(out) * _PAIR_BINS).reshape(len(out), -1) * scale
+    doc_of_byte = np.repeat(doc_of_word, size)
+    inside = doc_of_byte[1:] == doc_of_byte[:-1]  # no pair reaches from one document into the next
+    out[:, _CLASSES : _CLASSES + _PAIR_BINS] = np.bincount((of_byte[1:] * _PAIR_BINS + bins)[inside], minlength=len(out) * _PAIR_BINS).reshape(len(out), -1) * scale
     # repetition: of the word before, and of any word of the passage
     place = np.arange(byte[-1]) - np.repeat(byte[:-1], size)
     letters = np.where(_SPACE[body], 0, body).astype(np.uint64)
@@ -231,6 +233,7 @@ def _scored(model: AttentionModel):
             for i, j in slices(offsets):
                 scores.append(model.score(*passage_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        release_memory()
 
     return run
 
@@ -248,8 +251,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     return score_quality(docs, model, [F.col(key), held_out], text).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _accepted(model: AttentionModel, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index(text))):
+            data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+            scores = [model.score(*passage_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) >= THRESHOLD))
+        release_memory()
+
+    return run
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, that are predicted to be good."""
-    model = fit_quality(docs, labels, key, text)
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    return score_quality(docs, model, [whole], text).where(F.col("score") >= THRESHOLD).select("_row.*")
+    """The documents, all their columns, that are predicted to be good; ``text`` is a string column."""
+    return docs.mapInArrow(_accepted(fit_quality(docs, labels, key, text), text), docs.schema)
