@@ -237,7 +237,7 @@ _WORDS = "SELECT DISTINCT source AS name, concat('PLT-', source) AS plate_id FRO
     WITH g AS ({_GRIDS}), b AS (SELECT grid_id, count(DISTINCT plate_id) AS n, min(plate_id) AS plate_id FROM g JOIN ({_CODES}) ON contains(t, lower(barcode)) GROUP BY 1),
     m AS (SELECT grid_id, min(plate_id) AS plate_id FROM g JOIN ({_WORDS}) ON contains(t, lower(name)) GROUP BY 1 HAVING count(DISTINCT plate_id) = 1)
     SELECT g.grid_id, CASE WHEN b.n = 1 THEN 'barcode' WHEN m.plate_id IS NOT NULL THEN 'name' ELSE 'unresolved' END AS source, CASE WHEN b.n = 1 THEN b.plate_id ELSE m.plate_id END AS plate_id,
-           CASE WHEN b.n = 1 THEN 0.99 WHEN m.plate_id IS NOT NULL THEN 0.8 ELSE 0.0 END AS confidence,
+           CAST(CASE WHEN b.n = 1 THEN 0.99 WHEN m.plate_id IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence,
            CASE WHEN regexp_matches(t, 'target|antigen') AND NOT regexp_matches(t, 'control|blank plate|background') THEN 'target' WHEN regexp_matches(t, 'control|blank plate|background') AND NOT regexp_matches(t, 'target|antigen') THEN 'control' END AS plate_kind
     FROM g LEFT JOIN b USING (grid_id) LEFT JOIN m USING (grid_id)
 """)
