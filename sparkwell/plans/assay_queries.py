@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wells
 from ..operators import assign, hits, ledger, plates
+from ..operators.storage import checkpointed
 from ..sinks import forms, worklists
 from . import derive as d
 from .catalog import query
@@ -312,6 +313,17 @@ def plate_classifier(spark, sf):
     return classify.out_of_fold(features, plates.FEATURES, "pair_id").select("plate_id", "label", "prediction")
 
 
+@query()
+def caller_evaluation(spark, sf):
+    """Every caller on 600 simulated pairs with a known truth, uncallable plates refused."""
+    from ..operators import simulate
+
+    made = checkpointed(simulate.simulate_pairs(spark, 600))
+    samples = made.where("role = 'sample'").select("pair_id", "well", "od450_target", "od450_control", "is_binder")
+    empty = made.where("role <> 'sample'").select("pair_id", "well", F.col("od450_target").alias("od450"))
+    return hits.summarise(hits.evaluate(samples, samples, empty))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def windowed_readings(spark, sf):
     from ..streaming import counts_by_window
