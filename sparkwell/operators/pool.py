@@ -141,3 +141,14 @@ def extract_meta(rows: DataFrame, prefix: str = "meta_") -> DataFrame:
     sums = [x for c in names for x in (F.count_distinct(F.col(c)).alias(f"n_{c}"), F.min(F.col(c).cast("string")).alias(f"v_{c}"))]
     lines = F.array(*[F.struct(F.lit(c.removeprefix(prefix)).alias("field"), F.when(F.col(f"n_{c}") > 1, F.format_string("<%d values>", F.col(f"n_{c}"))).otherwise(F.col(f"v_{c}")).alias("value")) for c in names])
     return rows.agg(*sums).select(F.inline(lines)).where("value IS NOT NULL")
+
+
+def cdr3_lengths(pool: DataFrame, picked: DataFrame) -> DataFrame:
+    """(v_gene, cdr3_len, pool, picked): how many rows of each length either side has."""
+    count = lambda f, n: f.groupBy("v_gene", "cdr3_len").agg(F.count("*").alias(n))
+    return count(pool, "pool").join(count(picked, "picked"), ["v_gene", "cdr3_len"], "left").na.fill(0, ["picked"])
+
+
+def family_distribution(pool: DataFrame, top: int = 15) -> DataFrame:
+    """The most frequent genes with their families."""
+    return pool.groupBy("v_gene", "v_family").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v_gene").limit(top)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import dna
+from ..functions import dna, wells
 from ..kernels import local
 
 #: Thresholds of the verdicts.
@@ -72,6 +72,16 @@ def resolve_reruns(traces: DataFrame, prefer: str = "latest") -> DataFrame:
     return ranked.withColumns({"status": status, "warning": warned}).drop("_by", "_n", "_unknown", "_best", "_ties")
 
 
+def expectations_from(clones: DataFrame, context_before: str = "", context_after: str = "", dna_columns: tuple[str, ...] = ("insert_dna_seq", "cds_dna", "insert_dna", "dna", "cds"), order: str = "ordinal") -> DataFrame:
+    """(well, clone_id, insert, context): one for each well, the last of several by ``order``; the first DNA column that is there holds the insert."""
+    column = next((c for c in dna_columns if c in clones.columns), None)
+    if column is None:
+        raise KeyError(f"none of the columns {dna_columns}")
+    rows = clones.withColumn("well", wells.normalize(F.col("well"), strict=True))
+    last = rows.groupBy("well").agg(F.max_by(F.struct("clone_id", F.upper(column).alias("insert")), order).alias("r"))
+    return last.select("well", "r.clone_id", "r.insert", F.lit(context_before + context_after).alias("context"))
+
+
 def match_traces(traces: DataFrame, expectations: DataFrame, by: str = "well") -> DataFrame:
     """Traces with the expectation of their well; or by sample, whose stem is the clone or begins with it, the longest clone first."""
     if by == "well":

@@ -204,3 +204,25 @@ def plate_grouping(spark, sf):
 """)
 def gene_composition(spark, sf):
     return op.gene_composition(_kept(spark, sf), _picks(spark, sf), selection.PANELS["default-v1"].frame(spark))
+
+
+@query(f"WITH k AS (SELECT v_gene, cdr3_len, count(*) AS picked FROM ({_FIRST}) GROUP BY 1, 2) SELECT v_gene, cdr3_len, count(*) AS pool, coalesce(any_value(picked), 0) AS picked FROM ({_KEPT_SQL}) LEFT JOIN k USING (v_gene, cdr3_len) GROUP BY 1, 2")
+def cdr3_lengths(spark, sf):
+    return op.cdr3_lengths(_kept(spark, sf), _picks(spark, sf))
+
+
+@query(f"SELECT v_gene, v_family, count(*) AS n FROM ({d.POOL_SQL}) GROUP BY 1, 2 ORDER BY n DESC, v_gene LIMIT 15")
+def family_distribution(spark, sf):
+    return op.family_distribution(d.pool(spark, sf))
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, CAST(NULL AS DOUBLE) AS added, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def evolved_schema(spark, sf):
+    """A declared column that the stored table has not is null; one that is not declared stays."""
+    from pyspark.sql import types as T
+
+    from ..operators import store
+
+    rows = store.read(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderstatus", "o_custkey"], o_orderstatus="F")
+    named = rows.withColumnsRenamed({"o_orderkey": "id", "o_orderstatus": "status"})
+    return store.evolve(named, T.StructType.fromDDL("id long, status string, added double"))

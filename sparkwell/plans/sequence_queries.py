@@ -198,3 +198,15 @@ def msa_columns(spark, sf):
 """)
 def consensus_germline(spark, sf):
     return alignment.consensus_germline(d.pool(spark, sf).withColumn("germline_aa", F.substring("aa_seq", 1, 2)))
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, substr({d.DNA_SQL}, 1, CAST(200 + doc_id % 1500 AS BIGINT)) AS dna FROM documents), s AS (SELECT *, round(length(regexp_replace(dna, '[^GC]', '', 'g')) / greatest(1, length(dna)), 6) AS gc FROM c WHERE length(dna) > 0),
+    i AS (SELECT *, (length(dna) < 300)::INT + (length(dna) > 1500)::INT + (gc < 0.25)::INT + (gc > 0.65)::INT + regexp_matches(dna, 'A{{9,}}|C{{9,}}|G{{9,}}|T{{9,}}')::INT AS k FROM s)
+    SELECT count(*) AS fragments, CAST(sum(length(dna)) AS BIGINT) AS bases, CAST(sum(k) AS BIGINT) AS issues, count(*) FILTER (k > 0) AS failing FROM i
+""")
+def vendor_summary(spark, sf):
+    from ..sinks import orders
+
+    rows = d.table(spark, sf, "documents").select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
+    return orders.summary(rows, "idt_eblocks", "doc_id", "s")

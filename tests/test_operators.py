@@ -234,3 +234,30 @@ def test_refusals(spark):
 def test_vector_checks():
     assert construct.Vector("v", "AAAA" + "GATC", "GATC" + "AAAA").check_fusion_sites()
     assert not construct.Vector("v", "TTTTATCC", "TCTAGGGG").check_fusion_sites()
+
+
+def test_store(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from sparkwell.operators import store
+
+    path = f"{tmp_path}/t"
+    assert not store.exists(spark, path)
+    store.append(spark.createDataFrame([("a", 1), ("b", 1)], "seq_id string, v int"), path, "seq_id")
+    store.append(spark.createDataFrame([("b", 2), ("c", 2), ("c", 2)], "seq_id string, v int"), path, "seq_id")
+    assert rows(store.read(spark, path)) == [("a", 1), ("b", 1), ("c", 2)] and rows(store.read(spark, path, ["seq_id"], v=2)) == [("c",)]
+    store.refresh(spark.createDataFrame([("a", 9)], "seq_id string, v int"), path, f"{tmp_path}/u", "seq_id")
+    assert rows(store.read(spark, f"{tmp_path}/u")) == [("a", 9), ("b", 1), ("c", 2)]
+    assert store.info(spark, path).first()["rows"] == 3
+    assert store.evolve(store.read(spark, path), T.StructType.fromDDL("seq_id string, new double, v string")).columns == ["seq_id", "new", "v"]
+
+
+def test_texts(spark):
+    from sparkwell.sinks import alignments, orders
+
+    assert alignments.as_blocks([("ref", "AC-GT"), ("x", "AC-GA"), ("y", "-CTGT")], 3) == "ref              AC-\nx                ..-\ny                -.T\n\nref              GT\nx                .A\ny                ..\n"
+    frame = spark.createDataFrame([("a", "ACGT")], "insert_name string, order_dna_seq string")
+    assert tuple(orders.emit(frame, "generic").first()) == ("a", "ACGT", 4, 0.5)
+    assert tuple(orders.summary(frame, "idt_eblocks").first()) == (1, 4, 1, 1)
+    wells_ = spark.createDataFrame([("A1", "c1", "acgt", 1), ("a01", "c2", "ttt", 2)], "well string, clone_id string, insert_dna_seq string, ordinal int")
+    assert [tuple(r)[:3] for r in sequencing.expectations_from(wells_).collect()] == [("A01", "c2", "TTT")]
