@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, clean_text, lookup, materialize
+from .shared import broadcast_if_small, clean_text, lookup, matching, materialize
 
 #: Fingerprints that a merged range holds on average.
 RANGE_FINGERPRINTS = 250_000
@@ -175,11 +175,11 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     )
     total = narrow.count()
     repeated = materialize(repeated_fingerprints(narrow.select("fp"), total), "repeated")
-    few = broadcast_if_small(repeated.select("fp"))
     # byte verification: the whole text is the grouping key
-    same_bytes = docs.select(fingerprint.alias("fp"), body.alias("body")).join(few, "fp", "left_semi").groupBy("body").agg(F.count("*").alias("n"))
+    suspects = matching(docs.select(fingerprint.alias("fp"), body.alias("body")), repeated, "fp", total, "fp_count")
+    same_bytes = suspects.groupBy("body").agg(F.count("*").alias("n"))
     verified = same_bytes.where("n > 1").select(F.unhex(F.sha2("body", 256)).alias("sha"), "n")
-    stays = narrow.join(few, "fp", "left_semi").groupBy("sha").agg(F.max(F.struct("_id", "row")).alias("stays"))
+    stays = matching(narrow, repeated, "fp", total, "fp_count").groupBy("sha").agg(F.max(F.struct("_id", "row")).alias("stays"))
     groups = materialize(verified.join(stays, "sha"), "groups")
     out = lookup(narrow, groups, "sha", total)
     return out.select(

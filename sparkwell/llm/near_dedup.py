@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash as bag
 from .components import connected_components
-from .shared import broadcast_if_small, clean_text, lookup, materialize, mix64, release_memory, slices, utf8
+from .shared import clean_text, lookup, matching, materialize, mix64, release_memory, slices, utf8
 
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
 BLOCK = 512
@@ -199,12 +199,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spread = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(20,0)")).alias(f"sum{s}") for s in (1, 2)]
     stats = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), *spread).where("n > 1")
     stats = materialize(stats.groupBy("n", "low", "sum1", "sum2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "buckets")
-    few = broadcast_if_small(stats)
-    members = banded.join(few, "bucket") if few is not stats else lookup(materialize(banded, "bands"), stats, "bucket", total * bag.BANDS).where("n IS NOT NULL")
+    members = matching(banded, stats, "bucket", total * bag.BANDS)
     members = materialize(members.select("bucket", "node", "n", "low"), "members")
 
-    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "sha"), "node"), "wanted")
-    bodies = docs.select(F.unhex(F.sha2(clean_text(text), 256)).alias("sha"), clean_text(text).alias("text")).join(broadcast_if_small(wanted), "sha")
+    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "sha", "n"), "node"), "wanted")
+    bodies = matching(docs.select(F.unhex(F.sha2(clean_text(text), 256)).alias("sha"), clean_text(text).alias("text")), wanted, "sha", total)
     bodies = materialize(bodies.groupBy("node").agg(F.first("text").alias("text")), "bodies")
 
     links = _compare_buckets(members, bodies, least)

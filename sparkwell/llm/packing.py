@@ -32,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text, materialize, numbered
+from .shared import clean_text, materialize, numbered, release_memory
 
 CAPACITY = 2048
 #: Encodings of chunks between spaces, and of words, that a worker remembers; emptied when full.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 400_000
 #: Characters of text whose new chunks are encoded together.
 BATCH_CHARS = 1 << 20
 #: Share of a length's demand that one step of the weights may cover.
@@ -168,6 +168,7 @@ def _piece_rows(tokenizer_path: str, capacity: int, end_id: int):
                     for col, value in zip(cols, (doc, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release_memory()
 
     return pieces
 

@@ -52,9 +52,14 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(df: DataFrame) -> bool:
+    """Whether a stored narrow frame has at most ``BROADCAST_ROWS`` rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast hint for a stored narrow frame whose row count was checked; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def hot_threshold(total: int) -> int:
@@ -77,6 +82,13 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str
     return first.unionByName(rest)
 
 
+def matching(rows: DataFrame, keys: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """``rows JOIN keys USING (key)``: by broadcast where the keys are few, else as ``lookup`` does, for which ``keys`` tells in ``count`` how many rows each may have."""
+    if is_small(keys):
+        return rows.join(F.broadcast(keys), key)
+    return lookup(rows, keys, key, total, count).where(F.col(count).isNotNull())
+
+
 def numbered(rows: DataFrame, group: str, order: list[str], total: int, out: str) -> DataFrame:
     """Number the rows of every group from 0, gapless, where groups may be hot.
 

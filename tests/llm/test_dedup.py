@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkwell.llm import bagminhash as bag
-from sparkwell.llm import near_dedup
+from sparkwell.llm import near_dedup, shared
 from sparkwell.llm.components import connected_components
 from sparkwell.llm.exact_dedup import QuotientFilter, drop_exact_duplicates, exact_duplicates, repeated_fingerprints
 
@@ -67,6 +67,18 @@ def test_exact_with_a_hot_text(spark):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == brute_exact(rows)
 
 
+def test_without_broadcasts(spark, monkeypatch):
+    """Beyond the bound on rows, the joins go by shuffle, hot keys apart; here every key of more than two rows is hot."""
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "hot_threshold", lambda total: 2)
+    rows = corpus(5, 12, 12) + [(10_000 + i, "the same words again and again " * 3) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = exact_duplicates(frame).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == brute_exact(rows)
+    near = near_dedup.near_duplicates(frame).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in near) == brute_near(rows)
+
+
 # ---------------------------------------------------------------- near
 
 
