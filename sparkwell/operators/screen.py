@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import dna
+from .spread import spread
 
 #: k-mers of references that are broadcast; beyond, the join is by shuffle.
 MAX_KMERS = 2_000_000
@@ -22,7 +23,7 @@ def screen_one_strand(reads: DataFrame, references: DataFrame, k: int = 12, top:
     known = references.select("ref_id", F.explode(dna.distinct_kmers(F.col("seq"), k)).alias("kmer"))
     words = known.select("kmer").distinct()
     few = known.limit(MAX_KMERS + 1).count() <= MAX_KMERS
-    own = reads.select("read_id", F.explode(dna.kmers(F.col("seq"), k)).alias("x")).select("read_id", F.col("x.kmer").alias("kmer"))
+    own = spread(reads.select("read_id", "seq")).select("read_id", F.explode(dna.kmers(F.col("seq"), k)).alias("x")).select("read_id", F.col("x.kmer").alias("kmer"))
     met = own.join(F.broadcast(words) if few else words, "kmer", "left_semi").distinct()
     shared = met.join(F.broadcast(known) if few else known, "kmer").groupBy("read_id", "ref_id").agg(F.count("*").alias("shared"))
     place = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("shared"), "ref_id"))

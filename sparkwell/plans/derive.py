@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 GENES = ("IGHV3-23", "IGHV1-69", "IGHV3-53", "IGHV4-34", "IGHV1-2", "IGKV1-39")
 
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for queries that work long on each text."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def protein(text: str = "text") -> F.Column:
     """The twenty residues among the ASCII letters of a text, in capitals."""
     return F.regexp_replace(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
@@ -46,7 +53,7 @@ REPERTOIRE_SQL = f"""
 
 
 def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array(*map(F.lit, GENES)).alias("g"), protein().alias("aa"))
+    docs = texts(spark, sf_dir).select("doc_id", "source", F.array(*map(F.lit, GENES)).alias("g"), protein().alias("aa"))
     spark_sql = lambda s: s.replace("g[1 + doc_id % 6]", "g[CAST(doc_id % 6 AS INT)]").replace("g[1 + (doc_id + 1) % 6]", "g[CAST((doc_id + 1) % 6 AS INT)]")
     return docs.selectExpr(
         "doc_id", "source AS source_ref", f"{spark_sql(_V_CALL)} AS v_call", "concat('IGHJ', 1 + doc_id % 6, '*01') AS j_call",

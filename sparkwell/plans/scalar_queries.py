@@ -62,17 +62,17 @@ def well_ordinals(spark, sf):
 @query(f"SELECT doc_id, round(CASE WHEN length(dna) = 0 THEN 0.0 ELSE length(regexp_replace(dna, '[^GC]', '', 'g')) / length(dna) END, 9) AS gc, CAST(length(dna) AS BIGINT) AS bp FROM (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents)")
 def gc_content(spark, sf):
     x = F.col("dna")
-    return d.table(spark, sf, "documents").select("doc_id", d.bases().alias("dna")).select("doc_id", F.round(dna.gc_fraction(x), 9).alias("gc"), F.length(x).cast("long").alias("bp"))
+    return d.texts(spark, sf).select("doc_id", d.bases().alias("dna")).select("doc_id", F.round(dna.gc_fraction(x), 9).alias("gc"), F.length(x).cast("long").alias("bp"))
 
 
 @query(f"SELECT doc_id, md5(reverse(translate(dna, 'ACGT', 'TGCA'))) AS digest FROM (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents)")
 def reverse_complement(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", F.md5(dna.reverse_complement(d.bases())).alias("digest"))
+    return d.texts(spark, sf).select("doc_id", F.md5(dna.reverse_complement(d.bases())).alias("digest"))
 
 
 @query(f"SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all({d.DNA_SQL}, '(A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}})')) AS run FROM documents) GROUP BY run")
 def homopolymer_runs(spark, sf):
-    return d.table(spark, sf, "documents").select(F.explode(dna.homopolymers(d.bases(), 4)).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    return d.texts(spark, sf).select(F.explode(dna.homopolymers(d.bases(), 4)).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
 
 
 _CODES = ", ".join(f"'{c}': '{r}'" for c, r in dna.CODONS.items())
@@ -83,7 +83,7 @@ _CODES = ", ".join(f"'{c}': '{r}'" for c, r in dna.CODONS.items())
     FROM (SELECT doc_id, {d.DNA_SQL} AS dna, MAP {{{_CODES}}} AS m FROM documents)
 """)
 def codon_translate(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", F.md5(dna.translate(d.bases())).alias("digest"))
+    return d.texts(spark, sf).select("doc_id", F.md5(dna.translate(d.bases())).alias("digest"))
 
 
 @query(f"SELECT doc_id, coalesce(anarci_status, '') AS status, has_liability FROM ({d.POOL_SQL})")
@@ -110,14 +110,14 @@ _AT = "floor(length(dna) / 2)"
     SELECT doc_id, list_filter(['GGTCTC', 'GAGACC', 'CGTCTC', 'GAGACG', 'GAAGAC', 'GTCTTC'], lambda s: contains(dna, s)) AS sites FROM (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents)
 """)
 def restriction_sites(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", dna.internal_sites(d.bases(), ["BsaI", "BsmBI", "BbsI"]).alias("sites"))
+    return d.texts(spark, sf).select("doc_id", dna.internal_sites(d.bases(), ["BsaI", "BsmBI", "BbsI"]).alias("sites"))
 
 
 @query(f"""
     SELECT doc_id, substr(concat(dna, dna), CAST(length(dna) - 5 + 1 AS BIGINT), CAST(5 + 7 AS BIGINT)) AS over_origin FROM (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents) WHERE length(dna) >= 20
 """)
 def circular_slices(spark, sf):
-    rows = d.table(spark, sf, "documents").select("doc_id", d.bases().alias("dna")).where(F.length("dna") >= 20)
+    rows = d.texts(spark, sf).select("doc_id", d.bases().alias("dna")).where(F.length("dna") >= 20)
     return rows.select("doc_id", dna.circular_slice(F.col("dna"), F.length("dna") - 5, F.lit(7)).alias("over_origin"))
 
 

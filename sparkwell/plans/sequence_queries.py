@@ -29,7 +29,7 @@ _CDS = f"substr({d.DNA_SQL}, 1, 300)"
 
 
 def _inserts(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", F.substring(d.bases(), 1, 300).alias("insert_dna_seq")).where(F.length("insert_dna_seq") >= 60)
+    return d.texts(spark, sf).select("doc_id", F.substring(d.bases(), 1, 300).alias("insert_dna_seq")).where(F.length("insert_dna_seq") >= 60)
 
 
 VECTOR = construct.Vector("test", upstream="GCTAGCACCATGGGATCC", downstream="TCTAGAAGCTTGCGGCCGC", coding_before="ATGGGATCC", coding_after="AAGCTT")
@@ -72,7 +72,7 @@ def assembly_verify(spark, sf):
            CASE WHEN regexp_matches(dna, 'A{{9,}}|C{{9,}}|G{{9,}}|T{{9,}}') THEN 'a run of more than 8 equal bases' END], lambda x: x IS NOT NULL)) AS issue FROM s
 """)
 def vendor_issues(spark, sf):
-    rows = d.table(spark, sf, "documents").select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
+    rows = d.texts(spark, sf).select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
     return construct.vendor_issues(rows, construct.Limits(), "doc_id", "s")
 
 
@@ -88,7 +88,7 @@ def clone_report(spark, sf):
 @query()
 def codon_optimize(spark, sf):
     """DNA for the first 120 residues of each document."""
-    rows = d.table(spark, sf, "documents").select("doc_id", F.substring(d.protein(), 1, 120).alias("insert_aa_seq"))
+    rows = d.texts(spark, sf).select("doc_id", F.substring(d.protein(), 1, 120).alias("insert_aa_seq"))
     return construct.optimize_codons(rows)
 
 
@@ -104,7 +104,7 @@ _QUALITY = "list_transform(string_split(substr(text, 1, 400), ''), lambda c: CAS
 """)
 def mott_trim(spark, sf):
     """The quality of a document is that of its first 400 letters, as a read has a few hundred bases."""
-    rows = d.table(spark, sf, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: (F.ascii(c) % 45).cast("int")).alias("q"))
+    rows = d.texts(spark, sf).select("doc_id", F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: (F.ascii(c) % 45).cast("int")).alias("q"))
     return rows.select("doc_id", sequencing.mott_trim(F.col("q")).alias("t")).select("doc_id", "t.start", "t.end")
 
 
@@ -128,7 +128,7 @@ def _reads(spark, sf):
     digits = [hashlib.sha512(f"clone {k}".encode()).hexdigest() for k in range(8)]
     inserts = [(f"CL{k}", "".join("ACGT"[int(c, 16) % 4] + "ACGT"[int(c, 16) // 4] for c in h)[:240]) for k, h in enumerate(digits)]
     clones = spark.createDataFrame([(n, f"{'ABCDEFGH'[k]}01", s, "") for k, (n, s) in enumerate(inserts)], "clone_id string, well string, insert string, context string")
-    docs = d.table(spark, sf, "documents").select("doc_id", F.concat(F.substring(F.lit("ABCDEFGH"), (F.col("doc_id") % 8 + 1).cast("int"), F.lit(1)), F.lit("01")).alias("well")).join(F.broadcast(clones), "well")
+    docs = d.texts(spark, sf).select("doc_id", F.concat(F.substring(F.lit("ABCDEFGH"), (F.col("doc_id") % 8 + 1).cast("int"), F.lit(1)), F.lit("01")).alias("well")).join(F.broadcast(clones), "well")
     seq, kind = F.col("insert"), F.col("doc_id") % 6
     read = F.when(kind == 0, seq).when(kind == 1, F.concat(F.substring(seq, 1, 100), F.lit("T"), F.substring(seq, 102, 200))).when(kind == 2, F.concat(F.substring(seq, 1, 100), F.substring(seq, 102, 200))).when(kind == 3, F.substring(seq, 1, 50)).when(kind == 4, dna.reverse_complement(seq)).otherwise(F.concat(F.substring(seq, 1, 99), F.substring(seq, 103, 200)))
     traces = docs.select(F.col("doc_id").cast("string").alias("file"), "well", "clone_id", read.alias("sequence"), F.lit(0).alias("start"), F.length(read).alias("end"), "insert", "context")
@@ -208,5 +208,5 @@ def consensus_germline(spark, sf):
 def vendor_summary(spark, sf):
     from ..sinks import orders
 
-    rows = d.table(spark, sf, "documents").select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
+    rows = d.texts(spark, sf).select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
     return orders.summary(rows, "idt_eblocks", "doc_id", "s")
