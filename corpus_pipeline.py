@@ -19,6 +19,8 @@ from sparkwell.llm.quality import keep_quality
 from sparkwell.llm.shared import materialize
 
 TOKENIZER = "word_bpe_49k.json"
+#: Chunks that a worker remembers while it packs: few, as the stages before have filled the executors' heaps.
+REMEMBERED = 120_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

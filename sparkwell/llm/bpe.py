@@ -15,7 +15,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text
+from .shared import clean_text, worker_state
 
 #: Fixed value: the pre-tokenisation pattern of this family of vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -242,10 +241,9 @@ class SpeculativeBPE:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def _vocabulary(path: str) -> SpeculativeBPE:
     """One for each worker process, which keeps the words and pairs it has seen from task to task."""
-    return SpeculativeBPE(path)
+    return worker_state(("bpe", path), lambda: SpeculativeBPE(path))
 
 
 def _fixed(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:

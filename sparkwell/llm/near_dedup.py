@@ -27,7 +27,7 @@ from .shared import clean_text, lookup, matching, materialize, mix64, release_me
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
 BLOCK = 512
 #: Bytes of text whose multisets a worker holds at once; a block with more is compared in parts.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

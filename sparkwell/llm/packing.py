@@ -24,7 +24,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text, materialize, numbered, release_memory
+from .shared import clean_text, materialize, numbered, release_memory, worker_state
 
 CAPACITY = 2048
 #: Encodings of chunks between spaces, and of words, that a worker remembers; emptied when full.
@@ -81,7 +80,8 @@ class ChunkEncoder:
     chunks, and those in which a special token may stand.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,7 +107,7 @@ class ChunkEncoder:
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of chunks, as many at once as there are."""
         for cache in (self.chunks, self.words):
-            if len(cache) > CACHE_CHUNKS:
+            if len(cache) > self.most:
                 cache.clear()
         new = list(chunks.difference(self.chunks))
         if _OTHER.search(" ".join(new)):
@@ -147,17 +147,16 @@ class ChunkEncoder:
                 held, size = [], 0
 
 
-@lru_cache(1)
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, most: int = CACHE_CHUNKS) -> ChunkEncoder:
     """One for each worker process, which keeps what it has learned from task to task."""
-    return ChunkEncoder(path)
+    return worker_state(("chunks", path, most), lambda: ChunkEncoder(path, most))
 
 
-def _piece_rows(tokenizer_path: str, capacity: int, end_id: int):
+def _piece_rows(tokenizer_path: str, capacity: int, end_id: int, remembered: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, remembered)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc, body in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
@@ -168,14 +167,14 @@ def _piece_rows(tokenizer_path: str, capacity: int, end_id: int):
                     for col, value in zip(cols, (doc, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        release_memory()
+        release_memory(keep=("chunks", tokenizer_path, remembered))
 
     return pieces
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", remembered: int = CACHE_CHUNKS) -> DataFrame:
     """Every document's ids and the end id, cut into pieces of ``capacity`` ids, the last one as long as it is; null texts are empty."""
-    return docs.select(F.col(key).cast("long"), clean_text(text).alias("text")).mapInArrow(_piece_rows(tokenizer_path, capacity, end_id), _PIECES)
+    return docs.select(F.col(key).cast("long"), clean_text(text).alias("text")).mapInArrow(_piece_rows(tokenizer_path, capacity, end_id, remembered), _PIECES)
 
 
 # ---------------------------------------------------------------- plan
@@ -357,14 +356,16 @@ def _place(runs: dict[str, np.ndarray]):
     return place
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", remembered: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document has a piece, as the end id follows an empty or null text too.
     Equal texts and repeated rows give pieces of their own. An empty table gives
     no row. The driver sees the histogram of lengths only.
+    A worker remembers the ids of about ``remembered`` chunks and as many words,
+    which trades its memory for its time and changes no result.
     """
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, key, text), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, key, text, remembered), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = _runs(plan_packing(histogram, capacity), capacity)
     ranked = numbered(pieces, "length", ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), "rank")

@@ -12,7 +12,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +127,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def release_memory() -> None:
-    """Give freed memory of a worker back to the system, so that idle workers do not add up."""
+_STATE: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a worker process from task to task, such as a vocabulary; one operator's at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def release_memory(keep: object = None) -> None:
+    """At the end of a task: drop what other operators keep, and give freed memory back to the system, so that idle workers do not add up."""
+    for key in [k for k in _STATE if k != keep]:
+        del _STATE[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
