@@ -11,6 +11,8 @@ is its signature: two texts agree in a slot with probability
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .shared import mix64
@@ -28,7 +30,10 @@ _SPREAD = np.float64(5.0)  # expected empty slots per text before a retry: exp(-
 
 
 def _word_table() -> np.ndarray:
-    """Lower case of the bytes of words (ASCII letters, digits, underscore, anything above 127); 0 for all others."""
+    """Lower case of the bytes of words (ASCII letters, digits, underscore, anything above 127); 0 for all others.
+
+    Right for texts whose characters above 127 are the letters of Latin-1; ``plain_words`` makes others such.
+    """
     table = np.zeros(256, np.uint8)
     table[97:123] = table[65:91] = np.arange(97, 123)
     table[48:58], table[95] = np.arange(48, 58), 95
@@ -38,15 +43,36 @@ def _word_table() -> np.ndarray:
 
 _WORD = _word_table()
 _PLACES = mix64(np.arange(1, 1 << 12, dtype=np.uint64))
+_UNICODE_WORD = re.compile(r"\w+")
 _SHINGLE = mix64(np.arange(101, 101 + SHINGLE_WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, where those with characters above 127 other than Latin-1's letters are given as their words in lower case.
+
+    Words are there the runs of what Unicode calls letters, numbers or underscores.
+    """
+    # lead bytes of other characters, and the signs of multiplication and division
+    other = (data >= 0xC4) | (data == 0xC2)
+    other[1:] |= ((data[1:] == 0x97) | (data[1:] == 0xB7)) & (data[:-1] == 0xC3)
+    where = np.flatnonzero(other)
+    if not len(where):
+        return data, offsets
+    sizes, parts, end = np.diff(offsets), [], 0
+    for doc in np.unique(np.searchsorted(offsets, where, side="right") - 1):
+        text = data[offsets[doc] : offsets[doc + 1]].tobytes().decode(errors="replace")
+        words = np.frombuffer(" ".join(_UNICODE_WORD.findall(text)).lower().encode(), np.uint8)
+        parts += [data[end : offsets[doc]], words]
+        end, sizes[doc] = offsets[doc + 1], len(words)
+    return np.concatenate([*parts, data[end:]]), np.r_[0, np.cumsum(sizes)]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words before each text and in all) of concatenated texts.
 
-    A word is a run of ASCII letters, digits, underscores and bytes above 127, in
-    lower case for ASCII and Latin-1.
+    A word is a run of Unicode's letters and numbers and of underscores, in lower case.
     """
+    data, offsets = plain_words(data, offsets)
     docs = len(offsets) - 1
     starts = offsets[:-1] + np.arange(docs)
     z = np.zeros(len(data) + docs, np.uint8)

@@ -128,6 +128,40 @@ def test_multisets(a, b):
     assert bag.similarity(multiset(a)[1:], multiset(b)[1:]) == pytest.approx(jaccard(shingles(a), shingles(b)))
 
 
+def unicode_shingles(text):
+    w = [x.lower() for x in re.findall(r"\w+", text)]
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+ODD_LETTERS = "ab É×÷_9ß.«»\u00a0“—ДдΣσς。、漢字ｱ́İ🙂½\n"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(ODD_LETTERS, max_size=60), min_size=1, max_size=4))
+def test_words_of_unicode(texts):
+    """Texts within Latin-1's letters and others side by side."""
+    raw = [t.encode() for t in texts]
+    doc, _, n = bag.multisets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, t in enumerate(texts):
+        assert sorted(n[doc == i].tolist()) == sorted(unicode_shingles(t).values())
+        assert bag.similarity(multiset(t)[1:], multiset(texts[0])[1:]) == pytest.approx(jaccard(unicode_shingles(t), unicode_shingles(texts[0])))
+
+
+def test_near_copies_beyond_latin(spark):
+    """Copies that differ in quotes, dashes and spaces, in case, or in a character of one of many sentences."""
+    prose = [f"word{i}" for i in range(40)]
+    cyrillic, greek, chinese = ("слово дело мысль " * 20 + "конец").split(), ("λόγος ἔργον φως " * 20).split(), [chr(0x4E00 + 7 * i) * 3 for i in range(60)]
+    pairs = [
+        (" ".join(f'"{w}"' for w in prose), "\u00a0".join(f"“{w}”" for w in prose)),
+        (" ".join(w + str(i) for i, w in enumerate(cyrillic)), " ".join(w.upper() + str(i) for i, w in enumerate(cyrillic))),
+        (" ".join(w + str(i) for i, w in enumerate(greek)), " ".join(w.upper() + str(i) for i, w in enumerate(greek))),
+        ("。".join(chinese), "。".join([*chinese[:30], "變", *chinese[31:]])),
+    ]
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {k: k | 1 for k, _ in rows}
+
+
 def test_signatures_are_unbiased():
     """Agreement of slots against weighted similarity, with weights above one, over many independent pairs."""
     rng = np.random.default_rng(5)
