@@ -23,8 +23,6 @@ ORDER = 4
 BINS = 1 << 16
 SMOOTHING = 0.1
 STEPS = 6
-#: Languages that one document's set may have.
-MOST_LANGUAGES = 3
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, np.uint8)
@@ -109,30 +107,37 @@ class LanguageModel:
         peak = likely.max(1, keepdims=True)
         likely = np.exp(likely - peak)  # of the best language 1; a word's constant factor changes no comparison
         has = np.flatnonzero(n)
-        cuts, doc = first[has], np.repeat(np.arange(len(has)), n[has])
-
-        def fit(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        doc = np.repeat(np.arange(len(has)), n[has])
+
+        def fit(share: np.ndarray, steps: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of some of the documents with words: ``share`` has their rows."""
+            chosen = np.zeros(len(has), bool)
+            chosen[docs] = True
+            part, size = likely[chosen[doc]] if len(docs) < len(has) else likely, n[has][docs]
+            of, cuts = np.repeat(np.arange(len(docs)), size), np.cumsum(size) - size
             for step in range(steps + 1):
-                joint = likely * share[doc]
+                joint = part * share[of]
                 total = joint.sum(1) + 1e-300
                 if step == steps:
                     return share, np.add.reduceat(np.log(total), cuts)
-                share = np.add.reduceat(joint / total[:, None], cuts, axis=0) / n[has][:, None]
+                share = np.add.reduceat(joint / total[:, None], cuts, axis=0) / size[:, None]
 
-        share, _ = fit(np.full((len(has), k), 1 / k), STEPS)
+        share, _ = fit(np.full((len(has), k), 1 / k), STEPS, np.arange(len(has)))
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-        best, chosen = None, None
-        for size in range(1, min(k, MOST_LANGUAGES) + 1):
-            subset = np.where(rank < size, share, 0)
+        # each language but the first costs half the logarithm of the number of words, and a word's evidence
+        cost = 0.5 * np.log(n[has]) + 3.0
+        best, chosen = np.full(len(has), -np.inf), np.zeros((len(has), k))
+        for size in range(1, k + 1):
+            # no word is likelier in a mixture than 1, so a set scores at most minus its cost: where that is no gain, no larger set is one
+            open_ = np.flatnonzero(-(size - 1) * cost > best)
+            if not len(open_):
+                break
+            subset = np.where(rank[open_] < size, share[open_], 0)
             subset /= np.maximum(subset.sum(1, keepdims=True), 1e-300)
-            subset, fitted = fit(subset, 0 if size == 1 else 2)
-            # each language but the first costs half the logarithm of the number of words, and a word's evidence
-            score = fitted - (size - 1) * (0.5 * np.log(n[has]) + 3.0)
-            if best is None:
-                best, chosen = score, subset
-            else:
-                better = score > best
-                best, chosen = np.where(better, score, best), np.where(better[:, None], subset, chosen)
+            subset, fitted = fit(subset, 0 if size == 1 else 2, open_)
+            score = fitted - (size - 1) * cost[open_]
+            better = score > best[open_]
+            best[open_[better]], chosen[open_[better]] = score[better], subset[better]
         out[has] = chosen
         return out, n
 

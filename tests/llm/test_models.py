@@ -159,6 +159,18 @@ def test_mixtures(spark):
     assert got[3] == got[4] == got[5] == ("und", 0.0, []) and got[6][0] in tongue
 
 
+def test_mixtures_of_many(spark):
+    """A text of every learned language tells all of them, with their shares."""
+    rng = random.Random(2)
+    tongue = {k: ["".join(rng.choices(letters, k=6)) for _ in range(8)] for k, letters in zip("abcde", ("abcde", "fghij", "klmno", "pqrst", "uvwxy"), strict=True)}
+    text = lambda k, n: " ".join(rng.choices(tongue[k], k=n))
+    model = language.fit_languages(spark.createDataFrame([(k, text(k, 50)) for k in tongue for _ in range(10)], "lang string, text string"))
+    docs = spark.createDataFrame([(n, " ".join(text(k, 60 - 10 * i) for i, k in enumerate("edcba"[:n]))) for n in range(1, 6)], "doc_id long, text string")
+    for r in language.predict_languages(docs, model, ["doc_id"]).collect():
+        n = r["doc_id"]
+        assert r["languages"] == list("edcba"[:n]) and abs(r["score"] - 60 / sum(60 - 10 * i for i in range(n))) < 0.02
+
+
 def test_language_odd(odd, empty):
     rows = language.identify_languages(odd).collect()
     assert len(rows) == odd.count() and {r["lang_pred"] for r in rows} <= {"en", "und"}
