@@ -45,6 +45,12 @@ def align_to_germline(rows: DataFrame, references: DataFrame, numbers: dict[str,
     return joined.groupBy("v_gene").applyInPandas(build, _ALIGNED)
 
 
+def rows_to_align(pool: DataFrame, rows: int = 50) -> DataFrame:
+    """v_gene, seq_id, aa_seq of the first rows of each gene by loop length and id, which an alignment shows; blank sequences among them are left out."""
+    place = F.row_number().over(W.Window.partitionBy("v_gene").orderBy(F.asc_nulls_last("cdr3_len"), "seq_id"))
+    return pool.select("v_gene", "seq_id", "cdr3_len", "aa_seq").withColumn("_place", place).where(F.col("_place") <= rows).where("trim(aa_seq) <> ''").select("v_gene", "seq_id", "aa_seq")
+
+
 def pairwise_to_germline(rows: DataFrame, references: DataFrame) -> DataFrame:
     """(seq_id, ref_gapped, seq_gapped) for each row by itself: scales with rows, shares no columns."""
     joined = rows.select("seq_id", "v_gene", "aa_seq").join(F.broadcast(references.select("v_gene", "germline_aa")), "v_gene").select("seq_id", "aa_seq", "germline_aa")

@@ -147,24 +147,23 @@ def sanger_calls(spark, sf):
     return told.groupBy("kind", "verdict").agg(F.count("*").alias("n"))
 
 
-def _picked(spark, sf):
-    pool = d.pool(spark, sf).where("n_ambiguous = 0 AND chain = 'H'").select("seq_id", "v_gene", F.substring("aa_seq", 1, 60).alias("aa_seq")).where("length(aa_seq) = 60")
-    return pool.orderBy(F.md5("seq_id"), "seq_id").limit(100)
+def _first_of_genes(pool):
+    """The first sequence of each gene in place of its germline."""
+    return pool.where("trim(aa_seq) <> ''").groupBy("v_gene").agg(F.min_by("aa_seq", "seq_id").alias("germline_aa"))
 
 
 @query()
 def align_to_germline(spark, sf):
-    """A hundred picks against the first of each gene, in shared columns."""
-    rows = _picked(spark, sf)
-    refs = rows.groupBy("v_gene").agg(F.min_by("aa_seq", "seq_id").alias("germline_aa"))
-    return alignment.align_to_germline(rows, refs)
+    """The rows that an alignment of each gene shows against the first of the gene, in shared columns."""
+    pool = d.pool(spark, sf)
+    return alignment.align_to_germline(alignment.rows_to_align(pool), _first_of_genes(pool))
 
 
 @query()
 def germline_differences(spark, sf):
-    rows = _picked(spark, sf)
-    refs = rows.groupBy("v_gene").agg(F.min_by("aa_seq", "seq_id").alias("germline_aa"))
-    return alignment.differences(alignment.pairwise_to_germline(rows, refs))
+    """Every row of the pool against the first of its gene."""
+    pool = d.pool(spark, sf).where("aa_seq IS NOT NULL")
+    return alignment.differences(alignment.pairwise_to_germline(pool, _first_of_genes(pool)))
 
 
 def _numbered(spark, sf):

@@ -42,3 +42,20 @@ def test_query(spark, duck, name):
     assert sorted(answer.columns) == columns
     at = [answer.columns.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in answer.fetchall())
+
+
+def test_germline_queries_see_the_whole_pool(spark):
+    """Rows, genes and residues beyond any sample or prefix; the rows of an alignment are the first by loop length and id."""
+    from pyspark.sql import functions as F
+
+    from sparkwell.plans import derive
+
+    pool = [(r["v_gene"], r["cdr3_len"], r["seq_id"], r["aa_seq"]) for r in derive.pool(spark, SF).select("v_gene", "cdr3_len", "seq_id", "aa_seq").collect()]
+    shown = {s: a for g in {p[0] for p in pool} for _, _, s, a in sorted(p for p in pool if p[0] == g)[:50] if a.strip()}
+    aligned = QUERIES["align_to_germline"](spark, SF).collect()
+    assert {r["seq_id"]: r["gapped"].replace("-", "") for r in aligned} == shown
+    first = {g: min((s, a) for h, _, s, a in pool if h == g and a.strip()) for g in {p[0] for p in pool}}
+    seen = QUERIES["germline_differences"](spark, SF).groupBy("seq_id").agg(F.max("number").alias("n")).collect()
+    own = {s for s, _ in first.values()}
+    assert {r["seq_id"] for r in seen} >= {s for g, _, s, a in pool if s not in own and a not in first[g][1]} - own
+    assert max(r["n"] for r in seen) > 60
