@@ -17,8 +17,8 @@ TRIM_Q, MIN_BP, COVERAGE, IDENTITY, SWAP_MARGIN, MIN_KMERS, MIXED, K = 20, 60, 0
 #: Verdicts by severity.
 VERDICTS = ("exact", "silent", "missense", "indel", "frameshift", "mixed", "wrong_clone", "no_insert", "low_quality", "unreadable")
 USABLE = ("exact", "silent")
-#: Ends of a sample's name that mark a rerun; a bare number does not.
-_RERUN = r"(?i)([-_ ]*(rerun|redo|repeat|retry|resequenced|reseq)\d*)+$"
+#: Ends of a sample's name that mark a rerun, words only after a separator; a bare number does not.
+_RERUN = r"(?iU)(?:[-_ .]+(?:rr|rerun|re-?run|repeat|redo|run[2-9]|v[2-9]|r[2-9])|\s*\(\d+\))"
 
 
 def mott_trim(quality: Column, cutoff: int = TRIM_Q, minimum: int = 20) -> Column:
@@ -50,8 +50,16 @@ def mott_trim(quality: Column, cutoff: int = TRIM_Q, minimum: int = 20) -> Colum
 
 
 def stem_of(name: Column) -> Column:
-    """A sample's name without its rerun marks."""
-    return F.regexp_replace(name, _RERUN, "")
+    """A sample's name without its rerun marks, and the separators around it; a name of marks only keeps the last."""
+    strip = lambda s, what: F.regexp_replace(s, f"(?U)^{what}+|{what}+$", "")
+
+    def shorter(s: Column, _: Column) -> Column:
+        rest = strip(F.regexp_replace(s, rf"{_RERUN}\s*$", ""), "[ _-]")
+        return F.when(rest == "", s).otherwise(rest)
+
+    # a step takes one mark; there are no more than its pattern is found anywhere
+    steps = F.sequence(F.lit(0), F.size(F.regexp_extract_all(name, F.lit(_RERUN), F.lit(0))))
+    return F.aggregate(steps, strip(name, r"\s"), shorter)
 
 
 def resolve_reruns(traces: DataFrame, prefer: str = "latest") -> DataFrame:

@@ -108,6 +108,10 @@ def mott_trim(spark, sf):
     return rows.select("doc_id", sequencing.mott_trim(F.col("q")).alias("t")).select("doc_id", "t.start", "t.end")
 
 
+#: Marks of reruns in the samples' names.
+RERUN_MARKS = ("_RR", "_rerun", "-re-run", " Rerun", ".repeat", "_-redo", *(f"_run{i}" for i in range(2, 10)), *(f"-v{i}" for i in range(2, 10)), *(f".r{i}" for i in range(2, 10)), " (1)", "(12)")
+
+
 @query("""
     WITH t AS (SELECT conv_id, turn, length(text) AS q20, CASE WHEN conv_id % 9 = 0 AND turn = 1 THEN NULL WHEN conv_id % 7 = 0 THEN turn // 2 ELSE turn END AS run FROM conversations),
     w AS (SELECT *, count(*) OVER s AS n, count(*) FILTER (run IS NULL) OVER s AS unknown, max(run) OVER s AS best, max(q20) OVER s AS top FROM t WINDOW s AS (PARTITION BY conv_id)),
@@ -116,8 +120,9 @@ def mott_trim(spark, sf):
     SELECT conv_id, turn, concat('S', conv_id) AS stem, status, CASE WHEN status = 'kept' AND top > mine THEN 'a superseded run has more good bases' ELSE '' END AS warning FROM y
 """)
 def resolve_reruns(spark, sf):
+    mark = F.element_at(F.array(*map(F.lit, RERUN_MARKS)), ((F.col("conv_id") + F.col("turn")) % len(RERUN_MARKS) + 1).cast("int"))
     rows = d.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.concat(F.lit("S"), F.col("conv_id").cast("string"), F.when(F.col("turn") > 0, F.expr("repeat('_rerun', CAST(1 + turn % 2 AS INT))")).otherwise("")).alias("sample"), F.length("text").alias("q20"),
+        "conv_id", "turn", F.concat(F.lit("S"), F.col("conv_id").cast("string"), F.when(F.col("turn") > 0, F.repeat(mark, (1 + F.col("turn") % 2).cast("int"))).otherwise("")).alias("sample"), F.length("text").alias("q20"),
         F.when((F.col("conv_id") % 9 == 0) & (F.col("turn") == 1), None).when(F.col("conv_id") % 7 == 0, F.floor(F.col("turn") / 2)).otherwise(F.col("turn")).alias("run_started"),
     )
     return sequencing.resolve_reruns(rows).select("conv_id", "turn", "stem", "status", "warning")

@@ -123,6 +123,13 @@ def test_reruns(spark):
     assert got == {"f1": ("S1", "superseded", False), "f2": ("S1", "kept", True), "f3": ("S2", "unresolved", False), "f4": ("S2", "unresolved", False), "f5": ("S3_2", "only", False)}
 
 
+def test_stems(spark):
+    """Every mark of a rerun goes, repeatedly, but only after a separator."""
+    stems = {"P3_RR": "P3", "P3-v2": "P3", "P3.r2": "P3", "P3 (1)": "P3", "P3(2)_run9 -Redo ": "P3", "P3_re-run_rerun": "P3", " P3_": "P3", "P3repeat": "P3repeat", "torredo": "torredo", "P3_2": "P3_2", "P3_v1": "P3_v1", "P3_r10": "P3_r10", "_rerun": "_rerun", "_rerun_RR": "rerun", "(1) (2)": "(1)", "P3\u00a0(٣)": "P3", "": ""}
+    frame = spark.createDataFrame([(k,) for k in [*stems, None]], "sample string")
+    assert {r["sample"]: r["stem"] for r in frame.select("sample", sequencing.stem_of(F.col("sample")).alias("stem")).collect()} == stems | {None: None}
+
+
 def test_mott(spark):
     good = [2] * 10 + [40] * 30 + [2] * 10
     frame = spark.createDataFrame([(1, good), (2, [40] * 19), (3, [])], "i int, q array<int>")
