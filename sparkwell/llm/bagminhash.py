@@ -22,8 +22,6 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-#: A pair at the least similarity agrees in 102 slots on average; in fewer than 78 with a probability below 1e-6.
-LEAST_SLOTS = 78
 
 _HASH_BITS = 44
 _SPREAD = np.float64(5.0)  # expected empty slots per text before a retry: exp(-5)

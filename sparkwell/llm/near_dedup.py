@@ -8,7 +8,8 @@
 3. In a block, each text is compared with all others of another class at once,
    by exact multiset overlap. A block returns the links that join its classes,
    not all pairs: at most one fewer than its members.
-4. Classes are the connected components of the links.
+4. Classes are the connected components of the links. Each keeps its closest link
+   as evidence.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from . import bagminhash as bag
 from .components import connected_components
-from .shared import clean_text, lookup, matching, materialize, mix64, release_memory, slices, utf8
+from .shared import Scratch, clean_text, lookup, matching, mix64, release_memory, slices, utf8
 
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
 BLOCK = 512
+#: Members that are compared with one copy of the smallest member of their bucket.
+STAR_ROWS = 1000
 #: Bytes of text whose multisets a worker holds at once; a block with more is compared in parts.
 PART_BYTES = 1 << 20
 
@@ -91,8 +94,8 @@ class _Sets:
         return common / np.maximum(self.size[one] + sizes - common, 1)
 
 
-def _links_of(nodes: np.ndarray, classes: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that join the classes of a block. Rows with ``left`` are compared with all rows, the others only with those."""
+def _links_of(nodes: np.ndarray, classes: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """Links that join the classes of a block, with their similarity. Rows with ``left`` are compared with all rows, the others only with those."""
     root, links = classes.copy(), []
     parts = list(slices(offsets, PART_BYTES))
     for k, first in enumerate(parts):
@@ -112,9 +115,11 @@ def _links_of(nodes: np.ndarray, classes: np.ndarray, left: np.ndarray, data: np
                 others = np.flatnonzero(other & (root[rows] != root[rows[i]]))
                 if not len(others):
                     continue
-                for j in rows[others[sets.against(i, others) >= least]].tolist():
+                found = sets.against(i, others)
+                alike = found >= least
+                for j, overlap in zip(rows[others[alike]].tolist(), found[alike].tolist(), strict=True):
                     if root[j] != root[rows[i]]:
-                        links.append((int(nodes[rows[i]]), int(nodes[j])))
+                        links.append((int(nodes[rows[i]]), int(nodes[j]), overlap))
                         root[root == root[j]] = root[rows[i]]
     return links
 
@@ -126,7 +131,7 @@ def _compared(least: float):
         held: list[pa.RecordBatch] = []
         current = None
 
-        def flush() -> list[tuple[int, int]]:
+        def flush() -> list[tuple[int, int, float]]:
             if not held:
                 return []
             table = pa.Table.from_batches(held).combine_chunks()
@@ -155,21 +160,36 @@ def _compared(least: float):
     return run
 
 
-def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+_LINKS = "a long, b long, overlap double"
 
 
-def _verified(least: float):
-    """Batches of (a, b, text of a, text of b): the pairs that are similar."""
+def _link_batch(links: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "overlap"])
+
+
+def _starred(least: float):
+    """Streams rows (center, salt, spoke, node, text) sorted by center, salt and spoke; the center's own text comes first, and all others are compared with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, shingle, weight = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
+            center, salt, spoke, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            data, offsets = utf8(batch.column(4))
+            cuts = np.flatnonzero(np.r_[True, (center[1:] != center[:-1]) | (salt[1:] != salt[:-1])])
             links = []
-            sides = [utf8(batch.column(i)) for i in (2, 3)]
-            for row, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                sets = [bag.multisets(d[o[row] : o[row + 1]], np.array([0, o[row + 1] - o[row]]))[1:] for d, o in sides]
-                if bag.similarity(*sets) >= least:
-                    links.append((a, b))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(center)], strict=True):
+                if not spoke[i]:
+                    current = center[i]
+                    shingle, weight = bag.multisets(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])[1:]
+                    i += 1
+                for p, q in slices(offsets[i : j + 1]):
+                    p, q = p + i, q + i
+                    doc, s, w = bag.multisets(data[offsets[p] : offsets[q]], offsets[p : q + 1] - offsets[p])
+                    at = np.minimum(np.searchsorted(shingle, s), len(shingle) - 1)
+                    hit = shingle[at] == s
+                    common = np.bincount(doc[hit], np.minimum(w[hit], weight[at[hit]]), minlength=q - p)
+                    overlap = common / (np.bincount(doc, w, minlength=q - p) + weight.sum() - common)
+                    links += [(int(node[p + k]), int(current), float(overlap[k])) for k in np.flatnonzero(overlap >= least).tolist()]
             yield _link_batch(links)
         release_memory()
 
@@ -177,43 +197,56 @@ def _verified(least: float):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = bag.SIMILARITY) -> DataFrame:
-    """One row per document: key, ``class_id``, ``class_size``, ``n_texts``, ``kept``, ``text_sha256``.
+    """One row per document: key, ``class_id``, ``class_size``, ``n_texts``, ``kept``, ``text_sha256``, ``n_links``, ``link``.
 
     A class is a connected component of the links between texts whose multisets
     of 5-word shingles overlap by ``least`` or more, together with the copies of
     each text. ``class_id`` is the largest key of the class, whose row is kept
     (one of them, if rows repeat it); ``class_size`` counts rows, ``n_texts``
-    different texts. A text without words, such as a null or empty one, is linked
-    to none, and is in a class with its copies only. A null key is smaller than any.
+    different texts. ``n_links`` counts the verified links that hold the class
+    together, ``link`` is the closest of them: the SHA-256 of its two texts and
+    their overlap; 0 and null where a text has copies only. A text without words,
+    such as a null or empty one, is linked to none, and is in a class with its
+    copies only. A null key is smaller than any. Columns of other names are
+    ignored; an empty table gives no row.
 
     The chance that a pair at the least similarity meets in no bucket is
     (1 - 0.8**4)**32, about 5e-8; there is no cap on partners.
     """
-    signed = materialize(sign_documents(docs, key, text), "signatures")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    signed = scratch.store(sign_documents(docs, key, text), "signatures")
     total = signed.count()
     texts = signed.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("stays"), F.first("signature").alias("signature"))
-    nodes = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.store(texts.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=total)
 
     # buckets with two members or more; those with the same members are compared once
     banded = nodes.where("signature IS NOT NULL").select("node", "signature").mapInArrow(_banded, "bucket long, node long")
     spread = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(20,0)")).alias(f"sum{s}") for s in (1, 2)]
     stats = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), *spread).where("n > 1")
-    stats = materialize(stats.groupBy("n", "low", "sum1", "sum2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "buckets")
-    members = matching(banded, stats, "bucket", total * bag.BANDS)
-    members = materialize(members.select("bucket", "node", "n", "low"), "members")
+    stats = scratch.store(stats.groupBy("n", "low", "sum1", "sum2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "buckets", rows=total)
+    members = scratch.store(matching(banded, stats, "bucket", total * bag.BANDS).select("bucket", "node", "n", "low"), "members", rows=4 * total)
 
-    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "sha", "n"), "node"), "wanted")
+    wanted = scratch.store(members.select("node").distinct().join(nodes.select("node", "sha", "n"), "node"), "wanted", rows=total)
     bodies = matching(docs.select(F.unhex(F.sha2(clean_text(text), 256)).alias("sha"), clean_text(text).alias("text")), wanted, "sha", total)
-    bodies = materialize(bodies.groupBy("node").agg(F.first("text").alias("text")), "bodies")
-
-    links = _compare_buckets(members, bodies, least)
-    roots = connected_components(links)
-    # one row for each text: its class, and the largest key there
-    placed = materialize(nodes.select("node", "sha", "n", "stays").join(roots, "node", "left").select("sha", "n", "stays", F.coalesce("root", "node").alias("root")), "placed")
-    classes = materialize(placed.groupBy("root").agg(F.sum("n").alias("class_size"), F.count("*").alias("n"), F.max("stays").alias("best")), "classes")
-    by_text = lookup(placed.withColumnRenamed("n", "copies"), classes, "root", placed.count())
-    by_text = materialize(by_text.select("sha", F.col("copies").alias("n"), "class_size", F.col("n").alias("n_texts"), "best"), "by-text")
+    bodies = scratch.store(bodies.groupBy("node").agg(F.first("text").alias("text")), "bodies")
+
+    links = _compare_buckets(scratch, members, bodies, least)
+    scratch.drop(stats, wanted, members, bodies)
+    roots = connected_components(links, scratch)
+    # one row for each text: its class, and what is known of that: rows, texts, the largest key, links and the closest of these
+    placed = nodes.select("node", "sha", "n", "stays").join(roots, "node", "left").select("node", "sha", "n", "stays", F.coalesce("root", "node").alias("root"))
+    placed = scratch.store(placed, "placed", rows=total)
+    held = links.join(roots, links["a"] == roots["node"]).groupBy("root").agg(F.count("*").alias("n_links"), F.max(F.struct("overlap", "a", "b")).alias("top"))
+    for end in ("a", "b"):
+        held = held.join(nodes.select(F.col("node").alias("_n"), F.col("sha").alias(f"sha_{end}")), F.col(f"top.{end}") == F.col("_n")).drop("_n")
+    classes = placed.groupBy("root").agg(F.sum("n").alias("class_size"), F.count("*").alias("n"), F.max("stays").alias("best"))
+    classes = classes.join(held.select("root", "n_links", "sha_a", "sha_b", "top.overlap"), "root", "left")
+    classes = scratch.store(classes, "classes", rows=total)
+    by_text = lookup(placed.withColumnRenamed("n", "copies"), classes, "root", total)
+    by_text = scratch.store(by_text.select("sha", F.col("copies").alias("n"), "class_size", F.col("n").alias("n_texts"), "best", "n_links", "sha_a", "sha_b", "overlap"), "by-text", rows=total)
+    scratch.drop(nodes, links, roots, placed, classes)
     out = lookup(signed.select("id", "row", "sha"), by_text, "sha", total)
+    link = F.struct(F.lower(F.hex("sha_a")).alias("a"), F.lower(F.hex("sha_b")).alias("b"), "overlap")
     return out.select(
         F.col("id").alias(key),
         F.col("best.id").alias("class_id"),
@@ -221,47 +254,66 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         "n_texts",
         (F.col("best.row") == F.col("row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("n_links") > 0, link).alias("link"),
     )
 
 
-def _compare_buckets(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join all similar members of every bucket."""
-    # the star of each bucket around its smallest member; a pair that meets in many buckets is compared once
-    star = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    with_a = star.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    found = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(least), "a long, b long"), "star-links")
+def _star_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links of members with the smallest member of a bucket. A smallest member with many others is dealt out in copies, each for ``STAR_ROWS`` of them."""
+    # a pair that meets in many buckets is compared once
+    spokes = members.where("node <> low").groupBy("node", "low").agg(F.max("n").alias("n"))
+    copies = F.ceil(F.col("n") / STAR_ROWS).cast("int")
+    dealt = spokes.select(F.col("low").alias("center"), F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"), F.lit(True).alias("spoke"), "node")
+    centers = members.where("node = low").groupBy(F.col("low").alias("center")).agg(F.max("n").alias("n"))
+    centers = centers.select("center", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(False).alias("spoke"), F.col("center").alias("node"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.unionByName(centers).join(bodies, "node").select("center", "salt", "spoke", "node", "text")
+    return rows.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "spoke").mapInArrow(_starred(least), _LINKS)
+
+
+def _compare_buckets(scratch: Scratch, members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links (a, b, overlap) that join all similar members of every bucket."""
+    found = scratch.store(_star_links(members, bodies, least), "star-links")
     # what is left in buckets of three members or more: who is not in the class of the smallest member
     larger = members.where("n > 2")
-    named = larger.join(connected_components(found), "node", "left").select("bucket", "node", "n", "low", F.coalesce("root", "node").alias("class"))
-    named = materialize(named, "classed")
+    if larger.isEmpty():
+        return found
+    roots = connected_components(found, scratch)
+    named = larger.join(roots, "node", "left").select("bucket", "node", "n", "low", F.coalesce("root", "node").alias("class"))
+    named = scratch.store(named, "classed", rows=larger.count())
     total = named.count()
     lows = named.where("node = low").select("bucket", F.col("class").alias("low_class"), "n")
-    named = materialize(lookup(named.drop("n"), lows, "bucket", total).withColumn("left", F.col("class") != F.col("low_class")), "left")
-    rest = named.where("left").groupBy("bucket").agg(F.count("*").alias("rest"), F.any_value("n").alias("n"))
+    marked = lookup(named.drop("n", "low"), lows, "bucket", total).withColumn("left", F.col("class") != F.col("low_class"))
+    rest = marked.where("left").groupBy("bucket").agg(F.count("*").alias("rest"), F.any_value("n").alias("n"))
     blocks, parts = (F.ceil(size / BLOCK).cast("int") for size in (F.col("rest"), F.col("n") - F.col("rest")))
-    counts = materialize(rest.select("bucket", "n", blocks.alias("blocks"), parts.alias("parts")), "open-buckets")
+    counts = scratch.store(rest.select("bucket", "n", blocks.alias("blocks"), parts.alias("parts")), "open-buckets", rows=total)
     if counts.isEmpty():
         return found
-    rows = materialize(lookup(named.select("bucket", "node", "class", "left"), counts, "bucket", total).where("blocks IS NOT NULL"), "open-members")
+    rows = lookup(marked.select("bucket", "node", "class", "left"), counts, "bucket", total).where("blocks IS NOT NULL")
+    rows = scratch.store(rows, "open-members", rows=total)
     small = rows.where(F.col("n") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), "node", "class", "left")
     # a large bucket: the rows that are left are dealt into blocks, which meet each other (i <= j) and every part of the
     # others; these, of one class, are then the rows that are compared with all
     large = rows.where(F.col("n") > BLOCK).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")})
-    open_ = large.where("left")
-    pairs = open_.select("bucket", "node", "class", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("p"))
-    pairs = pairs.select("bucket", (F.col("p.i").cast("long") * 1_000_003 + F.col("p.j") + 1).alias("block"), "node", "class", F.lit(True).alias("left"))
-    cross_open = open_.select("bucket", "node", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("own").alias("i"), F.lit(False).alias("left"))
-    cross_rest = large.where("NOT left").select("bucket", "node", "class", F.col("part").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(True).alias("left"))
-    cross = cross_open.unionByName(cross_rest).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
-    more = _in_blocks(small.unionByName(pairs).unionByName(cross), bodies, least)
-    return materialize(found.unionByName(more), "links")
+    more = small
+    if not large.isEmpty():
+        open_ = large.where("left")
+        pairs = open_.select("bucket", "node", "class", F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("p"))
+        pairs = pairs.select("bucket", (F.col("p.i").cast("long") * 1_000_003 + F.col("p.j") + 1).alias("block"), "node", "class", F.lit(True).alias("left"))
+        cross_open = open_.select("bucket", "node", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.col("own").alias("i"), F.lit(False).alias("left"))
+        cross_rest = large.where("NOT left").select("bucket", "node", "class", F.col("part").alias("j"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(True).alias("left"))
+        cross = cross_open.unionByName(cross_rest).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
+        more = small.unionByName(pairs).unionByName(cross)
+    links = scratch.store(found.unionByName(_in_blocks(more, bodies, least)), "links")
+    scratch.drop(found, roots, named, counts, rows)
+    return links
 
 
 def _in_blocks(rows: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     joined = rows.join(bodies, "node").select("bucket", "block", "node", "class", "left", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_compared(least), "a long, b long")
+    return joined.repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_compared(least), _LINKS)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,8 +26,10 @@ from pyspark.sql import window as W
 LOCAL_SCRATCH = "/tmp/checkpoints/sparkwell"
 #: At most this many keys are called hot, whatever the size of the input.
 MAX_HOT_KEYS = 1000
-#: Rows up to which a keyed table of narrow rows is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A keyed table is broadcast up to about so many bytes of a hash table; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Narrow rows for which a stored table gets a file more.
+ROWS_A_FILE = 50_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,17 +46,57 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """The tables of one run of an operator, under a folder of its own in the shared folder.
+
+    Storing a frame cuts its lineage and survives lost executors. A table goes as
+    soon as nothing that is still to run reads it (``drop``); those that the
+    operator's result reads stay until ``close``, which is the caller's.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.base = spark, scratch_path(spark, tag)
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, name: str, rows: int | None = None, compression: str = "zstd") -> DataFrame:
+        """Write and read again. ``rows``: a bound on the number of narrow rows; the table gets no more tasks and files than these need."""
+        path = f"{self.base}/{len(self.tables)}-{name}"
+        out = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        out.write.option("compression", compression).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *frames: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is f for f in frames):
+                delete_path(self.spark, path)
+
+    def close(self) -> None:
+        delete_path(self.spark, self.base)
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write a frame to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A frame stored in the shared folder, apart from any operator's run."""
+    return Scratch(df.sparkSession, tag).store(df, tag, compression=compression)
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """About what a row of numbers and digests takes in a hash table."""
+    sizes = [row_bytes(f.dataType) if isinstance(f.dataType, T.StructType) else 48 if isinstance(f.dataType, T.BinaryType | T.StringType) else 8 for f in schema]
+    return 48 + sum(sizes)
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether a stored narrow frame has at most ``BROADCAST_ROWS`` rows."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether a stored narrow frame takes at most ``BROADCAST_BYTES`` when broadcast."""
+    most = BROADCAST_BYTES // row_bytes(df.schema)
+    return df.limit(most + 1).count() <= most
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -70,15 +112,18 @@ def hot_threshold(total: int) -> int:
 def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
     """``rows LEFT JOIN groups USING (key)`` where one key may hold a third of all rows.
 
-    ``groups`` has one row per key and the number of ``rows`` with it in column
-    ``count``. The hot keys, at most ``MAX_HOT_KEYS`` by construction, are joined
-    by broadcast; the rest by shuffle, where no key has more than
-    ``hot_threshold(total)`` rows. Both frames should be stored, as each is read twice.
+    ``groups``, a stored frame, has one row per key and the number of ``rows``
+    with it in column ``count``. The hot keys, at most ``MAX_HOT_KEYS`` by
+    construction, are joined by broadcast; the rest by shuffle, where no key has
+    more than ``hot_threshold(total)`` rows. Where no key is hot, the join is a
+    plain one. ``rows`` should be stored, as they may be read twice.
     """
     limit = hot_threshold(total)
-    hot, cold = groups.where(F.col(count) > limit), groups.where(F.col(count) <= limit)
+    hot = groups.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, key, "left")
     first = rows.join(F.broadcast(hot), key, "inner")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(count) <= limit), key, "left")
     return first.unionByName(rest)
 
 

@@ -69,7 +69,7 @@ def test_exact_with_a_hot_text(spark):
 
 def test_without_broadcasts(spark, monkeypatch):
     """Beyond the bound on rows, the joins go by shuffle, hot keys apart; here every key of more than two rows is hot."""
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 300)
     monkeypatch.setattr(shared, "hot_threshold", lambda total: 2)
     rows = corpus(5, 12, 12) + [(10_000 + i, "the same words again and again " * 3) for i in range(200)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
