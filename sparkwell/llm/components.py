@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, hot_threshold, lookup
 
-#: Edges that a task contracts at once; what they leave, at most one edge a node, is contracted with the next ones.
+#: Edges that a task gets, about.
+TASK_EDGES = 250_000
+#: Edges that are contracted at once; what they leave, at most one edge a node, is contracted with the next ones.
 PART_EDGES = 1_000_000
 
 _EDGES = "node long, root long"
@@ -49,6 +51,11 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
 
 
+def _contract(edges: DataFrame, most: int) -> DataFrame:
+    """Stars of the parts of up to ``most`` edges; the fewer the parts, the less is left to the rounds."""
+    return edges.coalesce(max(1, -(-most // TASK_EDGES))).mapInArrow(_contracted, _EDGES)
+
+
 def _hub_lookup(scratch: Scratch, rows: DataFrame, key: str, values: DataFrame, total: int) -> DataFrame:
     """``rows LEFT JOIN values USING (key)``, where many rows may name one key."""
     busy = rows.groupBy(key).agg(F.count("*").alias("_uses")).where(F.col("_uses") > hot_threshold(total))
@@ -72,7 +79,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     """
     scratch = scratch or Scratch(edges.sparkSession, "components")
     left = edges.count()
-    old, stars = [], scratch.store(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, _EDGES), "stars", rows=left)
+    old, stars = [], scratch.store(_contract(edges.where("a <> b").select("a", "b"), left), "stars")
     while True:
         total = stars.count()
         ups = scratch.store(stars.groupBy("node").agg(F.min("root").alias("up")), "ups", rows=total)
@@ -86,7 +93,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         least = scratch.store(large.groupBy("node").agg(F.min("root").alias("up")), "least", rows=total)
         small = _hub_lookup(scratch, large, "node", least, total)
         small = small.select(F.explode(F.array(F.struct("node", F.col("up").alias("root")), F.struct(F.col("root").alias("node"), F.col("up").alias("root")))).alias("e")).select("e.*")
-        stars = scratch.store(small.where("node <> root").distinct().mapInArrow(_contracted, _EDGES), "stars", rows=2 * total)
+        stars = scratch.store(_contract(small.where("node <> root").distinct(), 2 * total), "stars")
         scratch.drop(*old, large, least)
         old = []
     nodes = ups.select("node").unionByName(ups.select(F.col("up").alias("node"))).distinct()

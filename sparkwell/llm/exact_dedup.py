@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, clean_text, lookup, matching, materialize
+from .shared import Scratch, broadcast_if_small, clean_text, lookup, matching
 
 #: Fingerprints that a merged range holds on average.
 RANGE_FINGERPRINTS = 250_000
@@ -165,37 +165,46 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     rows repeat key and text, one of them stays. A null key is smaller than any.
     The texts of repeated fingerprints are grouped with partial aggregation, so
     each map task ships a text once; everything else moves narrow rows. Columns
-    of other names are ignored.
+    of other names are ignored; an empty table gives no row.
     """
+    return _exact(Scratch(docs.sparkSession, "exact-dedup"), docs, key, text)[0]
+
+
+def _exact(scratch: Scratch, docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """The result of ``exact_duplicates`` and the number of its rows."""
     body = clean_text(text)
     fingerprint = F.xxhash64(body)
-    narrow = materialize(
-        docs.select(F.col(key).alias("_id"), fingerprint.alias("fp"), F.unhex(F.sha2(body, 256)).alias("sha"), F.monotonically_increasing_id().alias("row")),
-        "fingerprints",
-    )
+    narrow = docs.select(F.col(key).alias("_id"), fingerprint.alias("fp"), F.unhex(F.sha2(body, 256)).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    narrow = scratch.store(narrow, "fingerprints")
     total = narrow.count()
-    repeated = materialize(repeated_fingerprints(narrow.select("fp"), total), "repeated")
+    repeated = scratch.store(repeated_fingerprints(narrow.select("fp"), total), "repeated")
     # byte verification: the whole text is the grouping key
     suspects = matching(docs.select(fingerprint.alias("fp"), body.alias("body")), repeated, "fp", total, "fp_count")
     same_bytes = suspects.groupBy("body").agg(F.count("*").alias("n"))
     verified = same_bytes.where("n > 1").select(F.unhex(F.sha2("body", 256)).alias("sha"), "n")
     stays = matching(narrow, repeated, "fp", total, "fp_count").groupBy("sha").agg(F.max(F.struct("_id", "row")).alias("stays"))
-    groups = materialize(verified.join(stays, "sha"), "groups")
+    groups = scratch.store(verified.join(stays, "sha"), "groups", rows=total)
+    scratch.drop(repeated)
     out = lookup(narrow, groups, "sha", total)
-    return out.select(
+    out = out.select(
         F.col("_id").alias(key),
         F.when(F.col("n").isNull(), F.col("_id")).otherwise(F.col("stays._id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("stays.row") == F.col("row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+    return out, total
 
 
-def keep_marked(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (key, text_sha256) is ``kept`` in ``marked``, all their columns; of rows that repeat both, one."""
-    seen = marked.groupBy(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha"))
-    marks = materialize(seen.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1"), "marks")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.sha2(clean_text(text), 256).alias("_text"))
+def keep_marked(scratch: Scratch, docs: DataFrame, marked: DataFrame, total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose (key, text_sha256) is ``kept`` in ``marked``, all their columns; of rows that repeat both, one.
+
+    Of ``scratch`` only the marks stay: the keys and digests of rows that go or that repeat both.
+    """
+    seen = marked.groupBy(F.col(key).alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    marks = scratch.store(seen.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("NOT _kept OR _rows > 1"), "marks", rows=total)
+    scratch.keep_only(marks)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.unhex(F.sha2(clean_text(text), 256)).alias("_text"))
     on = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
     gone, twice = (broadcast_if_small(marks.where(w)) for w in ("NOT _kept", "_kept"))
     keep = rows.join(gone, on, "left_anti")
@@ -208,4 +217,5 @@ def keep_marked(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: s
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, all their columns: one row of each group of equal texts."""
-    return keep_marked(docs, exact_duplicates(docs, key, text), key, text)
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    return keep_marked(scratch, docs, *_exact(scratch, docs, key, text), key, text)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bagminhash as bag
 from .components import connected_components
+from .exact_dedup import keep_marked
 from .shared import Scratch, clean_text, lookup, matching, mix64, release_memory, slices, utf8
 
 #: Members that are compared in one piece; a larger bucket is cut into blocks of about this size.
@@ -213,7 +214,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     The chance that a pair at the least similarity meets in no bucket is
     (1 - 0.8**4)**32, about 5e-8; there is no cap on partners.
     """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    return _near(Scratch(docs.sparkSession, "near-dedup"), docs, key, text, least)[0]
+
+
+def _near(scratch: Scratch, docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, int]:
+    """The result of ``near_duplicates`` and the number of its rows."""
     signed = scratch.store(sign_documents(docs, key, text), "signatures")
     total = signed.count()
     texts = signed.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("stays"), F.first("signature").alias("signature"))
@@ -247,7 +252,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     scratch.drop(nodes, links, roots, placed, classes)
     out = lookup(signed.select("id", "row", "sha"), by_text, "sha", total)
     link = F.struct(F.lower(F.hex("sha_a")).alias("a"), F.lower(F.hex("sha_b")).alias("b"), "overlap")
-    return out.select(
+    out = out.select(
         F.col("id").alias(key),
         F.col("best.id").alias("class_id"),
         "class_size",
@@ -257,6 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n_links") > 0, link).alias("link"),
     )
+    return out, total
 
 
 def _star_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
@@ -316,8 +322,7 @@ def _in_blocks(rows: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     return joined.repartition(parts, "bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(_compared(least), _LINKS)
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = bag.SIMILARITY) -> DataFrame:
     """The documents that stay, all their columns: one row of each class."""
-    from .exact_dedup import keep_marked
-
-    return keep_marked(docs, near_duplicates(docs, key, text), key, text)
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    return keep_marked(scratch, docs, *_near(scratch, docs, key, text, least), key, text)

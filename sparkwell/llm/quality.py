@@ -24,6 +24,9 @@ PASSAGE_WORDS = 64
 TRAIN_DOCUMENTS = 4000
 #: Longer documents are scored like any other but not learned from.
 TRAIN_CHARS = 200_000
+#: Passages of a document that are learned from, at most, spread over its whole length: with the bounds above, what is
+#: gathered to learn from takes at most 220 MB, whatever the corpus.
+TRAIN_PASSAGES = 64
 THRESHOLD = 0.3
 _PAIR_BINS = 64
 _HIDDEN, _ATTENTION = 24, 12
@@ -197,19 +200,20 @@ def fold_of(key: F.Column, folds: int) -> F.Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column(2))
+        data, offsets = utf8(batch.column(3))
         blobs = []
         for i, j in slices(offsets):
             x, first = passage_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            blobs += [part.tobytes() for part in np.split(x, first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["y", "weight", "bag"])
+            blobs += [part[np.unique(np.linspace(0, len(part) - 1, TRAIN_PASSAGES).astype(int))].tobytes() for part in np.split(x, first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], names=["_id", "y", "weight", "bag"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 0, folds: int = 5, most: int = TRAIN_DOCUMENTS) -> AttentionModel:
     """Learn from the labelled documents outside a fold of the keys, at most ``most`` of each class.
 
     Rows without a label or key are not learned from; of several labels of one key
-    the largest holds. The sample's keys, at most ``2 * most``, are broadcast.
+    the largest holds, and of several documents of one key the first in the order
+    of their digests. The sample's keys, at most ``2 * most``, are broadcast.
     """
     known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(key), folds) != fold)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("double").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -218,11 +222,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         return AttentionModel.constant(0.5)
     sample = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     rows = docs.select(F.col(key).alias("_id"), clean_text(text).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "_id")
-    got = rows.select("y", "weight", "text").mapInArrow(_bags, "y double, weight double, bag binary").collect()
-    got = sorted(got, key=lambda r: (r["y"], bytes(r["bag"])))  # the order of rows must not matter
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in got]
-    weights = np.array([r["weight"] for r in got])
-    return AttentionModel.fit(bags, np.array([r["y"] for r in got]), weights / max(weights.mean(), 1e-9) if len(weights) else weights)
+    rows = rows.select("_id", "y", "weight", "text").mapInArrow(_bags, "_id string, y double, weight double, bag binary")
+    got = rows.groupBy("_id", "y", "weight").agg(F.min("bag").alias("bag")).orderBy("_id").toArrow()  # the order of rows must not matter
+    bags = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, FEATURES) for b in got["bag"]]
+    weights = got["weight"].to_numpy()
+    model = AttentionModel.fit(bags, got["y"].to_numpy(), weights / max(weights.mean(), 1e-9) if len(weights) else weights)
+    del bags, got
+    release_memory()
+    return model
 
 
 def _scored(model: AttentionModel):

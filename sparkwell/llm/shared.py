@@ -78,6 +78,9 @@ class Scratch:
             if any(table is f for f in frames):
                 delete_path(self.spark, path)
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.tables if not any(t is f for f in frames)))
+
     def close(self) -> None:
         delete_path(self.spark, self.base)
 
