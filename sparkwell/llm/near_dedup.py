@@ -285,18 +285,19 @@ def _compare_buckets(scratch: Scratch, members: DataFrame, bodies: DataFrame, le
     larger = members.where("n > 2")
     if larger.isEmpty():
         return found
-    roots = connected_components(found, scratch)
-    named = larger.join(roots, "node", "left").select("bucket", "node", "n", "low", F.coalesce("root", "node").alias("class"))
-    named = scratch.store(named, "classed", rows=larger.count())
-    total = named.count()
-    lows = named.where("node = low").select("bucket", F.col("class").alias("low_class"), "n")
-    marked = lookup(named.drop("n", "low"), lows, "bucket", total).withColumn("left", F.col("class") != F.col("low_class"))
-    rest = marked.where("left").groupBy("bucket").agg(F.count("*").alias("rest"), F.any_value("n").alias("n"))
+    total, roots = larger.count(), connected_components(found, scratch)
+    lows = larger.where("node = low").join(roots, "node", "left").select("bucket", "n", F.coalesce("root", "node").alias("low_class"))
+    lows = scratch.store(lows, "lows", rows=total)
+    # who is linked to the smallest member itself is in its class; the others may be, through others
+    linked = found.select(F.col("a").alias("node"), F.col("b").alias("low"))
+    others = larger.where("node <> low").join(linked, ["node", "low"], "left_anti").join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("class"))
+    rest = lookup(others, lows, "bucket", total).where("class <> low_class").groupBy("bucket", "n", "low_class").agg(F.count("*").alias("rest"))
     blocks, parts = (F.ceil(size / BLOCK).cast("int") for size in (F.col("rest"), F.col("n") - F.col("rest")))
-    counts = scratch.store(rest.select("bucket", "n", blocks.alias("blocks"), parts.alias("parts")), "open-buckets", rows=total)
+    counts = scratch.store(rest.select("bucket", "n", "low_class", blocks.alias("blocks"), parts.alias("parts")), "open-buckets", rows=total)
     if counts.isEmpty():
         return found
-    rows = lookup(marked.select("bucket", "node", "class", "left"), counts, "bucket", total).where("blocks IS NOT NULL")
+    rows = lookup(larger.select("bucket", "node"), counts, "bucket", total).where("blocks IS NOT NULL").join(roots, "node", "left")
+    rows = rows.withColumn("class", F.coalesce("root", "node")).withColumn("left", F.col("class") != F.col("low_class")).drop("root", "low_class")
     rows = scratch.store(rows, "open-members", rows=total)
     small = rows.where(F.col("n") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), "node", "class", "left")
     # a large bucket: the rows that are left are dealt into blocks, which meet each other (i <= j) and every part of the
@@ -312,7 +313,7 @@ def _compare_buckets(scratch: Scratch, members: DataFrame, bodies: DataFrame, le
         cross = cross_open.unionByName(cross_rest).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
         more = small.unionByName(pairs).unionByName(cross)
     links = scratch.store(found.unionByName(_in_blocks(more, bodies, least)), "links")
-    scratch.drop(found, roots, named, counts, rows)
+    scratch.drop(found, roots, lows, counts, rows)
     return links
 
 
