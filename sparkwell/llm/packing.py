@@ -8,9 +8,10 @@ sequence; the linear program covers the histogram with as few as it can.
   ``length / capacity``, which is dual feasible, and fall as a length is covered.
 * A knapsack dynamic program prices: it finds the fullest configurations at those
   prices, several disjoint ones from one table.
-* Rounding takes whole copies of the configurations, most used first, as far as
-  the histogram still has their lengths; what is left, a few pieces for each
-  configuration, is filled into its own sequences and gaps by best fit.
+* Rounds go on until every length is covered. Rounding takes whole copies of the
+  configurations, most used first; what is left is less than one copy of each,
+  however large the corpus. Near-full configurations are priced for that again,
+  and best fit places the few pieces that then remain.
 
 The plan, a few thousand configurations, goes to all tasks; pieces find their
 place from their rank among the pieces of their length.
@@ -38,13 +39,13 @@ CAPACITY = 2048
 CACHE_CHUNKS = 400_000
 #: Characters of text whose new chunks are encoded together.
 BATCH_CHARS = 1 << 20
-#: Share of a length's demand that one step of the weights may cover.
-STEP = 0.2
+#: Share of a length's demand that a step of the weights may cover, at first; and its growth from round to round, up to
+#: all of the demand, when each step closes a length: so the rounds end by themselves, with every length covered.
+STEP, STEP_GROWTH = 0.2, 1.02
 #: How far weights fall until a length is covered: exp(-TILT).
 TILT = 0.5
 #: Configurations this close to the best price may be taken in the same round.
 SLACK = 0.02
-MAX_ROUNDS = 400
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -182,10 +183,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 @dataclass
 class Plan:
-    """``configs``: (lengths and multiplicities, copies). ``lower_bound``: no packing needs fewer sequences."""
+    """``configs``: (lengths and multiplicities, copies). ``lower_bound``: no packing needs fewer sequences.
+
+    ``priced``: different configurations of the linear program; ``fitted``: pieces that were left to best fit.
+    """
 
     configs: list[tuple[tuple[tuple[int, int], ...], int]]
     lower_bound: int
+    priced: int
+    fitted: int
 
     @property
     def sequences(self) -> int:
@@ -234,17 +240,15 @@ def _disjoint(order: np.ndarray, values: dict[int, float], best: np.ndarray, fir
         yield config
 
 
-def _cover(demand: np.ndarray, capacity: int, step: float, rounds: int, seed: int) -> tuple[dict[tuple, float], float]:
-    """Fractional cover by multiplicative weights: configurations with their use, and the best dual bound seen."""
+def _cover(demand: np.ndarray, capacity: int, seed: int) -> tuple[dict[tuple, float], float]:
+    """Fractional cover of the whole demand by multiplicative weights: configurations with their use, and the best dual bound seen."""
     lengths_all = np.flatnonzero(demand)
     rng = np.random.default_rng(seed)
     covered = np.zeros(capacity + 1)
     use: dict[tuple, float] = {}
     bound = 0.0
-    for _ in range(rounds):
-        open_ = lengths_all[covered[lengths_all] < 1 - 1e-9]
-        if not len(open_):
-            break
+    step = STEP
+    while len(open_ := lengths_all[covered[lengths_all] < 1 - 1e-9]):
         weight = open_ / capacity * np.exp(-TILT * covered[open_]) * (1 + 1e-3 * rng.random(len(open_)))
         best, first = _knapsack(weight, open_, capacity)
         if len(open_) == len(lengths_all):
@@ -252,17 +256,14 @@ def _cover(demand: np.ndarray, capacity: int, step: float, rounds: int, seed: in
         values = dict(zip(open_.tolist(), weight.tolist(), strict=True))
         # the least covered first; of these the longest, which are the hardest to place
         order = open_[np.lexsort((-open_, np.round(covered[open_], 3)))]
-        found = False
         for config in _disjoint(order, values, best, first, capacity, np.full(capacity + 1, capacity), SLACK):
-            found = True
             # a step covers a share of the scarcest length, and no length beyond its demand
             copies = min(min(step, 1 - covered[x]) * demand[x] / n for x, n in config.items())
             for x, n in config.items():
                 covered[x] += copies * n / demand[x]
             key = tuple(sorted(config.items()))
             use[key] = use.get(key, 0.0) + copies
-        if not found:
-            break
+        step = min(1.0, step * STEP_GROWTH)
     return use, bound
 
 
@@ -290,7 +291,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, seed: int
     for length, n in histogram.items():
         left[length] = n
     area = -(-int((left * np.arange(capacity + 1)).sum()) // capacity)
-    use, dual = _cover(left.astype(float), capacity, STEP, MAX_ROUNDS, seed)
+    use, dual = _cover(left.astype(float), capacity, seed)
     taken: dict[tuple, int] = {}
 
     def take(config: tuple, most: int) -> None:
@@ -307,10 +308,9 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, seed: int
     for config, x in sorted(use.items(), key=lambda c: (-sum(a * b for a, b in c[0]), -(c[1] - int(c[1])), c[0])):
         if x > int(x) and sum(a * b for a, b in config) == capacity:
             take(config, 1)
-    for _ in range(MAX_ROUNDS):
+    moved = True
+    while moved and left.sum() >= 64:
         open_ = np.flatnonzero(left)
-        if left.sum() < 64 or not len(open_):
-            break
         weight = open_ / capacity * (1 + 0.05 * open_ / capacity)
         best, first = _knapsack(weight, open_, capacity)
         values = dict(zip(open_.tolist(), weight.tolist(), strict=True))
@@ -319,11 +319,10 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, seed: int
             if sum(a * b for a, b in config.items()) >= capacity - 1:
                 take(tuple(sorted(config.items())), max(1, min(int(left[x]) // n for x, n in config.items()) // 2))
                 moved = True
-        if not moved:
-            break
+    fitted = int(left.sum())
     for config in _best_fit(left, capacity):
         taken[config] = taken.get(config, 0) + 1
-    return Plan(sorted(taken.items()), max(area, int(np.ceil(dual - 1e-6))))
+    return Plan(sorted(taken.items()), max(area, int(np.ceil(dual - 1e-6))), len(use), fitted)
 
 
 def _runs(plan: Plan, capacity: int) -> dict[str, np.ndarray]:

@@ -3,13 +3,15 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, address schemes, plus
 signs, digits and identifier cues. At each anchor a deterministic parser expands
 to both sides and validates what it finds: mail domain, octets, check digits,
-digit counts. No parser looks further than its own span, so a text costs one
-pass and the length of its spans.
+digit counts. A parser does not start inside what its kind has already covered,
+and a run that failed is remembered, so each kind passes over a text at most a
+few times, whatever the cues.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,19 +31,23 @@ IBAN_CUES = ("iban",)
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
-_LABEL = _ALNUM | {"-"}
-_PHONE = _DIGITS | frozenset(" ().-")
-_SECRET = _ALNUM | frozenset("_-+/=.")
+
+_DIGIT_RUN = re.compile(r"[0-9]*")
+_LABEL_RUN = re.compile(r"[A-Za-z0-9-]*")
+_PHONE_RUN = re.compile(r"[0-9 ().-]*")
+_URL_RUN = re.compile(r"[^\s<>\"'`|]*")
+_SECRET_RUN = re.compile(r"[A-Za-z0-9_\-+/=.]*")
+_QUOTE_RUN = re.compile(r"[ \t\"']*")
+_IBAN_LEAD = re.compile(r"[ :=#]*")
+_LAST_DIGIT = re.compile(r".*[0-9]", re.DOTALL)
+_LAST_LETTER = re.compile(r".*[A-Za-z]", re.DOTALL)
 
 Span = tuple[str, int, int]
 
 
-def _run(text: str, at: int, allowed: frozenset) -> int:
+def _run(text: str, at: int, allowed: re.Pattern) -> int:
     """End of the run of allowed characters that starts at ``at``."""
-    n = len(text)
-    while at < n and text[at] in allowed:
-        at += 1
-    return at
+    return allowed.match(text, at).end()
 
 
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
@@ -49,20 +55,20 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     start = at
     while start > floor and text[start - 1] in _LOCAL:
         start -= 1
-    end = _run(text, at + 1, _LABEL)
+    end = _run(text, at + 1, _LABEL_RUN)
     if start == at or end == at + 1:
         return None
     labels = 0
-    while end < len(text) and text[end] == "." and (more := _run(text, end + 1, _LABEL)) > end + 1:
+    while end < len(text) and text[end] == "." and (more := _run(text, end + 1, _LABEL_RUN)) > end + 1:
         end, labels = more, labels + 1
     return (start, end) if labels else None
 
 
 def _ips(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
     """Addresses in the chain of dotted numbers that starts at ``at``, four numbers each, and the end of the chain."""
-    runs = [(at, _run(text, at, _DIGITS))]
+    runs = [(at, _run(text, at, _DIGIT_RUN))]
     while (end := runs[-1][1]) + 1 < len(text) and text[end] == "." and text[end + 1] in _DIGITS:
-        runs.append((end + 1, _run(text, end + 1, _DIGITS)))
+        runs.append((end + 1, _run(text, end + 1, _DIGIT_RUN)))
     found = []
     for i in range(0, len(runs) - 3, 4):
         parts = [text[a:b].lstrip("0") for a, b in runs[i : i + 4]]
@@ -84,7 +90,7 @@ def _card(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
     """The chain of digits with single spaces or hyphens between; valid if it has 13 to 19 digits and the check digit is right."""
     n, end, parts = len(text), at, []
     while True:
-        stop = _run(text, end, _DIGITS)
+        stop = _run(text, end, _DIGIT_RUN)
         parts.append(text[end:stop])
         end = stop
         if end + 1 < n and text[end] in " -" and text[end + 1] in _DIGITS:
@@ -99,7 +105,7 @@ def _phone(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
     """From a plus sign to the last digit of the run of digits, spaces, dots, hyphens and brackets."""
     if at + 1 >= len(text) or text[at + 1] not in _DIGITS:
         return None, at + 1
-    end = _run(text, at + 2, _PHONE)
+    end = _run(text, at + 2, _PHONE_RUN)
     while end > at + 3 and text[end - 1] not in _DIGITS:
         end -= 1
     if end <= at + 3:
@@ -109,9 +115,7 @@ def _phone(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
 
 
 def _url(text: str, at: int, scheme_end: int) -> tuple[int, int] | None:
-    end = scheme_end
-    while end < len(text) and not text[end].isspace() and text[end] not in "<>\"'`|":
-        end += 1
+    end = _run(text, scheme_end, _URL_RUN)
     while end > scheme_end and text[end - 1] in ".,;:!?)]}":
         end -= 1
     return (at, end) if end > scheme_end else None
@@ -119,30 +123,47 @@ def _url(text: str, at: int, scheme_end: int) -> tuple[int, int] | None:
 
 def _iban(text: str, at: int) -> tuple[int, int] | None:
     """After a cue: two letters, two digits, 11 to 30 letters or digits in groups; the remainder by 97 must be 1."""
-    start = _run(text, at, frozenset(" :=#"))
+    start = _run(text, at, _IBAN_LEAD)
     end, kept = start, []
     while end < len(text) and len(kept) < 34 and (text[end] in _ALNUM or (text[end] == " " and end + 1 < len(text) and text[end + 1] in _ALNUM)):
         if text[end] != " ":
             kept.append(text[end].upper())
         end += 1
-        code = "".join(kept)
-        if len(code) >= 15 and (end == len(text) or text[end] not in _ALNUM) and code[:2].isalpha() and code[2:4].isdigit():
-            turned = code[4:] + code[:4]
+        if len(kept) == 4 and not ("".join(kept[:2]).isalpha() and "".join(kept[2:]).isdigit()):
+            return None
+        if len(kept) >= 15 and (end == len(text) or text[end] not in _ALNUM):
+            turned = "".join(kept[4:] + kept[:4])
             if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1:
                 return start, end
     return None
 
 
-def _secret(text: str, at: int) -> tuple[int, int] | None:
-    """After a cue: an equals sign or colon, then a value of 16 characters or more with letters and digits, perhaps in quotes."""
-    start = _run(text, at, frozenset(" \t\"'"))
-    if start >= len(text) or text[start] not in "=:":
-        return None
-    start = _run(text, start + 1, frozenset(" \t\"'"))
-    end = _run(text, start, _SECRET)
-    value = text[start:end]
-    mixed = any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)
-    return (start, end) if end - start >= 16 and mixed else None
+class _Secrets:
+    """Values after cues of one text: an equals sign or colon, then 16 characters or more with letters and digits, perhaps in quotes.
+
+    The last run of such characters is remembered with its last digit and letter,
+    so that further cues inside it are settled without another pass.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.first, self.end, self.digit, self.letter = 0, 0, -1, -1
+
+    def after(self, at: int, floor: int) -> tuple[int, int] | None:
+        """The value after a cue that ends at ``at``; none that starts before ``floor``."""
+        text = self.text
+        start = _run(text, at, _QUOTE_RUN)
+        if start >= len(text) or text[start] not in "=:":
+            return None
+        start = _run(text, start + 1, _QUOTE_RUN)
+        if start < floor:
+            return None
+        if not self.first <= start < self.end:
+            self.first, self.end = start, _run(text, start, _SECRET_RUN)
+            last = [x.match(text, start, self.end) for x in (_LAST_DIGIT, _LAST_LETTER)]
+            self.digit, self.letter = (m.end() - 1 if m else -1 for m in last)
+        mixed = self.digit >= start and self.letter >= start
+        return (start, self.end) if self.end - start >= 16 and mixed else None
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -169,7 +190,7 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
             reach[kind] = span[1]
 
     digits, mails, pluses = reach["digits"], 0, 0
-    card_reach = 0
+    card_reach, secrets = 0, _Secrets(text)
     for last, (anchor, size) in automaton.iter(text):
         at = last + 1 - size
         if anchor == "digit":
@@ -189,11 +210,12 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
                 span, pluses = _phone(text, at)
                 keep("phone", span)
         elif anchor == "scheme":
-            keep("url", _url(text, at, last + 1))
+            if at >= reach["url"]:
+                keep("url", _url(text, at, last + 1))
         elif anchor == "iban":
             keep("iban", _iban(text, last + 1))
         else:
-            keep("secret", _secret(text, last + 1))
+            keep("secret", secrets.after(last + 1, reach["secret"]))
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 
 
