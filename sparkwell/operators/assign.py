@@ -8,36 +8,54 @@ from pyspark.sql import functions as F
 #: Precedence and confidence of the sources of an assignment.
 PRECEDENCE = {"explicit": 1, "barcode": 2, "name": 3, "model": 4, "unresolved": 5}
 CONFIDENCE = {"explicit": 1.0, "barcode": 0.99, "name": 0.8, "keyword": 0.75}
-TARGET_WORDS, CONTROL_WORDS = "target|antigen", "control|blank plate|background"
-#: Rows of known barcodes or names that are broadcast; beyond, words are joined by key.
-MAX_NAMES = 100_000
+#: Words by which a sheet says what it shows.
+TARGET_WORDS = ("target", "antigen", "experimental", "test", "expt")
+CONTROL_WORDS = ("control", "ctrl", "hla", "irrelevant", "negative", "neg")
+#: Known barcodes or names with which every text is compared; beyond, words are looked up by their first characters.
+MAX_NAMES = 1000
+#: First characters by which a word is looked up.
+GRAM = 4
 
 
-def _small(names: DataFrame) -> DataFrame:
-    if names.limit(MAX_NAMES + 1).count() > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names: match on tokens with by_token instead")
-    return F.broadcast(names)
+def mentions(grids: DataFrame, words: DataFrame) -> DataFrame:
+    """(grid_id, word, plate_id): which of ``words`` (word, plate_id) stand anywhere in a grid's text, whatever the case.
+
+    Few words are broadcast and compared. Of many, only those are compared with a
+    text that share their first characters with one of its stretches, found by
+    key; a text moves once. Blank words stand nowhere. The result is the same.
+    """
+    known = words.where("word <> ''").select("word", "plate_id", F.lower("word").alias("_w")).distinct()
+    texts = grids.select("grid_id", F.lower("text").alias("_t"))
+    if known.limit(MAX_NAMES + 1).count() <= MAX_NAMES:
+        return texts.join(F.broadcast(known), F.contains("_t", "_w")).select("grid_id", "word", "plate_id")
+    keyed = known.withColumn("_g", F.substring("_w", 1, GRAM)).withColumn("_n", F.length("_g"))
+    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    stretches = F.transform(sizes, lambda n: F.when(F.length("_t") >= n, F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substr(F.col("_t"), i, n))))
+    grams = texts.select("grid_id", F.explode(F.array_distinct(F.flatten(F.filter(stretches, lambda x: x.isNotNull())))).alias("_g"))
+    likely = grams.join(keyed, "_g").groupBy("grid_id").agg(F.collect_list(F.struct("_w", "word", "plate_id")).alias("_c"))
+    both = texts.join(likely, "grid_id")
+    return both.select("grid_id", F.explode(F.filter("_c", lambda c: F.contains(F.col("_t"), c["_w"]))).alias("c")).select("grid_id", "c.word", "c.plate_id")
 
 
 def by_barcode(grids: DataFrame, barcodes: DataFrame) -> DataFrame:
     """(grid_id, source, plate_id, confidence, alternatives): barcodes that stand anywhere in a grid's text; more than one is unresolved."""
-    hits = grids.select("grid_id", F.lower("text").alias("_t")).join(_small(barcodes.select("barcode", "plate_id")), F.contains(F.col("_t"), F.lower("barcode")))
-    found = hits.groupBy("grid_id").agg(F.count_distinct("plate_id").alias("_n"), F.min("plate_id").alias("plate_id"), F.sort_array(F.collect_set("plate_id")).alias("alternatives"))
+    hits = mentions(grids, barcodes.select(F.col("barcode").alias("word"), "plate_id"))
+    found = hits.groupBy("grid_id").agg(F.count_distinct("word").alias("_n"), F.min("plate_id").alias("plate_id"), F.sort_array(F.collect_set("plate_id")).alias("alternatives"))
     one = F.col("_n") == 1
     return found.select("grid_id", F.when(one, "barcode").otherwise("unresolved").alias("source"), F.when(one, F.col("plate_id")).alias("plate_id"), F.when(one, F.lit(CONFIDENCE["barcode"])).otherwise(0.0).alias("confidence"), F.when(one, F.array().cast("array<string>")).otherwise(F.col("alternatives")).alias("alternatives"))
 
 
 def by_name(grids: DataFrame, names: DataFrame) -> DataFrame:
     """Names of more than three characters that stand in a grid's text, if exactly one does."""
-    hits = grids.select("grid_id", F.lower("text").alias("_t")).join(_small(names.where(F.length("name") > 3).select("name", "plate_id")), F.contains(F.col("_t"), F.lower("name")))
-    one = hits.groupBy("grid_id").agg(F.count_distinct("plate_id").alias("_n"), F.min("plate_id").alias("plate_id")).where("_n = 1")
+    hits = mentions(grids, names.where(F.length("name") > 3).select(F.col("name").alias("word"), "plate_id"))
+    one = hits.groupBy("grid_id").agg(F.count_distinct("word").alias("_n"), F.min("plate_id").alias("plate_id")).where("_n = 1")
     return one.select("grid_id", F.lit("name").alias("source"), "plate_id", F.lit(CONFIDENCE["name"]).alias("confidence"), F.array().cast("array<string>").alias("alternatives"))
 
 
 def kind_from_text(grids: DataFrame) -> DataFrame:
     """(grid_id, plate_kind): target or control by keyword, if the text speaks of one only."""
     low = F.lower("text")
-    target, control = low.rlike(TARGET_WORDS), low.rlike(CONTROL_WORDS)
+    target, control = (low.rlike("|".join(words)) for words in (TARGET_WORDS, CONTROL_WORDS))
     return grids.select("grid_id", F.when(target & ~control, "target").when(control & ~target, "control").alias("plate_kind"))
 
 
@@ -70,3 +88,8 @@ def unresolved(assignments: DataFrame) -> DataFrame:
 def pair_up(assignments: DataFrame) -> DataFrame:
     """Consecutive grids as pairs: (pair, first, second) by ``place`` from 0; the last of an odd number has no second."""
     return assignments.groupBy(F.floor(F.col("place") / 2).alias("pair")).agg(F.max(F.when(F.col("place") % 2 == 0, F.col("grid_id"))).alias("first"), F.max(F.when(F.col("place") % 2 == 1, F.col("grid_id"))).alias("second"))
+
+
+def report(assignments: DataFrame) -> DataFrame:
+    """(source, grids, confirmed, least_confidence): how many grids each source settled, and how sure it is; ``confirmed`` need no human."""
+    return assignments.groupBy("source").agg(F.count("*").alias("grids"), F.count_if(~F.col("source").isin("model", "unresolved")).alias("confirmed"), F.min("confidence").alias("least_confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .storage import checkpointed
@@ -55,38 +55,70 @@ def set_meta(artifacts: DataFrame, changes: DataFrame) -> DataFrame:
     return artifacts.join(maps, "obj_id", "left").withColumn("meta_json", F.when(F.col("_new").isNull(), F.col("meta_json")).otherwise(merged)).drop("_new")
 
 
-def lineage(links: DataFrame, starts: DataFrame, direction: str = "up", rounds: int = 64) -> DataFrame:
+def get(artifacts: DataFrame, obj_id: str) -> Row:
+    """The artifact with an id; none is a KeyError."""
+    found = artifacts.where(F.col("obj_id") == obj_id).limit(1).collect()
+    if not found:
+        raise KeyError(f"no artifact {obj_id!r}")
+    return found[0]
+
+
+def parents(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """(obj_id, parent_id, relationship): what stands directly above each id."""
+    return ids.select("obj_id").distinct().join(links.withColumnRenamed("child_id", "obj_id"), "obj_id").select("obj_id", "parent_id", "relationship")
+
+
+def children(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """(obj_id, child_id, relationship): what stands directly below each id."""
+    return ids.select("obj_id").distinct().join(links.withColumnRenamed("parent_id", "obj_id"), "obj_id").select("obj_id", "child_id", "relationship")
+
+
+def lineage(links: DataFrame, starts: DataFrame, direction: str = "up", levels: int | None = None) -> DataFrame:
     """(start, obj_id, depth): everything above or below each start, at the least depth; the start itself is left out.
 
     Breadth first: each round joins the open ends with the links and keeps what
     is new, so a cycle ends and an ancestor that many paths reach is walked once.
+    Rounds go on until nothing is new; ``levels`` asks for that many only.
     """
     a, b = ("child_id", "parent_id") if direction == "up" else ("parent_id", "child_id")
     edges = links.select(F.col(a).alias("_from"), F.col(b).alias("obj_id")).distinct()
     ends = starts.select(F.col("obj_id").alias("start"), "obj_id").distinct().withColumn("depth", F.lit(0))
-    seen = ends
-    for depth in range(1, rounds + 1):
+    seen, depth = ends, 0
+    while levels is None or depth < levels:
+        depth += 1
         step = ends.select("start", F.col("obj_id").alias("_from")).join(edges, "_from").select("start", "obj_id").distinct()
-        ends = step.join(seen.select("start", "obj_id"), ["start", "obj_id"], "left_anti").withColumn("depth", F.lit(depth))
-        ends = checkpointed(ends)
+        ends = checkpointed(step.join(seen.select("start", "obj_id"), ["start", "obj_id"], "left_anti").withColumn("depth", F.lit(depth)))
         if ends.isEmpty():
-            return seen.where("depth > 0")
-        seen = seen.unionByName(ends)
-    raise RuntimeError(f"lineage is deeper than {rounds}")
+            break
+        # a plan of many small unions is stored again from time to time
+        seen = seen.unionByName(ends) if depth % 16 else checkpointed(seen.unionByName(ends))
+    return seen.where("depth > 0")
 
 
-def doubled_ancestors(parents: DataFrame, rounds: int = 6) -> DataFrame:
-    """(obj_id, root, depth) of a forest given as (obj_id, parent_id): pointer doubling, so 6 joins reach 64 levels.
+def doubled_ancestors(parents: DataFrame) -> DataFrame:
+    """(obj_id, root, depth) of a forest given as (obj_id, parent_id), by pointer doubling.
 
-    A node whose parent is null, absent or itself is a root.
+    A node whose parent is null, absent or itself is a root. After k rounds every
+    node of depth 2**k or less knows its root. As each depth on a path has a node,
+    a round that settles none means that no root is left to find: the rest are on
+    a cycle or below one, and get a null root and depth.
     """
     known = parents.select(F.col("obj_id").alias("_k"))
-    clean = parents.join(known, F.col("parent_id") == F.col("_k"), "left").select("obj_id", F.when(F.col("_k").isNull(), F.col("obj_id")).otherwise(F.col("parent_id")).alias("up"))
-    jump = checkpointed(clean.select("obj_id", "up", F.when(F.col("up") == F.col("obj_id"), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(rounds):
-        other = jump.select(F.col("obj_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        jump = checkpointed(jump.join(other, "up").select("obj_id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth")))
-    return jump.select("obj_id", F.col("up").alias("root"), "depth")
+    top = F.col("_k").isNull() | (F.col("parent_id") == F.col("obj_id"))
+    clean = parents.join(known, F.col("parent_id") == F.col("_k"), "left").select("obj_id", F.when(top, F.col("obj_id")).otherwise(F.col("parent_id")).alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done"))
+    done, jump = None, checkpointed(clean)
+    left = None
+    while True:
+        settled = jump.where("done").drop("done")
+        done = settled if done is None else done.unionByName(settled)
+        ends = jump.where("NOT done").drop("done")
+        now = ends.count()
+        if not now or now == left:
+            return done.withColumnRenamed("up", "root").unionByName(ends.select("obj_id", F.lit(None).cast(ends.schema["up"].dataType).alias("root"), F.lit(None).cast("long").alias("depth")))
+        left = now
+        other = done.select(F.col("obj_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.lit(True).alias("done"))
+        other = other.unionByName(ends.select(F.col("obj_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.lit(False).alias("done")))
+        jump = checkpointed(ends.join(other, "up").select("obj_id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), "done"))
 
 
 def step_history(steps: DataFrame, plate_id: str | None = None) -> DataFrame:

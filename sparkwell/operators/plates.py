@@ -46,10 +46,11 @@ def to_plate(clones: DataFrame, order: list[Column], plate_format: int = 96, res
     return checked.join(F.broadcast(free), "_n").drop("_n")
 
 
-def layout_matches(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One boolean: the same clone in the same well of both plates."""
-    both = a.select("well", F.col("clone_id").alias("x")).join(b.select("well", F.col("clone_id").alias("y")), "well", "full")
-    return both.agg(F.coalesce(F.every(F.col("x").eqNullSafe(F.col("y"))), F.lit(True)).alias("matches"))
+def layout_matches(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Whether the same clone is in the same well of both plates: one boolean, or one for each value of the columns ``by`` of many plates."""
+    keys = [*(by or []), "well"]
+    both = a.select(*keys, F.col("clone_id").alias("x")).join(b.select(*keys, F.col("clone_id").alias("y")), keys, "full")
+    return both.groupBy(*(by or [])).agg(F.coalesce(F.every(F.col("x").eqNullSafe(F.col("y"))), F.lit(True)).alias("matches"))
 
 
 def where_is(wells_: DataFrame, plates: DataFrame, clone_id: str) -> DataFrame:
@@ -62,7 +63,7 @@ def states_of(plates: DataFrame, barcode: str) -> DataFrame:
     return own.withColumn("state", F.row_number().over(W.Window.partitionBy("barcode").orderBy("created_at", "plate_id")))
 
 
-def trace_wells(wells_: DataFrame, starts: DataFrame, rounds: int = 32) -> DataFrame:
+def trace_wells(wells_: DataFrame, starts: DataFrame) -> DataFrame:
     """(start_plate, start_well, depth, plate_id, well): ancestors of wells by (source_plate_id, source_well), the start at depth 0.
 
     A well on a cycle is given once. Each round is a keyed join of the open ends,
@@ -71,15 +72,14 @@ def trace_wells(wells_: DataFrame, starts: DataFrame, rounds: int = 32) -> DataF
     parent = wells_.where("source_plate_id IS NOT NULL").select(F.col("plate_id").alias("_p"), F.col("well").alias("_w"), "source_plate_id", "source_well")
     key = ["start_plate", "start_well"]
     out = starts.select(F.col("plate_id").alias("start_plate"), F.col("well").alias("start_well"), F.lit(0).alias("depth"), "plate_id", "well")
-    ends = out
-    for depth in range(1, rounds + 1):
+    ends, depth = out, 0
+    while True:
+        depth += 1
         step = ends.join(parent, (F.col("plate_id") == F.col("_p")) & (F.col("well") == F.col("_w"))).select(*key, F.lit(depth).alias("depth"), F.col("source_plate_id").alias("plate_id"), F.col("source_well").alias("well"))
-        ends = step.join(out.select(*key, "plate_id", "well"), [*key, "plate_id", "well"], "left_anti")
-        ends = checkpointed(ends)
+        ends = checkpointed(step.join(out.select(*key, "plate_id", "well"), [*key, "plate_id", "well"], "left_anti"))
         if ends.isEmpty():
             return out
-        out = out.unionByName(ends.select(*out.columns))
-    raise RuntimeError(f"lineage is deeper than {rounds}")
+        out = out.unionByName(ends.select(*out.columns)) if depth % 16 else checkpointed(out.unionByName(ends.select(*out.columns)))
 
 
 def infer_roles(values: DataFrame, n_samples: Column | None = None, plate: str = "plate_id") -> DataFrame:

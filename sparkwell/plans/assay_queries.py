@@ -147,12 +147,13 @@ def upsert_latest(spark, sf):
 
 
 @query(f"""
-    SELECT bool_and(a.c IS NOT DISTINCT FROM b.c) AS matches FROM (SELECT well, od450_target IS NOT NULL AS c FROM ({d.CELLS_SQL}) WHERE pair_id = 1) a FULL JOIN (SELECT well, od450_control IS NOT NULL AS c FROM ({d.CELLS_SQL}) WHERE pair_id = 1) b USING (well)
+    SELECT pair_id, bool_and((a.c = 'true') IS NOT DISTINCT FROM (b.c = 'true')) AS matches FROM (SELECT pair_id, well, CAST(od450_target IS NOT NULL AS VARCHAR) AS c FROM ({d.CELLS_SQL})) a FULL JOIN (SELECT pair_id, well, CAST(od450_control IS NOT NULL AS VARCHAR) AS c FROM ({d.CELLS_SQL})) b USING (pair_id, well) GROUP BY 1
 """)
 def layout_matches(spark, sf):
-    c = d.cells(spark, sf).where("pair_id = 1")
-    side = lambda n: c.select("well", F.col(f"od450_{n}").isNotNull().cast("string").alias("clone_id"))
-    return plates.layout_matches(side("target"), side("control"))
+    """Both plates of every pair."""
+    c = d.cells(spark, sf)
+    side = lambda n: c.select("pair_id", "well", F.col(f"od450_{n}").isNotNull().cast("string").alias("clone_id"))
+    return plates.layout_matches(side("target"), side("control"), ["pair_id"])
 
 
 @query("""
@@ -180,22 +181,22 @@ def optical_density(spark, sf):
     SELECT obj_id, min(up) AS root, CAST(max(depth) AS BIGINT) AS depth FROM a GROUP BY 1 UNION ALL SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey = 0 OR o_orderkey // 2 NOT IN (SELECT o_orderkey FROM orders)
 """)
 def artifact_lineage(spark, sf):
-    """The root of every artifact of a forest and its depth, by pointer doubling."""
+    """The root of every artifact of a forest and its depth."""
     rows = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("obj_id"), F.floor(F.col("o_orderkey") / 2).alias("parent_id"))
     return ledger.doubled_ancestors(rows)
 
 
 @query("""
     WITH RECURSIVE w AS (SELECT DISTINCT l_orderkey % 200 AS plate, l_partkey % 8 AS well, l_orderkey % 200 // 3 AS up, l_partkey % 8 // 2 AS up_well FROM lineitem WHERE l_orderkey % 200 >= 3),
-    t(start_plate, start_well, plate_id, well, depth) AS (SELECT DISTINCT l_orderkey % 200, l_partkey % 8, l_orderkey % 200, l_partkey % 8, 0 FROM lineitem WHERE l_orderkey % 200 >= 150
+    t(start_plate, start_well, plate_id, well, depth) AS (SELECT DISTINCT l_orderkey % 200, l_partkey % 8, l_orderkey % 200, l_partkey % 8, 0 FROM lineitem
         UNION ALL SELECT t.start_plate, t.start_well, w.up, w.up_well, t.depth + 1 FROM t JOIN w ON t.plate_id = w.plate AND t.well = w.well)
     SELECT * FROM t
 """)
 def well_trace(spark, sf):
-    """Ancestors of wells through three levels of plates."""
+    """Ancestors of all wells through the levels of plates."""
     rows = d.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 200).alias("plate_id"), (F.col("l_partkey") % 8).alias("well")).distinct()
     stored = rows.withColumns({"source_plate_id": F.when(F.col("plate_id") >= 3, F.floor(F.col("plate_id") / 3)), "source_well": F.floor(F.col("well") / 2)})
-    return plates.trace_wells(stored, rows.where("plate_id >= 150")).select("start_plate", "start_well", "plate_id", "well", "depth")
+    return plates.trace_wells(stored, rows).select("start_plate", "start_well", "plate_id", "well", "depth")
 
 
 @query("SELECT o_orderkey AS obj_id, o_orderstatus AS obj_type FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey // 2 FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -229,21 +230,23 @@ def step_record(spark, sf):
     return ledger.record(steps, done).select("run_id", "status", F.get_json_object("meta_json", "$.k").alias("k"), F.get_json_object("meta_json", "$.seen").alias("seen"))
 
 
-_GRIDS = "SELECT page_id AS grid_id, lower(concat(url, ' ', substr(html, 1, 200))) AS t FROM pages"
+_GRIDS = "SELECT page_id AS grid_id, lower(concat(url, ' ', html)) AS t FROM pages"
+_SAYS_TARGET = "regexp_matches(t, 'target|antigen|experimental|test|expt')"
+_SAYS_CONTROL = "regexp_matches(t, 'control|ctrl|hla|irrelevant|negative|neg')"
 _CODES = "SELECT concat('/', CAST(n_nationkey AS VARCHAR)) AS barcode, concat('PLT-', n_nationkey) AS plate_id FROM nation"
 _WORDS = "SELECT DISTINCT source AS name, concat('PLT-', source) AS plate_id FROM documents WHERE length(source) > 3"
 
 
 @query(f"""
-    WITH g AS ({_GRIDS}), b AS (SELECT grid_id, count(DISTINCT plate_id) AS n, min(plate_id) AS plate_id FROM g JOIN ({_CODES}) ON contains(t, lower(barcode)) GROUP BY 1),
-    m AS (SELECT grid_id, min(plate_id) AS plate_id FROM g JOIN ({_WORDS}) ON contains(t, lower(name)) GROUP BY 1 HAVING count(DISTINCT plate_id) = 1)
+    WITH g AS ({_GRIDS}), b AS (SELECT grid_id, count(DISTINCT barcode) AS n, min(plate_id) AS plate_id FROM g JOIN ({_CODES}) ON contains(t, lower(barcode)) GROUP BY 1),
+    m AS (SELECT grid_id, min(plate_id) AS plate_id FROM g JOIN ({_WORDS}) ON contains(t, lower(name)) GROUP BY 1 HAVING count(DISTINCT name) = 1)
     SELECT g.grid_id, CASE WHEN b.n = 1 THEN 'barcode' WHEN m.plate_id IS NOT NULL THEN 'name' ELSE 'unresolved' END AS source, CASE WHEN b.n = 1 THEN b.plate_id ELSE m.plate_id END AS plate_id,
            CAST(CASE WHEN b.n = 1 THEN 0.99 WHEN m.plate_id IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence,
-           CASE WHEN regexp_matches(t, 'target|antigen') AND NOT regexp_matches(t, 'control|blank plate|background') THEN 'target' WHEN regexp_matches(t, 'control|blank plate|background') AND NOT regexp_matches(t, 'target|antigen') THEN 'control' END AS plate_kind
+           CASE WHEN {_SAYS_TARGET} AND NOT {_SAYS_CONTROL} THEN 'target' WHEN {_SAYS_CONTROL} AND NOT {_SAYS_TARGET} THEN 'control' END AS plate_kind
     FROM g LEFT JOIN b USING (grid_id) LEFT JOIN m USING (grid_id)
 """)
 def assign_propose(spark, sf):
-    grids = d.table(spark, sf, "pages").select(F.col("page_id").alias("grid_id"), F.concat("url", F.lit(" "), F.substring("html", 1, 200)).alias("text"))
+    grids = d.table(spark, sf, "pages").select(F.col("page_id").alias("grid_id"), F.concat("url", F.lit(" "), "html").alias("text"))
     codes = d.table(spark, sf, "nation").select(F.concat(F.lit("/"), F.col("n_nationkey").cast("string")).alias("barcode"), F.concat(F.lit("PLT-"), F.col("n_nationkey").cast("string")).alias("plate_id"))
     names = d.table(spark, sf, "documents").select(F.col("source").alias("name"), F.concat(F.lit("PLT-"), F.col("source")).alias("plate_id")).distinct()
     return assign.propose(grids, codes, names)

@@ -157,13 +157,14 @@ def length_bins(spark, sf):
     return selection.length_bins(_kept(spark, sf).select("seq_id", "v_gene", "cdr3_len"))
 
 
-_PICKS = 60
-_FIRST = f"SELECT seq_id, v_gene, cdr3_aa, cdr3_len FROM ({_KEPT_SQL}) ORDER BY md5(seq_id), seq_id LIMIT {_PICKS}"
+#: A selection that SQL can state too: of each gene and loop length the row of the least digest.
+_FIRST = f"SELECT seq_id, v_gene, cdr3_aa, cdr3_len FROM (SELECT *, row_number() OVER (PARTITION BY v_gene, cdr3_len ORDER BY md5(seq_id), seq_id) AS r FROM ({_KEPT_SQL})) WHERE r = 1"
 
 
 def _picks(spark, sf):
-    """A selection as it would be frozen: as many picks as a plate holds."""
-    return _kept(spark, sf).select("seq_id", "v_gene", "cdr3_aa", "cdr3_len").orderBy(F.md5("seq_id"), "seq_id").limit(_PICKS)
+    """One row of each gene and loop length, as many as a plate holds."""
+    one = _kept(spark, sf).groupBy("v_gene", "cdr3_len").agg(F.min_by(F.struct("seq_id", "cdr3_aa"), F.struct(F.md5("seq_id"), "seq_id")).alias("r"))
+    return one.select("r.seq_id", "v_gene", "r.cdr3_aa", "cdr3_len")
 
 
 _PAIRS = f"""

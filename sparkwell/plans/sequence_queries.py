@@ -25,11 +25,12 @@ def kmer_screen(spark, sf):
     return screen_one_strand(d.table(spark, sf, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq")), d.table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("seq")))
 
 
-_CDS = f"substr({d.DNA_SQL}, 1, 300)"
+_CDS = d.DNA_SQL
 
 
 def _inserts(spark, sf):
-    return d.texts(spark, sf).select("doc_id", F.substring(d.bases(), 1, 300).alias("insert_dna_seq")).where(F.length("insert_dna_seq") >= 60)
+    """The whole of every document as an insert."""
+    return d.texts(spark, sf).select("doc_id", d.bases().alias("insert_dna_seq")).where(F.length("insert_dna_seq") >= 60)
 
 
 VECTOR = construct.Vector("test", upstream="GCTAGCACCATGGGATCC", downstream="TCTAGAAGCTTGCGGCCGC", coding_before="ATGGGATCC", coding_after="AAGCTT")
@@ -67,12 +68,12 @@ def assembly_verify(spark, sf):
 
 
 @query(f"""
-    WITH s AS (SELECT doc_id, dna, round(length(regexp_replace(dna, '[^GC]', '', 'g')) / greatest(1, length(dna)), 6) AS gc FROM (SELECT doc_id, substr({d.DNA_SQL}, 1, CAST(200 + doc_id % 1500 AS BIGINT)) AS dna FROM documents) WHERE length(dna) > 0)
+    WITH s AS (SELECT doc_id, dna, round(length(regexp_replace(dna, '[^GC]', '', 'g')) / greatest(1, length(dna)), 6) AS gc FROM (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents) WHERE length(dna) > 0)
     SELECT doc_id AS name, unnest(list_filter([CASE WHEN length(dna) < 300 THEN concat(length(dna), ' bp is below 300') END, CASE WHEN length(dna) > 1500 THEN concat(length(dna), ' bp is above 1500') END, CASE WHEN gc < 0.25 THEN 'GC is below 25%' END, CASE WHEN gc > 0.65 THEN 'GC is above 65%' END,
            CASE WHEN regexp_matches(dna, 'A{{9,}}|C{{9,}}|G{{9,}}|T{{9,}}') THEN 'a run of more than 8 equal bases' END], lambda x: x IS NOT NULL)) AS issue FROM s
 """)
 def vendor_issues(spark, sf):
-    rows = d.texts(spark, sf).select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
+    rows = d.texts(spark, sf).select("doc_id", d.bases().alias("s")).where(F.length("s") > 0)
     return construct.vendor_issues(rows, construct.Limits(), "doc_id", "s")
 
 
@@ -87,24 +88,25 @@ def clone_report(spark, sf):
 
 @query()
 def codon_optimize(spark, sf):
-    """DNA for the first 120 residues of each document."""
-    rows = d.texts(spark, sf).select("doc_id", F.substring(d.protein(), 1, 120).alias("insert_aa_seq"))
+    """DNA for all residues of each document."""
+    rows = d.texts(spark, sf).select("doc_id", d.protein().alias("insert_aa_seq"))
     return construct.optimize_codons(rows)
 
 
-_QUALITY = "list_transform(string_split(substr(text, 1, 400), ''), lambda c: CAST(ascii(c) % 45 AS INT))"
+_QUALITY = "list_transform(string_split(text, ''), lambda c: CAST(ascii(c) % 45 AS DOUBLE))"
 
 
 @query(f"""
-    WITH RECURSIVE t AS (SELECT doc_id, {_QUALITY} AS q FROM documents),
-    s(doc_id, q, i, run, start, best, a, b) AS (SELECT doc_id, q, 1, 0.0::DOUBLE, 0, 0.0::DOUBLE, 0, 0 FROM t
-        UNION ALL SELECT doc_id, q, i + 1, CASE WHEN v < 0 THEN 0.0 ELSE v END, CASE WHEN v < 0 THEN i ELSE start END, greatest(best, v), CASE WHEN v > best THEN start ELSE a END, CASE WHEN v > best THEN i ELSE b END
-        FROM (SELECT *, run + 0.01 - power(10.0, -q[i] / 10.0) AS v FROM s WHERE i <= len(q)))
-    SELECT doc_id, CASE WHEN b - a >= 20 THEN a ELSE 0 END AS start, CASE WHEN b - a >= 20 THEN b ELSE 0 END AS "end" FROM s WHERE i = len(q) + 1
+    WITH t AS (SELECT doc_id, list_transform({_QUALITY}, lambda v: 0.01 - power(10.0, -v / 10.0)) AS w FROM documents WHERE text <> ''),
+    s AS (SELECT doc_id, list_reduce(list_transform(w, lambda v, i: [v, i, 0, 0, 0, 0]), lambda x, y: [
+              CASE WHEN x[1] + y[1] < 0 THEN 0 ELSE x[1] + y[1] END, y[2], CASE WHEN x[1] + y[1] < 0 THEN y[2] ELSE x[3] END,
+              greatest(x[4], x[1] + y[1]), CASE WHEN x[1] + y[1] > x[4] THEN x[3] ELSE x[5] END, CASE WHEN x[1] + y[1] > x[4] THEN y[2] ELSE x[6] END], [0.0::DOUBLE, 0, 0, 0, 0, 0]) AS e FROM t)
+    SELECT doc_id, CAST(CASE WHEN e[6] - e[5] >= 20 THEN e[5] ELSE 0 END AS INTEGER) AS start, CAST(CASE WHEN e[6] - e[5] >= 20 THEN e[6] ELSE 0 END AS INTEGER) AS "end" FROM s
+    UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE text = ''
 """)
 def mott_trim(spark, sf):
-    """The quality of a document is that of its first 400 letters, as a read has a few hundred bases."""
-    rows = d.texts(spark, sf).select("doc_id", F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: (F.ascii(c) % 45).cast("int")).alias("q"))
+    """The best stretch of each whole document; its letters stand for qualities."""
+    rows = d.texts(spark, sf).where("text IS NOT NULL").select("doc_id", F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 45).cast("int"))).alias("q"))
     return rows.select("doc_id", sequencing.mott_trim(F.col("q")).alias("t")).select("doc_id", "t.start", "t.end")
 
 
@@ -197,20 +199,21 @@ def msa_columns(spark, sf):
 
 
 @query(f"""
-    WITH v AS (SELECT v_gene, substr(aa_seq, 1, 2) AS germline_aa, count(*) AS votes FROM ({d.POOL_SQL}) WHERE substr(aa_seq, 1, 2) <> '' GROUP BY 1, 2)
-    SELECT v_gene, germline_aa, votes FROM (SELECT *, row_number() OVER (PARTITION BY v_gene ORDER BY votes DESC, germline_aa) AS r FROM v) WHERE r = 1 AND votes >= 5
+    WITH v AS (SELECT v_gene, aa_seq AS germline_aa, count(*) AS votes FROM ({d.POOL_SQL}) WHERE aa_seq <> '' GROUP BY 1, 2)
+    SELECT v_gene, germline_aa, votes FROM (SELECT *, row_number() OVER (PARTITION BY v_gene ORDER BY votes DESC, germline_aa) AS r FROM v) WHERE r = 1 AND votes >= 2
 """)
 def consensus_germline(spark, sf):
-    return alignment.consensus_germline(d.pool(spark, sf).withColumn("germline_aa", F.substring("aa_seq", 1, 2)))
+    """The whole sequence that most rows of a gene carry; two rows are enough support among documents."""
+    return alignment.consensus_germline(d.pool(spark, sf).withColumnRenamed("aa_seq", "germline_aa"), min_support=2)
 
 
 @query(f"""
-    WITH c AS (SELECT doc_id, substr({d.DNA_SQL}, 1, CAST(200 + doc_id % 1500 AS BIGINT)) AS dna FROM documents), s AS (SELECT *, round(length(regexp_replace(dna, '[^GC]', '', 'g')) / greatest(1, length(dna)), 6) AS gc FROM c WHERE length(dna) > 0),
+    WITH c AS (SELECT doc_id, {d.DNA_SQL} AS dna FROM documents), s AS (SELECT *, round(length(regexp_replace(dna, '[^GC]', '', 'g')) / greatest(1, length(dna)), 6) AS gc FROM c WHERE length(dna) > 0),
     i AS (SELECT *, (length(dna) < 300)::INT + (length(dna) > 1500)::INT + (gc < 0.25)::INT + (gc > 0.65)::INT + regexp_matches(dna, 'A{{9,}}|C{{9,}}|G{{9,}}|T{{9,}}')::INT AS k FROM s)
     SELECT count(*) AS fragments, CAST(sum(length(dna)) AS BIGINT) AS bases, CAST(sum(k) AS BIGINT) AS issues, count(*) FILTER (k > 0) AS failing FROM i
 """)
 def vendor_summary(spark, sf):
     from ..sinks import orders
 
-    rows = d.texts(spark, sf).select("doc_id", F.substr(d.bases(), F.lit(1), (200 + F.col("doc_id") % 1500).cast("int")).alias("s")).where(F.length("s") > 0)
+    rows = d.texts(spark, sf).select("doc_id", d.bases().alias("s")).where(F.length("s") > 0)
     return orders.summary(rows, "idt_eblocks", "doc_id", "s")
