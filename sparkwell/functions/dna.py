@@ -89,7 +89,7 @@ def circular_slice(seq: Column, start: Column, end: Column) -> Column:
 
 def mixed_fraction(seq: Column) -> Column:
     """Share of IUPAC ambiguity codes; 0 for the empty sequence. N is not one of them."""
-    return F.when(F.length(seq) == 0, F.lit(0.0)).otherwise(F.regexp_count(F.upper(seq), F.lit("[RYSWKMBDHV]")) / F.length(seq))
+    return F.when(F.length(seq) == 0, F.lit(0.0)).otherwise(F.regexp_count(F.upper(seq), F.lit("[RYSWKMBDHV]")) / F.length(F.upper(seq)))
 
 
 def protein_changes(expected: Column, observed: Column) -> Column:

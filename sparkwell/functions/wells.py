@@ -95,3 +95,12 @@ def all_wells(spark: SparkSession, plate_format: int = 96) -> DataFrame:
     grid = spark.range(rows * cols).select((F.col("id") % rows + 1).cast("int").alias("row"), (F.floor(F.col("id") / rows) + 1).cast("int").alias("col"))
     down, along = (F.col("col") - 1) * rows + F.col("row"), (F.col("row") - 1) * cols + F.col("col")
     return grid.select(from_rc(F.col("row"), F.col("col"), plate_format).alias("well"), "row", "col", down.cast("int").alias("place_down"), along.cast("int").alias("place_along"))
+
+
+def matrix(values: DataFrame, column: str, plate_format: int = 96, samples_only: bool = True, plate: str = "plate_id") -> DataFrame:
+    """Plate, row and a column for each number of the plate: readings as they stand, nulls where there is none or no sample."""
+    rows, cols = dims(plate_format)
+    rc = to_rc(F.col("well"), plate_format)
+    shown = F.when(F.col("role") == "sample", F.col(column)) if samples_only else F.col(column)
+    named = values.select(F.col(plate), row_label(rc["row"]).alias("row"), rc["col"].alias("_c"), shown.alias("_v"))
+    return named.groupBy(plate, "row").pivot("_c", list(range(1, cols + 1))).agg(F.first("_v", ignorenulls=True))

@@ -6,9 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .hits import band
 from .storage import checkpointed
 
 FOLDS = 5
@@ -46,6 +47,27 @@ def out_of_fold(features: DataFrame, names: tuple[str, ...], group: str, folds:
     return whole.drop("_fold")
 
 
+#: Right-closed bands of the number of binders of a plate.
+BINDER_BANDS = (-1.0, 0.0, 2.0, 10.0, 30.0, 96.0)
+
+
+def baseline(predicted: DataFrame) -> DataFrame:
+    """(measure, name, accuracy, plates): how often out-of-fold predictions are right, over all, by scenario and by number of binders.
+
+    ``predicted`` has label, prediction, scenario, n_binders. Plates without a
+    binder look alike on both sides, so that chance is what they should score.
+    """
+    right = predicted.withColumn("_right", (F.col("prediction") == F.col("label")).cast("double"))
+    banded = right.withColumn("_band", band(F.col("n_binders"), BINDER_BANDS).cast("string"))
+    per = lambda rows, measure, name: rows.groupBy(name.alias("name")).agg(F.avg("_right").alias("accuracy"), F.count("*").alias("plates")).select(F.lit(measure).alias("measure"), "name", "accuracy", "plates")
+    return per(right, "all", F.lit("all")).unionByName(per(right, "scenario", F.col("scenario"))).unionByName(per(banded, "binders", F.col("_band")))
+
+
+def latest_model(models: DataFrame) -> Row | None:
+    """The (model_id, path) of the model that was saved last; null if there is none."""
+    return models.orderBy(F.desc("created_at"), F.desc("model_id")).first()
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -62,6 +62,37 @@ def plate_health(frame: DataFrame, blanks: DataFrame | None = None, **params) ->
     return per.withColumn("dynamic_range", _dynamic()).withColumn("verdict", _verdict(F.col("dynamic_range"), p))
 
 
+def reasons(health: DataFrame, **params) -> DataFrame:
+    """Health with ``reasons``, a sentence for each thing that speaks against the plate: too little range, and wells at the ceiling, which are called but not ranked."""
+    p = DEFAULTS | params
+    times = F.format_string("%.1f", "dynamic_range")
+    told = F.array(
+        F.when(F.col("verdict") == UNCALLABLE, F.concat(F.lit("the highest tenth is only "), times, F.lit(f" times the background, below {p['uncallable_dynamic_range']:.0f}: there is no range to call hits in"))),
+        F.when(F.col("verdict") == DEGRADED, F.concat(F.lit("the highest tenth is "), times, F.lit(f" times the background, below {p['degraded_dynamic_range']:.0f}: calls are usable but worse"))),
+        F.when(F.col("saturated") > 0, F.concat(F.format_string("%.0f", 100 * F.col("saturated")), F.lit("% of the wells are at the reader's ceiling: they are called but cannot be ranked"))),
+    )
+    return health.withColumn("reasons", F.filter(told, lambda x: x.isNotNull()))
+
+
+def plate_context(frame: DataFrame, truth: DataFrame) -> DataFrame:
+    """(pair_id, dynamic_range, saturated, binders): what a verdict could rest on, from the readings themselves."""
+    health = plate_health(frame).select(PAIR, "dynamic_range", "saturated")
+    return health.join(truth.groupBy(PAIR).agg(F.count_if("is_binder").alias("binders")), PAIR, "left").na.fill(0, ["binders"])
+
+
+def verdict_table(scored: DataFrame, caller: str = "ratio_over_blank") -> DataFrame:
+    """(verdict, precision, recall, f1, tp, fp, plates) of one caller, so that a plate counts once."""
+    one = scored.where(F.col("caller") == caller)
+    return one.groupBy("verdict").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count_distinct(PAIR).alias("plates"))
+
+
+def band_table(scored: DataFrame, context: DataFrame, value: str, edges: tuple[float, ...], caller: str = "ratio_over_blank") -> DataFrame:
+    """(band, precision, recall, f1, plates) of one caller over plates with a binder, by bands of a property of the plate."""
+    live = scored.where(F.col("caller") == caller).join(context.where("binders > 0").select(PAIR, value), PAIR)
+    banded = live.withColumn("band", band(F.col(value), edges)).where("band IS NOT NULL")
+    return banded.groupBy("band").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.count("*").alias("plates"))
+
+
 def _calls(frame: DataFrame, name: str, score: Column, is_hit: Column, p: dict, more: tuple[str, ...] = ()) -> DataFrame:
     flag = F.when(F.col("od450_target") >= p["saturation_od"], "saturated").when(F.col("od450_target") < p["min_signal"], "below floor").otherwise("")
     return frame.select(PAIR, "well", "od450_target", "od450_control", F.lit(name).alias("caller"), score.alias("score"), F.coalesce(is_hit, F.lit(False)).alias("is_hit"), flag.alias("flag"), _verdict(_dynamic(), p).alias("verdict"), *more)

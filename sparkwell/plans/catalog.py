@@ -27,6 +27,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import assay_queries, pool_queries, scalar_queries, sequence_queries  # noqa: F401
+    from . import assay_queries, pool_queries, record_queries, scalar_queries, sequence_queries  # noqa: F401
 
     return dict(QUERIES), dict(ORACLE_SQL)

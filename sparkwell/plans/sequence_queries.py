@@ -130,28 +130,33 @@ def resolve_reruns(spark, sf):
     return sequencing.resolve_reruns(rows).select("conv_id", "turn", "stem", "status", "warning")
 
 
+#: Eight clones of 240 bases.
+CLONES = tuple((f"CL{k}", f"{'ABCDEFGH'[k]}01", "".join("ACGT"[int(c, 16) % 4] + "ACGT"[int(c, 16) // 4] for c in hashlib.sha512(f"clone {k}".encode()).hexdigest())[:240]) for k in range(8))
+
+
 def _reads(spark, sf):
-    """Eight clones of 240 bases; every document is a read of one, changed by a rule."""
-    digits = [hashlib.sha512(f"clone {k}".encode()).hexdigest() for k in range(8)]
-    inserts = [(f"CL{k}", "".join("ACGT"[int(c, 16) % 4] + "ACGT"[int(c, 16) // 4] for c in h)[:240]) for k, h in enumerate(digits)]
-    clones = spark.createDataFrame([(n, f"{'ABCDEFGH'[k]}01", s, "") for k, (n, s) in enumerate(inserts)], "clone_id string, well string, insert string, context string")
+    """Every document is a read of one of the clones, changed by a rule."""
+    clones = spark.createDataFrame([(*c, "") for c in CLONES], "clone_id string, well string, insert string, context string")
     docs = d.texts(spark, sf).select("doc_id", F.concat(F.substring(F.lit("ABCDEFGH"), (F.col("doc_id") % 8 + 1).cast("int"), F.lit(1)), F.lit("01")).alias("well")).join(F.broadcast(clones), "well")
     seq, kind = F.col("insert"), F.col("doc_id") % 6
     read = F.when(kind == 0, seq).when(kind == 1, F.concat(F.substring(seq, 1, 100), F.lit("T"), F.substring(seq, 102, 200))).when(kind == 2, F.concat(F.substring(seq, 1, 100), F.substring(seq, 102, 200))).when(kind == 3, F.substring(seq, 1, 50)).when(kind == 4, dna.reverse_complement(seq)).otherwise(F.concat(F.substring(seq, 1, 99), F.substring(seq, 103, 200)))
     traces = docs.select(F.col("doc_id").cast("string").alias("file"), "well", "clone_id", read.alias("sequence"), F.lit(0).alias("start"), F.length(read).alias("end"), "insert", "context")
-    return traces, inserts
+    return traces, [(n, s) for n, _, s in CLONES]
 
 
-@query("""
-    WITH b AS (SELECT doc_id, doc_id % 6 AS kind, doc_id % 8 AS k FROM documents)
-    SELECT CAST(kind AS BIGINT) AS kind, CASE CAST(kind AS INT) WHEN 0 THEN 'exact' WHEN 2 THEN 'frameshift' WHEN 3 THEN 'low_quality' WHEN 4 THEN 'exact' WHEN 5 THEN 'indel' ELSE 'substituted' END AS verdict, count(*) AS n FROM b GROUP BY 1, 2
+_CODON_ROWS = ", ".join(f"('{c}', '{r}')" for c, r in dna.CODONS.items())
+
+
+@query(f"""
+    WITH c(k, clone_id, s) AS (VALUES {", ".join(f"({k}, '{n}', '{s}')" for k, (n, _, s) in enumerate(CLONES))}), t(codon, residue) AS (VALUES {_CODON_ROWS}),
+    r AS (SELECT doc_id, clone_id, s, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN s WHEN 1 THEN concat(substr(s, 1, 100), 'T', substr(s, 102)) WHEN 2 THEN concat(substr(s, 1, 100), substr(s, 102)) WHEN 3 THEN substr(s, 1, 50) WHEN 4 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE concat(substr(s, 1, 99), substr(s, 103)) END AS q FROM documents JOIN c ON c.k = doc_id % 8),
+    p AS (SELECT s, q, string_agg(a.residue, '' ORDER BY i) AS old, string_agg(b.residue, '' ORDER BY i) AS now FROM (SELECT DISTINCT s, q, unnest(range(0, 80)) AS i FROM r WHERE length(q) = 240) JOIN t a ON a.codon = substr(s, CAST(3 * i + 1 AS BIGINT), 3) JOIN t b ON b.codon = substr(q, CAST(3 * i + 1 AS BIGINT), 3) GROUP BY 1, 2)
+    SELECT CAST(doc_id AS VARCHAR) AS file, clone_id, CASE WHEN length(q) < 60 THEN 'low_quality' WHEN q = s OR q = reverse(translate(s, 'ACGT', 'TGCA')) THEN 'exact' WHEN length(q) = length(s) THEN CASE WHEN old = now THEN 'silent' ELSE 'missense' END WHEN (length(s) - length(q)) % 3 <> 0 THEN 'frameshift' ELSE 'indel' END AS verdict FROM r LEFT JOIN p USING (s, q)
 """)
 def sanger_calls(spark, sf):
-    """Verdicts of reads whose changes are known; what a substitution does to the protein is not told apart."""
+    """The verdict on every read; SQL tells it from read and insert, as each read has one change at most."""
     traces, panel = _reads(spark, sf)
-    calls = sequencing.call_traces(traces, panel)
-    told = calls.select((F.col("file").cast("long") % 6).alias("kind"), F.when((F.col("file").cast("long") % 6 == 1) & F.col("verdict").isin("silent", "missense", "exact"), "substituted").otherwise(F.col("verdict")).alias("verdict"))
-    return told.groupBy("kind", "verdict").agg(F.count("*").alias("n"))
+    return sequencing.call_traces(traces, panel).select("file", "clone_id", "verdict")
 
 
 def _first_of_genes(pool):
@@ -174,23 +179,31 @@ def germline_differences(spark, sf):
 
 
 def _numbered(spark, sf):
+    """Letters of each sequence at IMGT positions; one row in three has no insertion 112B."""
     p = d.pool(spark, sf).where("length(aa_seq) >= 6")
     letter = lambda i: F.substring("aa_seq", i, 1)
-    text = F.concat(F.lit("{'fwh1': {'1 ': '"), letter(1), F.lit("', '2 ': '-'}, 'cdrh3': {'111 ': '"), letter(3), F.lit("', '112B': '"), letter(4), F.lit("', '112A': '"), letter(5), F.lit("', '112 ': '"), letter(6), F.lit("'}}"))
+    inserted = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("', '112B': '"), letter(4)))
+    text = F.concat(F.lit("{'fwh1': {'1 ': '"), letter(1), F.lit("', '2 ': '-'}, 'cdrh3': {'111 ': '"), letter(3), inserted, F.lit("', '112A': '"), letter(5), F.lit("', '112 ': '"), letter(6), F.lit("'}}"))
     return p.select("seq_id", text.alias("anarci_numbering"))
 
 
+_LETTERS = f"""
+    WITH p AS (SELECT doc_id, aa_seq FROM ({d.REPERTOIRE_SQL}) WHERE length(aa_seq) >= 6),
+    l AS (SELECT doc_id, x.position, substr(aa_seq, x.place, 1) AS residue FROM p, (SELECT unnest([{{'position': '1', 'place': 1}}, {{'position': '111', 'place': 3}}, {{'position': '112B', 'place': 4}}, {{'position': '112A', 'place': 5}}, {{'position': '112', 'place': 6}}]) AS x) WHERE x.position <> '112B' OR doc_id % 3 <> 0)
+"""
+
+
 @query(f"""
-    WITH p AS (SELECT aa_seq FROM ({d.REPERTOIRE_SQL}) WHERE length(aa_seq) >= 6), l AS (SELECT '1' AS position, substr(aa_seq, 1, 1) AS residue FROM p UNION ALL SELECT '111', substr(aa_seq, 3, 1) FROM p UNION ALL SELECT '112B', substr(aa_seq, 4, 1) FROM p UNION ALL SELECT '112A', substr(aa_seq, 5, 1) FROM p UNION ALL SELECT '112', substr(aa_seq, 6, 1) FROM p),
-    v AS (SELECT position, residue, count(*) AS votes FROM l GROUP BY 1, 2)
+    {_LETTERS}, v AS (SELECT position, residue, count(*) AS votes FROM l GROUP BY 1, 2)
     SELECT position, residue, votes FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY votes DESC, residue) AS r FROM v) WHERE r = 1
 """)
 def imgt_consensus(spark, sf):
     return alignment.column_consensus(alignment.numbered_long(_numbered(spark, sf)))
 
 
-@query("""
-    SELECT * FROM (VALUES (1, '1', 'fwh1', 1.0::DOUBLE), (2, '111', 'cdrh3', 1.0::DOUBLE), (3, '112B', 'cdrh3', 1.0::DOUBLE), (4, '112A', 'cdrh3', 1.0::DOUBLE), (5, '112', 'cdrh3', 1.0::DOUBLE)) t(place, position, region, occupancy)
+@query(f"""
+    {_LETTERS}, o AS (SELECT position, count(DISTINCT doc_id) / (SELECT count(*) FROM p) AS occupancy, CAST(regexp_extract(position, '^[0-9]+') AS INT) AS n, coalesce(ascii(nullif(regexp_extract(position, '[A-Z]$'), '')), 64) - 64 AS k FROM l GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY n, CASE WHEN n = 112 THEN -k ELSE k END) AS INTEGER) AS place, position, CASE WHEN n <= 26 THEN 'fwh1' ELSE 'cdrh3' END AS region, occupancy FROM o
 """)
 def msa_columns(spark, sf):
     """Positions in IMGT order: insertions at 112 run backwards, before the bare position."""

@@ -6,7 +6,7 @@ import csv
 import io
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import Filter
@@ -43,18 +43,34 @@ def read_unit(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(*blank)
 
 
-def load_unit(spark: SparkSession, path: str, keep: Filter | None = None, limit: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """Read, normalise, filter; rows of one id once. The funnel is ``keep.explain`` of the normalised rows, over the whole input."""
-    meta = read_metadata(spark, path)
-    rows = (keep or Filter()).apply(normalize(read_unit(spark, path), meta, path.rsplit("/", 1)[-1]))
-    return (rows.limit(limit) if limit else rows).dropDuplicates(["seq_id"]), meta
+def load_unit(spark: SparkSession, path: str, keep: Filter | None = None, limit: int | None = None) -> tuple[DataFrame, dict[str, str], Observation, Observation]:
+    """(rows, metadata, scanned, kept): read, normalise, filter; rows of one id once.
+
+    The last two are filled with ``rows`` by the first action on the frame: how many rows were
+    read and how many passed the filter. The funnel is ``keep.explain`` of the
+    normalised rows, over the whole input.
+    """
+    meta, scanned, kept = read_metadata(spark, path), Observation("rows_scanned"), Observation("rows_kept")
+    raw = read_unit(spark, path).observe(scanned, F.count(F.lit(1)).alias("rows"))
+    rows = (keep or Filter()).apply(normalize(raw, meta, path.rsplit("/", 1)[-1])).observe(kept, F.count(F.lit(1)).alias("rows"))
+    return (rows.limit(limit) if limit else rows).dropDuplicates(["seq_id"]), meta, scanned, kept
+
+
+def list_files(spark: SparkSession, root: str, chain: str = "heavy") -> DataFrame:
+    """(study, path) of every shard under ``root/chain/study``; the folder's listing only, no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{chain}").select("path")
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("study"), "path")
+
+
+def list_studies(spark: SparkSession, root: str, chain: str = "heavy") -> DataFrame:
+    """(study, shards): the studies under ``root/chain`` as they are spelled there."""
+    return list_files(spark, root, chain).groupBy("study").agg(F.count("*").alias("shards"))
 
 
 def study_files(spark: SparkSession, root: str, study: str, chain: str = "heavy") -> list[str]:
     """Shards of a study under ``root/chain``; its name is matched without regard to case and punctuation."""
     plain = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{chain}").select("path")
-    named = files.withColumn("study", F.element_at(F.split("path", "/"), -2))
+    named = list_files(spark, root, chain)
     found = [r["path"] for r in named.where(plain(F.col("study")) == plain(F.lit(study))).orderBy("path").collect()]
     if not found:
         raise KeyError(f"no study {study!r} under {root}/{chain}")

@@ -28,7 +28,7 @@ def unit(tmp_path):
 
 def test_unit(spark, unit):
     assert repertoire.read_metadata(spark, unit)["Species"] == "human"
-    rows, meta = repertoire.load_unit(spark, unit, Filter(max_ambiguous=None))
+    rows, meta, scanned, kept = repertoire.load_unit(spark, unit, Filter(max_ambiguous=None))
     got = {(r["v_gene"], r["aa_seq"], r["cdr3_len"], r["redundancy"], r["species"], r["isotype"]) for r in rows.collect()}
     assert ("IGHV3-23", "QVQLVX", 5, 3, "human", "IGHG") in got
     assert len(got) == 2  # one is unproductive; two have one id
