@@ -186,6 +186,9 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", lang: str = "lang",
 
     The fold of a key is crc32 of its decimal text modulo ``folds``; a null key is
     in no fold and learned from. All such documents are counted, not a sample.
+    Repeated rows are predicted alike; an empty table gives no row; columns of
+    other names, also of these, are ignored. What is learned has ``BINS`` counts
+    for each language that the table names.
     """
     held_out = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
     model = fit_languages(docs.where(~held_out), lang, text)

@@ -360,13 +360,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     Every document has a piece, as the end id follows an empty or null text too.
     Equal texts and repeated rows give pieces of their own. An empty table gives
-    no row. The driver sees the histogram of lengths only.
+    no row; columns of other names, also of these, are ignored. The driver sees
+    the histogram of lengths only, at most ``capacity`` numbers.
     A worker remembers the ids of about ``remembered`` chunks and as many words,
     which trades its memory for its time and changes no result.
     """
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id, key, text, remembered), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, capacity, end_id, key, text, remembered).withColumn("_row", F.monotonically_increasing_id())
+    pieces = materialize(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = _runs(plan_packing(histogram, capacity), capacity)
-    ranked = numbered(pieces, "length", ["doc_id", "piece", "ids_crc32"], sum(histogram.values()), "rank")
+    ranked = numbered(pieces, "length", ["doc_id", "piece", "_row"], sum(histogram.values()), "rank")
     placed = ranked.mapInArrow(_place(runs), _PIECES + ", sequence_id long, offset long")
     return placed if key == "doc_id" else placed.withColumnRenamed("doc_id", key)

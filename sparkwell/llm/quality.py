@@ -252,7 +252,13 @@ def score_quality(docs: DataFrame, model: AttentionModel, keep: list[F.Column],
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, held_out, score, predicted (1 from a score of ``THRESHOLD``). Only the text decides; equal texts score alike."""
+    """Per document: key, held_out, score, predicted (1 from a score of ``THRESHOLD``).
+
+    Only the text decides: equal texts and repeated rows score alike, a null text
+    as an empty one. A null key is not held out and not learned from. An empty
+    table gives no row; without labels of both classes every score is that of the
+    one class, or 0.5. Columns of other names, also of these, are ignored.
+    """
     model = fit_quality(docs, labels, key, text)
     held_out = F.coalesce(fold_of(F.col(key), 5) == 0, F.lit(False)).alias("held_out")
     return score_quality(docs, model, [F.col(key), held_out], text).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -40,9 +40,10 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
     Columns: the key, ``size`` (UTF-8 bytes of the text plus 8; null counts as
     empty), ``text_crc32``, ``law`` (``key``), ``shard``, ``slot``,
     ``grown_shard``. Only the narrow rows are shuffled, once, dealt by shard and
-    a hash of the key, so a shard's rows never meet in one task. Repeated rows
-    get the same shard and slots of their own; an empty table gives none; other
-    columns are ignored.
+    a hash of the key and the row's place, so neither a shard's rows nor those of
+    one repeated or null key meet in one task. Repeated rows get the same shard
+    and slots of their own; an empty table gives none; other columns, also of
+    these names, are ignored.
     """
     body = clean_text(text)
     narrow = docs.select(
@@ -52,7 +53,8 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
         F.lit("key").alias("law"),
         rendezvous(F.col(key), list(weights)).alias("shard"),
         rendezvous(F.col(key), [*weights, grown_weight]).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     stored = materialize(narrow, "shards")
-    out = numbered(stored, "shard", [key], stored.count(), "slot")
+    out = numbered(stored, "shard", [key, "_row"], stored.count(), "slot")
     return out.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -140,9 +140,10 @@ def matching(rows: DataFrame, keys: DataFrame, key: str, total: int, count: str
 def numbered(rows: DataFrame, group: str, order: list[str], total: int, out: str) -> DataFrame:
     """Number the rows of every group from 0, gapless, where groups may be hot.
 
-    Rows are dealt into buckets by a hash of ``order``; the counts of (group,
+    Rows are dealt into buckets by a hash of ``order``, which tells repeated rows
+    apart too (by their place in the stored frame, say); the counts of (group,
     bucket) give each bucket its first number, and a window numbers inside the
-    bucket only. A bucket holds about 20,000 rows at most, unless rows repeat.
+    bucket only. A bucket holds about 20,000 rows, whatever key is hot.
     ``rows`` should be stored, as it is read twice.
     """
     buckets = max(16, -(-total // 20_000))

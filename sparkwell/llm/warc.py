@@ -257,9 +257,11 @@ def archive_pages(pages: DataFrame, base: str | None = None) -> DataFrame:
     """Write ``pages`` to archives, read them back, and report each record.
 
     Columns: page_id, payload_bytes, payload_digest (bare hex SHA-1), record_type,
-    refers_to, verified. The digest of a response is that of the bytes read back;
-    it must equal the one in the record's header, or the job fails. A revisit has
-    no payload: its digest and size are those its headers declare.
+    refers_to. The digest of a response is that of the bytes read back; it must
+    equal the one in the record's header, or the job fails. A revisit has no
+    payload: its digest and size are those its headers declare. Null payloads are
+    empty, repeated rows are records of their own, an empty table gives no row,
+    and columns of other names, also of these, are ignored.
     """
     base = base or scratch_path(pages.sparkSession, "warc")
     ends = read_chunks(write_archives(pages, base), base).where("last")
