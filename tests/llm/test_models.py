@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwell.llm import language, pii, quality, sharding
+from sparkwell.llm.shared import materialize
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01" if os.path.isdir("/root/testdata/sf0.01") else "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are absent")
@@ -188,7 +189,7 @@ def test_pipeline_stages(spark):
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs.count()
-        docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+        docs = materialize(stage(spark, docs, SF), "test")
         assert docs.columns == columns and 0 < docs.count() <= before, name
     assert docs.select("text").distinct().count() == docs.count()
     assert pii.find_pii(docs).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
