@@ -16,7 +16,7 @@ from sparkwell.llm.near_dedup import drop_near_duplicates
 from sparkwell.llm.packing import pack
 from sparkwell.llm.pii import redact_pii
 from sparkwell.llm.quality import keep_quality
-from sparkwell.llm.shared import materialize
+from sparkwell.llm.shared import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a worker remembers while it packs: few, as the stages before have filled the executors' heaps.
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored in the shared folder before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each stored in the shared folder before the next; a stage's input goes once its output is stored."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
