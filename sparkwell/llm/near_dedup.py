@@ -2,9 +2,10 @@
 
 1. Equal texts become one node. Nodes get signatures; each band of a signature
    is a bucket. Buckets with the same members are one bucket.
-2. The members of a bucket are first compared with its smallest one, and linked
-   members become classes; what remains to be compared is who is not in the class
-   of that member, against all. Large buckets are compared in blocks.
+2. The members of a bucket are first compared with its best connected one, the
+   center; linked members become classes. Buckets with one center are one group.
+   What remains to be compared is who is not in the class of the center, against
+   the whole group. Large groups are compared in blocks.
 3. In a block, each text is compared with all others of another class at once,
    by exact multiset overlap. A block returns the links that join its classes,
    not all pairs: at most one fewer than its members.
@@ -229,14 +230,20 @@ def _near(scratch: Scratch, docs: DataFrame, key: str, text: str, least: float)
     spread = [F.sum(F.xxhash64(F.lit(s), "node").cast("decimal(20,0)")).alias(f"sum{s}") for s in (1, 2)]
     stats = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), *spread).where("n > 1")
     stats = scratch.store(stats.groupBy("n", "low", "sum1", "sum2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "buckets", rows=total)
-    members = scratch.store(matching(banded, stats, "bucket", total * bag.BANDS).select("bucket", "node", "n", "low"), "members", rows=4 * total)
+    met = scratch.store(matching(banded, stats, "bucket", total * bag.BANDS).select("bucket", "node", "n"), "met", rows=4 * total)
+    # the center of a bucket is the member that meets most others in all its buckets: of a text and its copies the text
+    # itself, which is nearer to each copy than they are to each other
+    degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    centers = met.join(degrees, "node").groupBy("bucket").agg(F.first("n").alias("n"), F.max_by("node", F.struct("degree", -F.col("node"))).alias("low"))
+    centers = scratch.store(centers, "centers", rows=total)
+    members = scratch.store(lookup(met.drop("n"), centers, "bucket", met.count()).select("bucket", "node", "n", "low"), "members", rows=4 * total)
 
     wanted = scratch.store(members.select("node").distinct().join(nodes.select("node", "sha", "n"), "node"), "wanted", rows=total)
     bodies = matching(docs.select(F.unhex(F.sha2(clean_text(text), 256)).alias("sha"), clean_text(text).alias("text")), wanted, "sha", total)
     bodies = scratch.store(bodies.groupBy("node").agg(F.first("text").alias("text")), "bodies")
 
     links = _compare_buckets(scratch, members, bodies, least)
-    scratch.drop(stats, wanted, members, bodies)
+    scratch.drop(stats, met, centers, wanted, members, bodies)
     roots = connected_components(links, scratch)
     # one row for each text: its class, and what is known of that: rows, texts, the largest key, links and the closest of these
     placed = nodes.select("node", "sha", "n", "stays").join(roots, "node", "left").select("node", "sha", "n", "stays", F.coalesce("root", "node").alias("root"))
@@ -265,42 +272,48 @@ def _near(scratch: Scratch, docs: DataFrame, key: str, text: str, least: float)
     return out, total
 
 
-def _star_links(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Links of members with the smallest member of a bucket. A smallest member with many others is dealt out in copies, each for ``STAR_ROWS`` of them."""
-    # a pair that meets in many buckets is compared once
-    spokes = members.where("node <> low").groupBy("node", "low").agg(F.max("n").alias("n"))
+def _star_links(spokes: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Links of members with their centers. A center with many members is dealt out in copies, each for ``STAR_ROWS`` of them, about."""
     copies = F.ceil(F.col("n") / STAR_ROWS).cast("int")
-    dealt = spokes.select(F.col("low").alias("center"), F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"), F.lit(True).alias("spoke"), "node")
-    centers = members.where("node = low").groupBy(F.col("low").alias("center")).agg(F.max("n").alias("n"))
+    dealt = spokes.select("center", F.pmod(F.xxhash64("node"), copies).cast("int").alias("salt"), F.lit(True).alias("spoke"), "node")
+    centers = spokes.groupBy("center").agg(F.max("n").alias("n"))
     centers = centers.select("center", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(False).alias("spoke"), F.col("center").alias("node"))
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt.unionByName(centers).join(bodies, "node").select("center", "salt", "spoke", "node", "text")
     return rows.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "spoke").mapInArrow(_starred(least), _LINKS)
 
 
 def _compare_buckets(scratch: Scratch, members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Links (a, b, overlap) that join all similar members of every bucket."""
-    found = scratch.store(_star_links(members, bodies, least), "star-links")
-    # what is left in buckets of three members or more: who is not in the class of the smallest member
-    larger = members.where("n > 2")
-    if larger.isEmpty():
-        return found
-    total, roots = larger.count(), connected_components(found, scratch)
-    lows = larger.where("node = low").join(roots, "node", "left").select("bucket", "n", F.coalesce("root", "node").alias("low_class"))
-    lows = scratch.store(lows, "lows", rows=total)
-    # who is linked to the smallest member itself is in its class; the others may be, through others
-    linked = found.select(F.col("a").alias("node"), F.col("b").alias("low"))
-    others = larger.where("node <> low").join(linked, ["node", "low"], "left_anti").join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("class"))
-    rest = lookup(others, lows, "bucket", total).where("class <> low_class").groupBy("bucket", "n", "low_class").agg(F.count("*").alias("rest"))
+    """Links (a, b, overlap) that join all similar members of every bucket.
+
+    ``members`` has bucket, node, n (of the bucket) and low, the bucket's center.
+    Buckets with one center are one group: members that meet in many buckets are
+    compared once. A group holds all pairs of its buckets, and perhaps more.
+    """
+    spokes = members.where("node <> low").groupBy(F.col("low").alias("center"), "node").agg(F.max("n").alias("n"))
+    spokes = scratch.store(spokes, "spokes", rows=members.count())
+    total = spokes.count()
+    found = scratch.store(_star_links(spokes, bodies, least), "star-links")
+    roots = connected_components(found, scratch)
+    groups = spokes.groupBy("center").agg((F.count("*") + 1).alias("n"))
+    groups = groups.join(roots.withColumnRenamed("node", "center"), "center", "left").select("center", "n", F.coalesce("root", "center").alias("center_class"))
+    groups = scratch.store(groups, "groups", rows=total)
+    # who is linked to the center itself is in its class; the others may be, through others
+    linked = found.select(F.col("a").alias("node"), F.col("b").alias("center"))
+    others = spokes.join(linked, ["node", "center"], "left_anti").join(roots, "node", "left").select("center", F.coalesce("root", "node").alias("class"))
+    rest = lookup(others, groups, "center", total).where("class <> center_class").groupBy("center", "n", "center_class").agg(F.count("*").alias("rest"))
+    # a group of two has no further pair
+    rest = rest.where("n > 2")
     blocks, parts = (F.ceil(size / BLOCK).cast("int") for size in (F.col("rest"), F.col("n") - F.col("rest")))
-    counts = scratch.store(rest.select("bucket", "n", "low_class", blocks.alias("blocks"), parts.alias("parts")), "open-buckets", rows=total)
+    counts = scratch.store(rest.select("center", "n", "center_class", blocks.alias("blocks"), parts.alias("parts")), "open-groups", rows=total)
     if counts.isEmpty():
         return found
-    rows = lookup(larger.select("bucket", "node"), counts, "bucket", total).where("blocks IS NOT NULL").join(roots, "node", "left")
-    rows = rows.withColumn("class", F.coalesce("root", "node")).withColumn("left", F.col("class") != F.col("low_class")).drop("root", "low_class")
+    every = spokes.select("center", "node").unionByName(counts.select("center", F.col("center").alias("node")))
+    rows = lookup(every, counts, "center", total).where("blocks IS NOT NULL").join(roots, "node", "left")
+    rows = rows.withColumn("class", F.coalesce("root", "node")).withColumn("left", F.col("class") != F.col("center_class")).drop("root", "center_class").withColumnRenamed("center", "bucket")
     rows = scratch.store(rows, "open-members", rows=total)
     small = rows.where(F.col("n") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), "node", "class", "left")
-    # a large bucket: the rows that are left are dealt into blocks, which meet each other (i <= j) and every part of the
+    # a large group: the rows that are left are dealt into blocks, which meet each other (i <= j) and every part of the
     # others; these, of one class, are then the rows that are compared with all
     large = rows.where(F.col("n") > BLOCK).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")})
     more = small
@@ -313,7 +326,7 @@ def _compare_buckets(scratch: Scratch, members: DataFrame, bodies: DataFrame, le
         cross = cross_open.unionByName(cross_rest).select("bucket", (-(F.col("i").cast("long") * 1_000_003 + F.col("j") + 1)).alias("block"), "node", "class", "left")
         more = small.unionByName(pairs).unionByName(cross)
     links = scratch.store(found.unionByName(_in_blocks(more, bodies, least)), "links")
-    scratch.drop(found, roots, lows, counts, rows)
+    scratch.drop(spokes, found, roots, groups, counts, rows)
     return links
 
 
