@@ -20,7 +20,7 @@ from sparkwell.llm.shared import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a worker remembers while it packs: few, as the stages before have filled the executors' heaps.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
