@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import imgt
-from ..kernels import gotoh
+from ..kernels import anchored, gotoh
+from .spread import broadcast_within, spread
 
 _ALIGNED = "v_gene string, seq_id string, gapped string, identity double, n_columns int"
 
@@ -20,9 +25,42 @@ def modal(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, f"b.{value}", "b.votes")
 
 
-def consensus_germline(rows: DataFrame, min_support: int = 5) -> DataFrame:
-    """(v_gene, germline_aa, votes): the modal germline of each gene that enough rows carry."""
-    return modal(rows, ["v_gene"], "germline_aa").where(F.col("votes") >= min_support)
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Residues of (v_gene, anchor, germline) rows by column of the anchor, counted within a batch."""
+    for batch in batches:
+        genes, anchors, seen = (c.to_pylist() for c in batch.columns)
+        placed, _ = anchored.align(anchors, seen)
+        names = sorted(set(genes))
+        number = {g: k for k, g in enumerate(names)}
+        keys = [np.zeros((0, 3), np.int64)]
+        for gene, where, letters in zip(genes, placed, seen, strict=True):
+            on = np.flatnonzero(where % 2)
+            codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32).astype(np.int64)
+            keys.append(np.stack([np.full(len(on), number[gene]), where[on] // 2, codes[on]], 1))
+        found, counts = np.unique(np.concatenate(keys), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in found[:, 0]], pa.string()), pa.array(found[:, 1], pa.int32()), pa.array([chr(c) for c in found[:, 2]], pa.string()), pa.array(counts, pa.int64())], names=["v_gene", "place", "residue", "votes"])
+
+
+def column_votes(rows: DataFrame, germline: str = "germline_aa") -> DataFrame:
+    """(v_gene, place, residue, votes, n): what the distinct germlines of each gene, ``n`` of them, say in each column of the longest one.
+
+    Letters count in capitals and gaps not at all. Of equally long germlines the
+    least is the anchor; a residue that an aligned germline inserts has no column,
+    one that it lacks no vote. Rows without a gene or germline have none either.
+    """
+    clean = F.upper(F.regexp_replace(germline, "[.-]", ""))
+    seen = rows.where("v_gene IS NOT NULL").select(F.col("v_gene").cast("string").alias("v_gene"), F.regexp_replace(clean, r"^\s+$", "").alias("seen")).where("seen <> ''").distinct()
+    anchors = seen.groupBy("v_gene").agg(F.min_by("seen", F.struct(-F.length("seen"), "seen")).alias("anchor"), F.count("*").alias("n"))
+    paired = spread(seen.join(broadcast_within(anchors, "anchor"), "v_gene").select("v_gene", "anchor", "seen"))
+    votes = paired.mapInArrow(_votes, "v_gene string, place int, residue string, votes long")
+    return votes.groupBy("v_gene", "place", "residue").agg(F.sum("votes").alias("votes")).join(anchors.select("v_gene", "n"), "v_gene")
+
+
+def consensus_germline(rows: DataFrame, min_support: int = 1, germline: str = "germline_aa") -> DataFrame:
+    """(v_gene, germline_aa, votes): the majority of each column over the distinct germlines of a gene, where there are at least ``min_support``; of equal residues the least."""
+    best = column_votes(rows, germline).where(F.col("n") >= min_support).groupBy("v_gene", "place", "n").agg(F.min_by("residue", F.struct(-F.col("votes"), "residue")).alias("residue"))
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "residue"))), lambda x: x["residue"]), "")
+    return best.groupBy("v_gene", "n").agg(letters.alias("germline_aa")).select("v_gene", "germline_aa", F.col("n").alias("votes"))
 
 
 def align_to_germline(rows: DataFrame, references: DataFrame, numbers: dict[str, list[int | None]] | None = None) -> DataFrame:
@@ -32,7 +70,7 @@ def align_to_germline(rows: DataFrame, references: DataFrame, numbers: dict[str,
     hundred for each gene, as their insertions share columns. Identity counts
     the reference's columns only; a gap is no match.
     """
-    joined = rows.select("v_gene", "seq_id", "aa_seq").join(F.broadcast(references.select("v_gene", "germline_aa")), "v_gene")
+    joined = rows.select("v_gene", "seq_id", "aa_seq").join(broadcast_within(references.select("v_gene", "germline_aa"), "germline_aa"), "v_gene")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq_id", ignore_index=True)
@@ -51,16 +89,51 @@ def rows_to_align(pool: DataFrame, rows: int = 50) -> DataFrame:
     return pool.select("v_gene", "seq_id", "cdr3_len", "aa_seq").withColumn("_place", place).where(F.col("_place") <= rows).where("trim(aa_seq) <> ''").select("v_gene", "seq_id", "aa_seq")
 
 
-def pairwise_to_germline(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """(seq_id, ref_gapped, seq_gapped) for each row by itself: scales with rows, shares no columns."""
-    joined = rows.select("seq_id", "v_gene", "aa_seq").join(F.broadcast(references.select("v_gene", "germline_aa")), "v_gene").select("seq_id", "aa_seq", "germline_aa")
+def with_germline(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """(seq_id, germline_aa, aa_seq): rows whose gene has a reference; the references go to every task if their size allows it."""
+    known = references.where("germline_aa IS NOT NULL").select("v_gene", "germline_aa")
+    return rows.where("aa_seq IS NOT NULL").select("seq_id", "v_gene", "aa_seq").join(broadcast_within(known, "germline_aa"), "v_gene").select("seq_id", "germline_aa", "aa_seq")
 
-    def run(batches):
-        for b in batches:
-            pairs = [gotoh.align_pair(r, s) for r, s in zip(b.germline_aa, b.aa_seq, strict=True)]
-            yield pd.DataFrame({"seq_id": b.seq_id, "ref_gapped": [p[0] for p in pairs], "seq_gapped": [p[1] for p in pairs]})
 
-    return joined.mapInPandas(run, "seq_id string, ref_gapped string, seq_gapped string")
+def _gapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        refs, seqs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        placed, _ = anchored.align(refs, seqs)
+        pairs = [gotoh.gapped(r, s, w) for r, s, w in zip(refs, seqs, placed, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["seq_id", "ref_gapped", "seq_gapped"])
+
+
+def pairwise_to_germline(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """(seq_id, ref_gapped, seq_gapped) for each row by itself: scales with rows, shares no columns."""
+    return with_germline(rows, references).mapInArrow(_gapped, "seq_id string, ref_gapped string, seq_gapped string")
+
+
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        refs, seqs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        placed, whole = anchored.align(refs, seqs)
+        at, numbers, old, new = [], [], [], []
+        for k, (ref, seq, where) in enumerate(zip(refs, seqs, placed, strict=True)):
+            letters, observed = np.array(list(ref)), np.full(len(ref), gotoh.GAP)
+            on = np.flatnonzero(where % 2)
+            if len(on):
+                observed[where[on] // 2] = np.array(list(seq))[on]
+            changed = np.flatnonzero(letters != observed) if ref else np.zeros(0, np.int64)
+            at.append(np.full(len(changed), k)), numbers.append(changed + 1), old.extend(letters[changed].tolist()), new.extend(observed[changed].tolist())
+        places = np.concatenate(at) if at else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(np.concatenate(numbers) if numbers else places, pa.int32()), pa.array(old, pa.string()), pa.array(new, pa.string())], names=["seq_id", "number", "germline", "observed"])
+
+
+def germline_changes(paired: DataFrame) -> DataFrame:
+    """(seq_id, number, germline, observed) of each reference residue that (seq_id, germline_aa, aa_seq) rows change; a residue that is lacking is observed as '-'.
+
+    Only these are made rows: an alignment never leaves its task. Pairs of long
+    sequences that are alike are aligned in the band that provably suffices, the
+    others in the whole table; the result is the same. Rows with a null are left
+    out, an empty sequence lacks all residues, repeated rows are repeated.
+    """
+    rows = paired.where("germline_aa IS NOT NULL AND aa_seq IS NOT NULL").select(F.col("seq_id").cast("string").alias("seq_id"), "germline_aa", "aa_seq")
+    return rows.mapInArrow(_changed, "seq_id string, number int, germline string, observed string")
 
 
 def differences(aligned: DataFrame) -> DataFrame:

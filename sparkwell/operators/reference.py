@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import subprocess
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from urllib.request import Request, urlopen
@@ -17,7 +14,8 @@ from ..functions import imgt
 from ..functions.imgt import ANCHORS
 from ..kernels import gotoh
 from ..sources.fasta import read_germlines, resolve
-from .alignment import modal, numbered_long
+from .alignment import consensus_germline, modal, numbered_long
+from .spread import broadcast_within
 
 # ---------------------------------------------------------------- tables
 
@@ -154,7 +152,7 @@ def references_for(rows: DataFrame, table: DataFrame | None = None, fasta: DataF
     A FASTA record (gene, allele, sequence) comes before the table's lowest
     allele; either is followed by the modal J gene of the table, as a V gene ends
     at the second anchor's loop, and residues of CDR3 are dropped. Failing both,
-    the germline that most rows carry, which has no numbers and says so.
+    the majority of each column over the germlines of the rows, which has no numbers and says so.
     """
     genes = rows.where("v_gene IS NOT NULL").select(F.col("v_gene").alias("gene")).distinct()
     spark = rows.sparkSession
@@ -175,8 +173,8 @@ def references_for(rows: DataFrame, table: DataFrame | None = None, fasta: DataF
     kept = F.filter(F.zip_with(letters, numbers, lambda a, n: F.struct(a.alias("a"), n.alias("n"))), lambda x: x["n"].isNull() | ~x["n"].between(ANCHORS[0] + 1, ANCHORS[1] - 1))
     label = F.concat(F.lit("IMGT "), F.coalesce("allele", "gene"), F.coalesce(F.concat(F.lit(" + "), F.col("j_allele")), F.lit("")))
     known = v.select(F.col("gene").alias("v_gene"), F.array_join(F.transform(kept, lambda x: x["a"]), "").alias("germline_aa"), F.transform(kept, lambda x: x["n"]).alias("numbers"), label.alias("label"))
-    seen = modal(rows.join(known.select("v_gene"), "v_gene", "left_anti"), ["v_gene"], germline).where(F.col("votes") >= min_support)
-    return known.unionByName(seen.select("v_gene", F.col(germline).alias("germline_aa"), F.lit(None).cast("array<int>").alias("numbers"), F.format_string("germline consensus (n=%d)", "votes").alias("label")))
+    seen = consensus_germline(rows.join(known.select("v_gene"), "v_gene", "left_anti"), min_support, germline)
+    return known.unionByName(seen.select("v_gene", "germline_aa", F.lit(None).cast("array<int>").alias("numbers"), F.format_string("germline consensus (n=%d)", "votes").alias("label")))
 
 
 _MSA = "v_gene string, seq_id string, gapped string, reference string, identity double, n_columns int, columns array<int>, label string"
@@ -190,7 +188,7 @@ def build_msa(rows: DataFrame, references: DataFrame, backend: str = "reference"
     Identity counts the reference's columns; a gap is no match.
     """
     aligner = gotoh.BACKENDS.get(backend)
-    joined = rows.select("v_gene", "seq_id", "aa_seq").join(F.broadcast(references.select("v_gene", "germline_aa", "numbers", "label")), "v_gene")
+    joined = rows.select("v_gene", "seq_id", "aa_seq").join(broadcast_within(references.select("v_gene", "germline_aa", "numbers", "label"), "germline_aa"), "v_gene")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("seq_id").sort_values("seq_id", ignore_index=True)
@@ -227,36 +225,5 @@ def region_spans(gapped: Column, regions: dict[str, Column]) -> Column:
     return F.aggregate(parts, zero, step, lambda s: s["spans"])
 
 
-# ---------------------------------------------------------------- other aligners
-
-#: Programs that align a file of sequences, with their arguments; the reference is the first record.
-PROGRAMS = {"mafft": ("mafft", "--quiet", "--auto", "{file}"), "clustalo": ("clustalo", "-i", "{file}", "--outfmt=fasta", "--output-order=input-order")}
-
-
-def external(program: str, ref: str, seqs: list[str]) -> tuple[str, list[str], list[int | None]]:
-    """Align with a program that is installed; columns are numbered by the reference's residues."""
-    if shutil.which(PROGRAMS[program][0]) is None:
-        raise FileNotFoundError(f"{PROGRAMS[program][0]} is not installed")
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / "in.fasta"
-        path.write_text("".join(f">{i}\n{s}\n" for i, s in enumerate([ref, *seqs])))
-        out = subprocess.run([a.format(file=path) for a in PROGRAMS[program]], capture_output=True, text=True, check=True, timeout=600).stdout
-    records = ["".join(r.split("\n")[1:]).strip() for r in out.split(">")[1:]]
-    if len(records) != len(seqs) + 1 or len({len(r) for r in records}) != 1:
-        raise ValueError(f"{program} gave no alignment of all sequences")
-    number, columns = 0, []
-    for c in records[0]:
-        number += c != gotoh.GAP
-        columns.append(number if c != gotoh.GAP else None)
-    return records[0], records[1:], columns
-
-
 def available_backends() -> list[str]:
-    """Aligners that can be used here: those without a program of their own, and those whose program is installed."""
-    return [n for n in gotoh.BACKENDS if gotoh.BACKENDS.meta(n)["needs"] is None or shutil.which(gotoh.BACKENDS.meta(n)["needs"])]
-
-
-for _name, _command in PROGRAMS.items():
-    gotoh.BACKENDS.register(_name, needs=_command[0])(lambda ref, seqs, numbers=None, program=_name: external(program, ref, seqs))
-
-__all__ = ["available_backends", "build_msa", "column_regions", "coverage_report", "download", "drop_loop", "external", "from_url", "germline_by_column", "germline_row", "known_genes", "lookup", "modal_j", "numbered_long", "read_table", "reference_row", "references_for", "region_columns", "region_spans", "regions_of"]
+    return list(gotoh.BACKENDS)

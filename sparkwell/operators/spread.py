@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast up to so many rows and so many bytes of its texts; beyond, both sides are shuffled.
+MAX_ROWS, MAX_BYTES = 1_000_000, 64 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -13,3 +17,10 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def broadcast_within(rows: DataFrame, *texts: str) -> DataFrame:
+    """Broadcast hint for a side whose rows, and bytes in ``texts``, were counted; otherwise the side as it is."""
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
+    n, most = rows.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(rows) if n <= MAX_ROWS and (most or 0) <= MAX_BYTES else rows

@@ -175,7 +175,7 @@ def align_to_germline(spark, sf):
 def germline_differences(spark, sf):
     """Every row of the pool against the first of its gene."""
     pool = d.pool(spark, sf).where("aa_seq IS NOT NULL")
-    return alignment.differences(alignment.pairwise_to_germline(pool, _first_of_genes(pool)))
+    return alignment.germline_changes(alignment.with_germline(pool, _first_of_genes(pool)))
 
 
 def _numbered(spark, sf):
@@ -211,13 +211,48 @@ def msa_columns(spark, sf):
     return alignment.columns_of(alignment.numbered_long(rows), rows.count())
 
 
+#: Residues in a circle; a planted change takes the residue seven further on.
+_CIRCLE = "ACDEFGHIKLMNPQRSTVWY"
+_TURNED = _CIRCLE[7:] + _CIRCLE[:7]
+
+
+def _planted(every: int, *places: int):
+    """The residues of each document, turned at each of ``places`` of every so many."""
+    letters = F.split("aa", "")
+    turned = F.transform(letters, lambda c, i: F.when(((i + 1) % every).isin(*places), F.translate(c, _CIRCLE, _TURNED)).otherwise(c))
+    return F.array_join(turned, "")
+
+
+def _proteins(spark, sf):
+    return d.texts(spark, sf).select("doc_id", d.protein().alias("aa")).where("aa <> ''")
+
+
+_PROTEIN_SQL = "SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS aa FROM documents"
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, aa, unnest(range(150, length(aa) + 1, 1009)) AS i FROM ({_PROTEIN_SQL}))
+    SELECT CAST(doc_id AS VARCHAR) AS seq_id, CAST(i AS INTEGER) AS number, substr(aa, i, 1) AS germline, translate(substr(aa, i, 1), '{_CIRCLE}', '{_TURNED}') AS observed FROM p
+""")
+def germline_substitutions(spark, sf):
+    """Every whole document is a germline, and its read has one residue in 1009 changed; alignment must find all of these and nothing else."""
+    rows = _proteins(spark, sf).select(F.col("doc_id").cast("string").alias("seq_id"), F.col("aa").alias("germline_aa"), _planted(1009, 150).alias("aa_seq"))
+    return alignment.germline_changes(rows)
+
+
 @query(f"""
-    WITH v AS (SELECT v_gene, aa_seq AS germline_aa, count(*) AS votes FROM ({d.POOL_SQL}) WHERE aa_seq <> '' GROUP BY 1, 2)
-    SELECT v_gene, germline_aa, votes FROM (SELECT *, row_number() OVER (PARTITION BY v_gene ORDER BY votes DESC, germline_aa) AS r FROM v) WHERE r = 1 AND votes >= 2
+    WITH p AS (SELECT doc_id, aa, length(aa) AS n FROM ({_PROTEIN_SQL}) WHERE aa <> ''),
+    s AS (SELECT doc_id, n, list_transform(string_split(aa, ''), lambda c, i: CASE WHEN i % 1009 <> 150 OR n < 400 THEN c WHEN n < 700 THEN least(c, translate(c, '{_CIRCLE}', '{_TURNED}')) ELSE translate(c, '{_CIRCLE}', '{_TURNED}') END) AS x FROM p)
+    SELECT CAST(doc_id AS VARCHAR) AS v_gene, md5(array_to_string(x, '')) AS digest,
+           CAST(1 + (n > 20)::INT + (n >= 150)::INT + (n >= 400)::INT + (n >= 700)::INT AS BIGINT) AS votes FROM s
 """)
 def consensus_germline(spark, sf):
-    """The whole sequence that most rows of a gene carry; two rows are enough support among documents."""
-    return alignment.consensus_germline(d.pool(spark, sf).withColumnRenamed("aa_seq", "germline_aa"), min_support=2)
+    """Five germlines of each whole document: its own, three alleles that share some changes, and a read that lacks the first residues; a change wins that three of them share, and a tie goes to the least residue."""
+    docs = _proteins(spark, sf)
+    one = lambda *places: _planted(1009, *places) if places else F.col("aa")
+    alleles = F.array(one(), one(150), one(150, 400), one(150, 700), F.expr("substr(aa, 21)"))
+    seen = docs.select(F.col("doc_id").cast("string").alias("v_gene"), F.explode(alleles).alias("germline_aa"))
+    return alignment.consensus_germline(seen).select("v_gene", F.md5("germline_aa").alias("digest"), "votes")
 
 
 @query(f"""

@@ -214,11 +214,6 @@ def test_codons_round_trip():
     assert codon.optimize("MXM").problems
 
 
-def test_consensus_needs_support(spark):
-    frame = spark.createDataFrame([("G", "AA")] * 5 + [("G", "BB")] * 5 + [("H", "AA")] * 4 + [("H", None)], "v_gene string, germline_aa string")
-    assert rows(alignment.consensus_germline(frame)) == [("G", "AA", 5)]
-
-
 def test_refusals(spark):
     samples = spark.createDataFrame([("A1", "x"), ("C1", "y")], "well string, sample_name string")
     with pytest.raises(ValueError, match="contiguous"):

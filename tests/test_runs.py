@@ -116,6 +116,12 @@ def test_roots(monkeypatch, tmp_path):
     monkeypatch.chdir(tmp_path)
     assert stores.data_root() == str(tmp_path / "data") and stores.data_root("x") == "x"
     assert stores.code_version(tmp_path) == "unknown"
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.py").write_text("x = 1")
+    assert stores.code_version(tmp_path / "one") == stores.code_version(tmp_path / "two") != stores.code_version()
+    (tmp_path / "two" / "a.py").write_text("x = 2")
+    assert stores.code_version(tmp_path / "one") != stores.code_version(tmp_path / "two")
 
 
 def test_plate_round_trip(spark, tmp_path):
@@ -203,19 +209,12 @@ def test_references_of_genes(spark):
     assert runs.alignment_summary(reference.build_msa(reads, reference.references_for(rows, table))).first()["insertion_columns"] == 4
 
 
-def test_backends_that_are_absent(monkeypatch):
-    assert "reference" in reference.available_backends()
-    monkeypatch.setattr(reference.shutil, "which", lambda _: None)
+def test_backends():
     assert reference.available_backends() == ["reference"]
-    with pytest.raises(FileNotFoundError):
-        gotoh.BACKENDS.get("mafft")("AC", ["AC"])
+    with pytest.raises(KeyError, match="unknown aligner"):
+        gotoh.BACKENDS.get("mafft")
 
 
-def test_an_external_backend(monkeypatch):
-    monkeypatch.setattr(reference.shutil, "which", lambda _: "/bin/x")
-    monkeypatch.setattr(reference.subprocess, "run", lambda *a, **k: type("R", (), {"stdout": ">0\nAC-D\n>1\nACED\n"})())
-    assert gotoh.BACKENDS.get("mafft")("ACD", ["ACED"]) == ("AC-D", ["ACED"], [1, 2, None, 3])
-
 
 def test_download_once(spark, tmp_path):
     calls = []
@@ -363,8 +362,6 @@ def test_classifier_reports(spark):
 
 
 def test_small_helpers(tmp_path):
-    assert runs.shorten(None, 5) == "—" and runs.shorten(0.12345, 9) == "0.123" and runs.shorten("CLN-abcdef", 5) == "CLN-…" and runs.shorten("CLN-abcdef", 5, True) == "…cdef"
-    assert runs.text_on("#ffffff") == "#111111" and runs.text_on("#203040") == "#ffffff"
     for n in ("a.png", "b.png", "c.csv"):
         (tmp_path / n).write_text("")
     assert [p.name for p in runs.stale(tmp_path, ["a.png"])] == ["b.png"] and runs.stale(tmp_path / "none", []) == []
