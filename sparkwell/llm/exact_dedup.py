@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, broadcast_if_small, clean_text, lookup, matching
+from .shared import Scratch, broadcast_if_small, clean_text, is_small, lookup, matching, perhaps_in
 
 #: Fingerprints that a merged range holds on average.
 RANGE_FINGERPRINTS = 250_000
@@ -157,7 +157,7 @@ def repeated_fingerprints(fingerprints: DataFrame, total: int, least: int = 2) -
     return filters.groupBy("range").applyInArrow(_merged(range_bits, least), "fp long, fp_count long")
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when their bytes are; a null text counts as empty, and empty
@@ -165,9 +165,10 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     rows repeat key and text, one of them stays. A null key is smaller than any.
     The texts of repeated fingerprints are grouped with partial aggregation, so
     each map task ships a text once; everything else moves narrow rows. Columns
-    of other names are ignored; an empty table gives no row.
+    of other names are ignored; an empty table gives no row. Tables that the result
+    reads are in ``scratch``, which a caller may close once it has been read.
     """
-    return _exact(Scratch(docs.sparkSession, "exact-dedup"), docs, key, text)[0]
+    return _exact(scratch or Scratch(docs.sparkSession, "exact-dedup"), docs, key, text)[0]
 
 
 def _exact(scratch: Scratch, docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
@@ -207,7 +208,11 @@ def keep_marked(scratch: Scratch, docs: DataFrame, marked: DataFrame, total: int
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.unhex(F.sha2(clean_text(text), 256)).alias("_text"))
     on = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
     gone, twice = (broadcast_if_small(marks.where(w)) for w in ("NOT _kept", "_kept"))
-    keep = rows.join(gone, on, "left_anti")
+    if is_small(marks):
+        keep = rows.join(gone, on, "left_anti")
+    else:  # rows that are surely not marked stay where they are
+        marked = perhaps_in(rows, marks, [F.col("_key"), F.col("_text")], ["_id", "_sha"], "_hit")
+        keep = marked.where("NOT _hit").drop("_hit").unionByName(marked.where("_hit").drop("_hit").join(gone, on, "left_anti"))
     if marks.where("_kept").isEmpty():
         return keep.select("_row.*")
     once = keep.join(twice, on, "left_anti").select("_row")
@@ -216,6 +221,10 @@ def keep_marked(scratch: Scratch, docs: DataFrame, marked: DataFrame, total: int
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all their columns: one row of each group of equal texts."""
+    """The documents that stay, all their columns: one row of each group of equal texts.
+
+    A null text counts as empty, a null key is smaller than any; of rows that repeat
+    key and text one stays. Columns of any other name are kept. An empty table gives none.
+    """
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     return keep_marked(scratch, docs, *_exact(scratch, docs, key, text), key, text)

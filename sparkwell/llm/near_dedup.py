@@ -198,7 +198,7 @@ def _starred(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = bag.SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = bag.SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: key, ``class_id``, ``class_size``, ``n_texts``, ``kept``, ``text_sha256``, ``n_links``, ``link``.
 
     A class is a connected component of the links between texts whose multisets
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     The chance that a pair at the least similarity meets in no bucket is
     (1 - 0.8**4)**32, about 5e-8; there is no cap on partners.
     """
-    return _near(Scratch(docs.sparkSession, "near-dedup"), docs, key, text, least)[0]
+    return _near(scratch or Scratch(docs.sparkSession, "near-dedup"), docs, key, text, least)[0]
 
 
 def _near(scratch: Scratch, docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text, pieces, release_memory
+from .shared import clean_text, column_name, pieces, release_memory
 
 #: Kinds in the order of reports; the first four are the base ones.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "secret")
@@ -121,20 +121,24 @@ def _url(text: str, at: int, scheme_end: int) -> tuple[int, int] | None:
     return (at, end) if end > scheme_end else None
 
 
+#: Two letters, two digits, 11 to 30 letters or digits, with single spaces anywhere between.
+_IBAN = re.compile(r"[A-Za-z] ?[A-Za-z] ?[0-9] ?[0-9](?: ?[A-Za-z0-9]){11,30}")
+_IBAN_DIGITS = {ord(c): str(int(c, 36)) for c in _ALNUM}
+
+
 def _iban(text: str, at: int) -> tuple[int, int] | None:
     """After a cue: two letters, two digits, 11 to 30 letters or digits in groups; the remainder by 97 must be 1."""
     start = _run(text, at, _IBAN_LEAD)
-    end, kept = start, []
-    while end < len(text) and len(kept) < 34 and (text[end] in _ALNUM or (text[end] == " " and end + 1 < len(text) and text[end + 1] in _ALNUM)):
-        if text[end] != " ":
-            kept.append(text[end].upper())
-        end += 1
-        if len(kept) == 4 and not ("".join(kept[:2]).isalpha() and "".join(kept[2:]).isdigit()):
-            return None
-        if len(kept) >= 15 and (end == len(text) or text[end] not in _ALNUM):
-            turned = "".join(kept[4:] + kept[:4])
-            if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1:
-                return start, end
+    m = _IBAN.match(text, start)
+    if m is None:
+        return None
+    body = m[0]
+    for end in [*(k for k, c in enumerate(body) if c == " " and k >= 15), len(body)]:
+        if end == len(body) and start + end < len(text) and text[start + end] in _ALNUM:
+            break
+        kept = body[:end].replace(" ", "")
+        if len(kept) >= 15 and int((kept[4:] + kept[:4]).translate(_IBAN_DIGITS)) % 97 == 1:
+            return start, start + end
     return None
 
 
@@ -213,7 +217,8 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[Span]:
             if at >= reach["url"]:
                 keep("url", _url(text, at, last + 1))
         elif anchor == "iban":
-            keep("iban", _iban(text, last + 1))
+            if last + 1 >= reach["iban"]:
+                keep("iban", _iban(text, last + 1))
         else:
             keep("secret", secrets.after(last + 1, reach["secret"]))
     return [(k, a, b) for k in KINDS for a, b in found[k]]
@@ -257,7 +262,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, digest of their spans, and all spans.
 
-    A null or empty text has no spans. No row depends on another and nothing is
+    A null or empty text has no spans; repeated rows get equal results, an empty
+    table none, and texts of any length are read whole, in proportion to it. No row depends on another and nothing is
     shuffled. Columns of other names are ignored.
     """
     out = docs.select(F.col(key).cast("long").alias("doc_id"), clean_text(text).alias("text")).mapInArrow(_report, _REPORT)
@@ -285,8 +291,10 @@ def redact_pii(docs: DataFrame, text: str = "text", length: str | None = "n_char
     """The documents with personal data in ``text`` replaced by the name of its kind in brackets.
 
     Null texts stay null. Where a text changes, the column ``length``, if there is
-    one of an integer type, becomes its new number of characters.
+    one of an integer type, becomes its new number of characters. Columns are found
+    as the session resolves names; repeated rows stay, an empty table gives none.
     """
     integers = ("tinyint", "smallint", "int", "bigint")
+    length = column_name(docs, length) if length else None
     length = length if dict(docs.dtypes).get(length) in integers else None
-    return docs.mapInArrow(_redacted(text, length), docs.schema)
+    return docs.mapInArrow(_redacted(column_name(docs, text), length), docs.schema)

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .shared import clean_text, mix64, pieces, release_memory, slices, utf8
+from .shared import Scratch, clean_text, column_name, mix64, pieces, release_memory, slices, utf8
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
@@ -24,9 +25,9 @@ PASSAGE_WORDS = 64
 TRAIN_DOCUMENTS = 4000
 #: Longer documents are scored like any other but not learned from.
 TRAIN_CHARS = 200_000
-#: Passages of a document that are learned from, at most, spread over its whole length: with the bounds above, what is
-#: gathered to learn from takes at most 220 MB, whatever the corpus.
-TRAIN_PASSAGES = 64
+#: Bytes of the texts of each class that are learned from, at most: whole documents, in the order of that hash, while they
+#: fit. All their passages are encoded; what is gathered takes some 200 MB at most, whatever the corpus.
+TRAIN_BYTES = 24 << 20
 THRESHOLD = 0.3
 _PAIR_BINS = 64
 _HIDDEN, _ATTENTION = 24, 12
@@ -204,12 +205,12 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
         for i, j in slices(offsets):
             x, first = passage_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            blobs += [part[np.unique(np.linspace(0, len(part) - 1, TRAIN_PASSAGES).astype(int))].tobytes() for part in np.split(x, first[1:])]
+            blobs += [part.tobytes() for part in np.split(x, first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], names=["_id", "y", "weight", "bag"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 0, folds: int = 5, most: int = TRAIN_DOCUMENTS) -> AttentionModel:
-    """Learn from the labelled documents outside a fold of the keys, at most ``most`` of each class.
+    """Learn from the labelled documents outside a fold of the keys, at most ``most`` and ``TRAIN_BYTES`` of each class.
 
     Rows without a label or key are not learned from; of several labels of one key
     the largest holds, and of several documents of one key the first in the order
@@ -217,15 +218,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """
     known = labels.where(F.col(label).isNotNull() & (fold_of(F.col(key), folds) != fold)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("double").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("weight", F.lit(n / min(n, most))) for y, n in sorted(totals.items()) if y in (0.0, 1.0)]
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in sorted(totals) if y in (0.0, 1.0)]
     if not parts:
         return AttentionModel.constant(0.5)
-    sample = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
-    rows = docs.select(F.col(key).alias("_id"), clean_text(text).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "_id")
+    scratch = Scratch(docs.sparkSession, "quality")
+    sample = scratch.store(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], "sample", rows=2 * most)
+    texts = docs.select(F.col(key).alias("_id"), clean_text(text).alias("text")).where(F.length("text") <= TRAIN_CHARS)
+    sizes = texts.select("_id", F.octet_length("text").alias("bytes")).join(F.broadcast(sample), "_id").groupBy("_id", "y").agg(F.max("bytes").alias("bytes"))
+    so_far = F.sum("bytes").over(W.Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id"))  # over at most ``most`` rows
+    chosen = scratch.store(sizes.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_BYTES).select("_id", "y"), "chosen", rows=2 * most)
+    used = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not used:
+        return AttentionModel.constant(0.5)
+    share = F.element_at(F.create_map(*[F.lit(x) for y, n in used.items() for x in (y, totals[y] / n)]), F.col("y"))
+    rows = texts.join(F.broadcast(chosen.withColumn("weight", share)), "_id")
     rows = rows.select("_id", "y", "weight", "text").mapInArrow(_bags, "_id string, y double, weight double, bag binary")
     got = rows.groupBy("_id", "y", "weight").agg(F.min("bag").alias("bag")).orderBy("_id").toArrow()  # the order of rows must not matter
     bags = [np.frombuffer(b.as_buffer(), np.float32).reshape(-1, FEATURES) for b in got["bag"]]
     weights = got["weight"].to_numpy()
+    scratch.close()
     model = AttentionModel.fit(bags, got["y"].to_numpy(), weights / max(weights.mean(), 1e-9) if len(weights) else weights)
     del bags, got
     release_memory()
@@ -276,5 +287,9 @@ def _accepted(model: AttentionModel, text: str):
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, that are predicted to be good; ``text`` is a string column."""
-    return docs.mapInArrow(_accepted(fit_quality(docs, labels, key, text), text), docs.schema)
+    """The documents, all their columns, that are predicted to be good; ``text`` is a string column, of any case that the session resolves.
+
+    A null text is scored as an empty one, equal texts and repeated rows stay or go
+    together, a null key is not learned from. An empty table gives no row.
+    """
+    return docs.mapInArrow(_accepted(fit_quality(docs, labels, key, text), column_name(docs, text)), docs.schema)

@@ -130,11 +130,37 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int, count: str
     return first.unionByName(rest)
 
 
+#: Bits of a bitmap of hashes, at most 16 MB whatever the number of keys.
+BITMAP_BITS, _PAGE_BITS = 27, 15
+
+
+def perhaps_in(rows: DataFrame, keys: DataFrame, row_key: list[F.Column], key: list[str], mark: str) -> DataFrame:
+    """``rows`` with a column ``mark``: false where the key is surely not among ``keys``.
+
+    The hashes of all keys are bits of a bitmap, whose pages go to every task. So
+    only rows that may have a partner are shuffled for a join, whatever is in them.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << BITMAP_BITS))
+    of_page = lambda p: F.shiftright(p, _PAGE_BITS).cast("int")
+    within = lambda p: p.bitwiseAND(F.lit((1 << _PAGE_BITS) - 1)).cast("int")
+    placed = keys.select(place([F.col(k) for k in key]).alias("_place"))
+    pages = placed.groupBy(of_page(F.col("_place")).alias("_page")).agg(F.bitmap_construct_agg(within(F.col("_place"))).alias("_bits"))
+    at = within(F.col("_place"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = rows.withColumn("_place", place(row_key)).withColumn("_page", of_page(F.col("_place"))).join(F.broadcast(pages), "_page", "left")
+    hit = F.col("_bits").isNotNull() & (F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1)
+    return seen.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_place", "_page", "_bits")
+
+
 def matching(rows: DataFrame, keys: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
-    """``rows JOIN keys USING (key)``: by broadcast where the keys are few, else as ``lookup`` does, for which ``keys`` tells in ``count`` how many rows each may have."""
+    """``rows JOIN keys USING (key)``: by broadcast where the keys are few, else as ``lookup`` does, for which ``keys`` tells in ``count`` how many rows each may have.
+
+    Rows that have no partner are not shuffled.
+    """
     if is_small(keys):
         return rows.join(F.broadcast(keys), key)
-    return lookup(rows, keys, key, total, count).where(F.col(count).isNotNull())
+    likely = perhaps_in(rows, keys, [F.col(key)], [key], "_hit").where("_hit").drop("_hit")
+    return lookup(likely, keys, key, total, count).where(F.col(count).isNotNull())
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], total: int, out: str) -> DataFrame:
@@ -161,6 +187,11 @@ def numbered(rows: DataFrame, group: str, order: list[str], total: int, out: str
     )
 
 
+def column_name(df: DataFrame, name: str) -> str:
+    """The frame's own spelling of a column that the session resolves without regard to case."""
+    return name if name in df.columns else next((c for c in df.columns if c.lower() == name.lower()), name)
+
+
 def clean_text(name: str = "text") -> F.Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

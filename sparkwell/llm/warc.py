@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import clean_text, lookup, materialize, scratch_path
+from .shared import clean_text, is_small, lookup, materialize, perhaps_in, scratch_path
 
 CHUNK_BYTES = 64 << 10
 ARCHIVE_BYTES = 1 << 30
@@ -106,10 +106,14 @@ def write_archives(pages: DataFrame, base: str, key: str = "page_id", url: str =
     same = narrow.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page").alias("first"))
     same = materialize(same.where("n > 1 AND first IS NOT NULL"), "repeats")
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), body.cast("binary").alias("payload"), F.unhex(F.sha1(body)).alias("digest"))
+    alone = lambda frame: frame.withColumn("first", F.lit(None).cast("long")).select("page", "url", "payload", "first")
     if same.isEmpty():
-        rows = rows.withColumn("first", F.lit(None).cast("long"))
-    else:
-        rows = lookup(rows, same, "digest", narrow.count())
+        rows = alone(rows)
+    elif is_small(same):
+        rows = rows.join(F.broadcast(same), "digest", "left")
+    else:  # payloads that are surely not repeated are written where they are read
+        marked = perhaps_in(rows, same, [F.col("digest")], ["digest"], "_hit")
+        rows = alone(marked.where("NOT _hit")).unionByName(lookup(marked.where("_hit").drop("_hit"), same, "digest", narrow.count()).select("page", "url", "payload", "first"))
     again = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     plan = rows.select("page", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"))
     return materialize(plan.mapInArrow(_writer(base, archive_bytes, date, level), _MANIFEST), "manifest")
