@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 import numpy as np
 
@@ -37,18 +37,20 @@ def identities(one: int, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def farthest(seqs: list[str], n: int, seed: int) -> list[int]:
-    """Indices of n sequences: a seeded first one, then always the one farthest from all chosen, the lowest index of equals."""
+    """Places of n sequences (all, if fewer): the one of least digest with the seed, then always that whose nearest pick is farthest from it, the first of equals.
+
+    The first one is the same however the sequences are dealt out and ordered.
+    """
     if n <= 0 or not seqs:
         return []
     codes, sizes = encode(seqs)
-    chosen = [random.Random(seed).randrange(len(seqs))]
-    nearest = 1 - identities(chosen[0], codes, sizes)
-    nearest[chosen[0]] = -1
-    while len(chosen) < min(n, len(seqs)):
-        chosen.append(int(nearest.argmax()))
-        nearest = np.minimum(nearest, 1 - identities(chosen[-1], codes, sizes))
-        nearest[chosen] = -1
-    return chosen
+    digests = [hashlib.sha256(f"{seed}:{s}".encode()).digest() for s in seqs]
+    order, gap = [min(range(len(seqs)), key=digests.__getitem__)], np.full(len(seqs), np.inf)
+    for _ in range(min(n, len(seqs)) - 1):
+        gap = np.minimum(gap, 1 - identities(order[-1], codes, sizes))
+        gap[order[-1]] = -np.inf
+        order.append(int(gap.argmax()))
+    return order
 
 
 def seriate(seqs: list[str]) -> list[int]:

@@ -32,13 +32,16 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placed, _ = anchored.align(anchors, seen)
         names = sorted(set(genes))
         number = {g: k for k, g in enumerate(names)}
-        keys = [np.zeros((0, 3), np.int64)]
+        wide, keys = max(map(len, anchors), default=0), [np.zeros(0, np.int64)]
         for gene, where, letters in zip(genes, placed, seen, strict=True):
             on = np.flatnonzero(where % 2)
             codes = np.frombuffer(letters.encode("utf-32-le"), np.uint32).astype(np.int64)
-            keys.append(np.stack([np.full(len(on), number[gene]), where[on] // 2, codes[on]], 1))
-        found, counts = np.unique(np.concatenate(keys), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in found[:, 0]], pa.string()), pa.array(found[:, 1], pa.int32()), pa.array([chr(c) for c in found[:, 2]], pa.string()), pa.array(counts, pa.int64())], names=["v_gene", "place", "residue", "votes"])
+            keys.append((number[gene] * wide + where[on] // 2 << 21) | codes[on])  # a code point has 21 bits
+        found, counts = np.unique(np.concatenate(keys), return_counts=True)
+        at, codes = found >> 21, found & ((1 << 21) - 1)
+        gene = pa.array(names, pa.string()).take(pa.array(at // max(1, wide)))
+        residue = pa.array(list(codes.astype(np.uint32).tobytes().decode("utf-32-le")), pa.string())
+        yield pa.RecordBatch.from_arrays([gene, pa.array(at % max(1, wide), pa.int32()), residue, pa.array(counts, pa.int64())], names=["v_gene", "place", "residue", "votes"])
 
 
 def column_votes(rows: DataFrame, germline: str = "germline_aa") -> DataFrame:

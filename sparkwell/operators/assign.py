@@ -38,10 +38,10 @@ def mentions(grids: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def by_barcode(grids: DataFrame, barcodes: DataFrame) -> DataFrame:
-    """(grid_id, source, plate_id, confidence, alternatives): barcodes that stand anywhere in a grid's text; more than one is unresolved."""
+    """(grid_id, source, plate_id, confidence, alternatives): barcodes that stand anywhere in a grid's text; more than one, or one that is on several plates, is unresolved."""
     hits = mentions(grids, barcodes.select(F.col("barcode").alias("word"), "plate_id"))
     found = hits.groupBy("grid_id").agg(F.count_distinct("word").alias("_n"), F.min("plate_id").alias("plate_id"), F.sort_array(F.collect_set("plate_id")).alias("alternatives"))
-    one = F.col("_n") == 1
+    one = (F.col("_n") == 1) & (F.size("alternatives") == 1)
     return found.select("grid_id", F.when(one, "barcode").otherwise("unresolved").alias("source"), F.when(one, F.col("plate_id")).alias("plate_id"), F.when(one, F.lit(CONFIDENCE["barcode"])).otherwise(0.0).alias("confidence"), F.when(one, F.array().cast("array<string>")).otherwise(F.col("alternatives")).alias("alternatives"))
 
 

@@ -93,6 +93,13 @@ def infer_roles(values: DataFrame, n_samples: Column | None = None, plate: str =
 FEATURES = ("mean", "sd", "cv", "min", "max", "median", "mad", "iqr", "p90_over_median", "p99_over_median", "top_decile_mean", "top_over_median", "skew", "kurtosis", "frac_over_1", "frac_over_2", "frac_near_ceiling", "frac_near_blank", "range_over_median", "n_samples", "fill_fraction", "blank_median", "blank_sd", "signal_over_blank", "top_over_blank")
 
 
+def exact_deviation(value: Column) -> Column:
+    """Population standard deviation of readings of at most nine places, from exact sums: the order of rows cannot matter."""
+    x = value.cast("decimal(16,9)")
+    n, one, two = F.count(x), F.sum(x).cast("decimal(18,9)"), F.sum((x * x).cast("decimal(22,14)")).cast("decimal(24,14)")
+    return F.sqrt(F.greatest(n.cast("decimal(10,0)") * two - one * one, F.lit(0)).cast("double")) / n
+
+
 def plate_features(values: DataFrame, plate: str = "plate_id") -> DataFrame:
     """Shape of the readings of each plate over its sample wells, and its own background over the others.
 
@@ -108,10 +115,10 @@ def plate_features(values: DataFrame, plate: str = "plate_id") -> DataFrame:
     q = lambda p: F.percentile("_v", F.lit(p))
     share = lambda e: F.avg(e.cast("double"))
     agg = placed.groupBy(plate).agg(
-        F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("sd"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.median("_v").alias("median"),
+        (F.sum(F.col("_v").cast("decimal(16,9)")).cast("double") / F.count("_v")).alias("mean"), exact_deviation(F.col("_v")).alias("sd"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.median("_v").alias("median"),
         F.median(F.abs(F.col("_v") - F.col("_median"))).alias("mad"), (q(0.75) - q(0.25)).alias("iqr"), q(0.9).alias("_p90"), q(0.99).alias("_p99"), F.avg(top).alias("top_decile_mean"),
         F.skewness("_v").alias("_g1"), F.kurtosis("_v").alias("_g2"), share(F.col("_v") > 1.0).alias("frac_over_1"), share(F.col("_v") > 2.0).alias("frac_over_2"), share(F.col("_v") > 3.6).alias("frac_near_ceiling"), share(F.col("_v") < 0.15).alias("frac_near_blank"),
-        F.count("_v").cast("double").alias("n_samples"), F.count("*").cast("double").alias("_all"), F.median("_b").alias("blank_median"), F.when(F.count("_b") > 1, F.stddev_pop("_b")).alias("blank_sd"),
+        F.count("_v").cast("double").alias("n_samples"), F.count("*").cast("double").alias("_all"), F.median("_b").alias("blank_median"), F.when(F.count("_b") > 1, exact_deviation(F.col("_b"))).alias("blank_sd"),
     ).where("n_samples > 0")
     n = F.col("n_samples")
     over = lambda a, b: F.when(F.col(b) != 0, F.col(a) / F.col(b)).otherwise(0.0)

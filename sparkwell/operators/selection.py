@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions.germline import identity
 from ..kernels import greedy
+from .quantiles import quantiles
+from .similar import worst_pairs
+from .spread import broadcast_within
+from .storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -65,18 +68,14 @@ def quotas(fractions: DataFrame, n: int) -> DataFrame:
 
 def length_bins(rows: DataFrame, bins: int = 4) -> DataFrame:
     """The bin of every CDR3 length inside its gene: quantiles with linear interpolation, equal edges merged, the left edge in the first bin."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.groupBy("v_gene").agg(F.array_distinct(F.percentile("cdr3_len", points)).alias("edges"))
+    edges = quantiles(rows, "v_gene", "cdr3_len", [i / bins for i in range(bins + 1)]).select("v_gene", F.array_distinct("quantiles").alias("edges"))
     inner = F.expr("filter(edges, (e, i) -> i > 0 AND i < size(edges) - 1)")
-    return rows.join(F.broadcast(edges), "v_gene").withColumn("bin", F.size(F.filter(inner, lambda e: F.col("cdr3_len") > e)).cast("long")).drop("edges")
+    return rows.join(broadcast_within(edges), "v_gene").withColumn("bin", F.size(F.filter(inner, lambda e: F.col("cdr3_len") > e)).cast("long")).drop("edges")
 
 
 def worst_pair(picked: DataFrame) -> DataFrame:
-    """The two picks that are most alike: (a, b, identity), the pair of least ids of equal ones. Picks are a few hundred; the pairs go in blocks of one row against all."""
-    left = picked.select(F.col("seq_id").alias("a"), F.col("cdr3_aa").alias("x"))
-    right = picked.select(F.col("seq_id").alias("b"), F.col("cdr3_aa").alias("y"))
-    pairs = left.join(right, F.col("a") < F.col("b")).select("a", "b", F.round(identity(F.col("x"), F.col("y")), 9).alias("identity"))
-    return pairs.orderBy(F.desc("identity"), "a", "b").limit(1)
+    """The two picks that are most alike: (a, b, identity), the pair of least ids of equal ones; no row for less than two picks."""
+    return worst_pairs(picked)
 
 
 @dataclass(frozen=True)
@@ -97,25 +96,55 @@ class Spec:
         return shape.join(worst, how="cross").withColumn("passed", met)
 
 
+#: Most loops of a group that one task chooses from.
+BLOCK = 2048
+
+
+def core_set(rows: DataFrame, keys: list[str], k: int, seed: int = 42, sequence: str = "cdr3_aa", block: int = 0) -> DataFrame:
+    """Rows of which every group has at most a block: in rounds, the ``k`` farthest points of each block of a larger group.
+
+    Farthest points compose: the farthest ``k`` of those that blocks have chosen
+    leave no loop farther from a pick than four times the best radius there is.
+    Blocks are dealt by a hash, so one large group is worked on by many tasks; a
+    group that fits is left as it is, and chosen from as a whole. ``block``: its
+    size, ``BLOCK`` or four times ``k`` if that is more.
+    """
+    size = max(block or BLOCK, 4 * k)
+    while True:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= size:
+            return rows
+        parts = F.ceil(F.col("_n") / (size / 2)).cast("int")  # halves, so that uneven ones fit too
+        dealt = rows.join(broadcast_within(counts), keys).withColumn("_part", F.when(F.col("_n") <= size, 0).otherwise(F.pmod(F.xxhash64(sequence, "seq_id"), parts)))
+        schema = T.StructType([f for f in dealt.schema if f.name not in ("_n", "_part")])
+
+        def choose(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("seq_id", ignore_index=True)
+            at = greedy.farthest(group[sequence].tolist(), k, seed) if group["_n"][0] > size else range(len(group))
+            return group.iloc[list(at)][schema.names]
+
+        rows = checkpointed(dealt.groupBy(*keys, "_part").applyInPandas(choose, schema))
+
+
 def sample(candidates: DataFrame, n: int, panel: Panel, seed: int = 42, bins: int = 4) -> DataFrame:
     """Stratified picks: gene quotas, length bins, greedy farthest points in each bin.
 
     Loops are distinct in the result. A bin that is short is made up by its gene;
-    a gene without candidates is made up by the others. Each (gene, bin) is chosen
-    from in one task, so candidates should be filtered to what is worth choosing from.
+    a gene without candidates is made up by the others. No bin is chosen from in
+    one task before it is down to ``BLOCK`` loops (see ``core_set``).
     """
     want = panel.quotas(n)
     one = candidates.where(F.col("v_gene").isin(*want)).groupBy("cdr3_aa").agg(F.min_by(F.struct("seq_id", "v_gene", "cdr3_len"), "seq_id").alias("r")).select("r.*", "cdr3_aa")
     binned = length_bins(one, bins).withColumn("quota", F.create_map(*[F.lit(x) for p in want.items() for x in p])[F.col("v_gene")])
     counts = binned.groupBy("v_gene").agg(F.count_distinct("bin").alias("n_bins"))
-    ready = binned.join(F.broadcast(counts), "v_gene")
+    ready = core_set(binned.join(broadcast_within(counts), "v_gene"), ["v_gene", "bin"], max(n, *want.values()), seed)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq_id", ignore_index=True)
         quota, k, b = int(rows.quota[0]), int(rows.n_bins[0]), int(rows.bin[0])
         share = quota // k + (b < quota % k)
         # picks first, then the rest in greedy order: what other bins lack is made up from there
-        order = greedy.farthest(rows.cdr3_aa.tolist(), min(len(rows), max(quota, n)), seed + b)
+        order = greedy.farthest(rows.cdr3_aa.tolist(), min(len(rows), max(quota, n)), seed)
         out = rows.iloc[order].copy()
         out["place"] = range(len(out))
         out["primary"] = out.place < share

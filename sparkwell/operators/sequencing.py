@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import dna, wells
-from ..kernels import local
+from ..kernels import local, trim
 
 #: Thresholds of the verdicts.
 TRIM_Q, MIN_BP, COVERAGE, IDENTITY, SWAP_MARGIN, MIN_KMERS, MIXED, K = 20, 60, 0.80, 0.90, 1.25, 20, 0.02, 12
@@ -25,28 +25,15 @@ def mott_trim(quality: Column, cutoff: int = TRIM_Q, minimum: int = 20) -> Colum
     """struct(start, end) of the segment with the greatest sum of (limit - error), from 0, end exclusive; (0, 0) if it is short.
 
     The sum starts anew where it falls below zero; of equal sums the first holds.
+    A null array gives null, a null quality in one counts as 0. Traces are gone
+    through together, in batches of Arrow: see ``kernels.trim``.
     """
-    limit = F.lit(10.0 ** (-cutoff / 10))
-    state = "struct<sum:double,start:int,best:double,from:int,to:int>"
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("best"), F.lit(0).alias("from"), F.lit(0).alias("to")).cast(state)
-    indexed = F.transform(quality, lambda q, i: F.struct(q.alias("q"), i.alias("i")))
-
-    def step(s: Column, x: Column) -> Column:
-        total = s["sum"] + limit - F.pow(F.lit(10.0), -x["q"] / 10.0)
-        low, better = total < 0, total > s["best"]
-        return F.struct(
-            F.when(low, F.lit(0.0)).otherwise(total).alias("sum"),
-            F.when(low, x["i"] + 1).otherwise(s["start"]).alias("start"),
-            F.when(better, total).otherwise(s["best"]).alias("best"),
-            F.when(better, s["start"]).otherwise(s["from"]).alias("from"),
-            F.when(better, x["i"] + 1).otherwise(s["to"]).alias("to"),
-        ).cast(state)
-
-    def finish(s: Column) -> Column:
-        long = s["to"] - s["from"] >= minimum
-        return F.struct(F.when(long, s["from"]).otherwise(0).alias("start"), F.when(long, s["to"]).otherwise(0).alias("end"))
-
-    return F.aggregate(indexed, zero, step, finish)
+
+    @F.pandas_udf("start int, end int")
+    def best(arrays: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(trim.best_segments(arrays.tolist(), cutoff, minimum), columns=["start", "end"])
+
+    return F.when(quality.isNotNull(), best(F.transform(quality, lambda q: F.coalesce(q, F.lit(0)))))
 
 
 def stem_of(name: Column) -> Column:

@@ -101,6 +101,8 @@ def dynamic_range_bands(spark, sf):
     return _scored(spark, sf).join(health, "pair_id").groupBy("band").agg(F.count_distinct("pair_id").alias("plates"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
+#: Readings have six places: in millionths, sums of them and of their squares are whole numbers.
+_SD = "sqrt(CAST(count(*) * sum(CAST(round(od450 * 1000000) AS HUGEINT) * CAST(round(od450 * 1000000) AS HUGEINT)) - sum(CAST(round(od450 * 1000000) AS HUGEINT)) * sum(CAST(round(od450 * 1000000) AS HUGEINT)) AS DOUBLE)) / 1000000 / count(*)"
 _VALUES = f"SELECT pair_id AS plate_id, well, od450_target AS od450, CASE WHEN place < 84 THEN 'sample' ELSE 'empty' END AS role FROM ({d.CELLS_SQL}) WHERE od450_target IS NOT NULL"
 
 
@@ -111,8 +113,8 @@ def _values(spark, sf):
 
 @query(f"""
     WITH x AS ({_VALUES}), s AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY od450 DESC, well) AS r, count(*) OVER (PARTITION BY plate_id) AS n, median(od450) OVER (PARTITION BY plate_id) AS med FROM x WHERE role = 'sample'),
-    b AS (SELECT plate_id, median(od450) AS blank_median, CASE WHEN count(*) > 1 THEN stddev_pop(od450) END AS blank_sd, count(*) AS nb FROM x WHERE role <> 'sample' GROUP BY 1),
-    f AS (SELECT plate_id, avg(od450) AS mean, stddev_pop(od450) AS sd, min(od450) AS min, max(od450) AS max, median(od450) AS median, median(abs(od450 - med)) AS mad, quantile_cont(od450, 0.75) - quantile_cont(od450, 0.25) AS iqr,
+    b AS (SELECT plate_id, median(od450) AS blank_median, CASE WHEN count(*) > 1 THEN {_SD} END AS blank_sd, count(*) AS nb FROM x WHERE role <> 'sample' GROUP BY 1),
+    f AS (SELECT plate_id, CAST(sum(CAST(od450 AS DECIMAL(16,9))) AS DOUBLE) / count(*) AS mean, {_SD} AS sd, min(od450) AS min, max(od450) AS max, median(od450) AS median, median(abs(od450 - med)) AS mad, quantile_cont(od450, 0.75) - quantile_cont(od450, 0.25) AS iqr,
           quantile_cont(od450, 0.9) AS p90, quantile_cont(od450, 0.99) AS p99, avg(od450) FILTER (r <= greatest(1, n // 10)) AS top, skewness(od450) AS skew, kurtosis(od450) AS kurtosis, avg((od450 > 1)::INT) AS f1, avg((od450 > 2)::INT) AS f2, avg((od450 > 3.6)::INT) AS fc, avg((od450 < 0.15)::INT) AS fb, count(*)::DOUBLE AS n FROM s GROUP BY 1)
     SELECT plate_id, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / mean, 6) AS cv, round(min, 6) AS min, round(max, 6) AS max, round(median, 6) AS median, round(mad, 6) AS mad, round(iqr, 6) AS iqr, round(p90 / median, 6) AS p90_over_median, round(p99 / median, 6) AS p99_over_median,
            round(top, 6) AS top_decile_mean, round(top / median, 6) AS top_over_median, round(coalesce(skew, 0), 6) AS skew, round(coalesce(kurtosis, 0), 6) AS kurtosis, round(f1, 6) AS frac_over_1, round(f2, 6) AS frac_over_2, round(fc, 6) AS frac_near_ceiling, round(fb, 6) AS frac_near_blank, round((max - min) / median, 6) AS range_over_median,
@@ -233,12 +235,13 @@ def step_record(spark, sf):
 _GRIDS = "SELECT page_id AS grid_id, lower(concat(url, ' ', html)) AS t FROM pages"
 _SAYS_TARGET = "regexp_matches(t, 'target|antigen|experimental|test|expt')"
 _SAYS_CONTROL = "regexp_matches(t, 'control|ctrl|hla|irrelevant|negative|neg')"
-_CODES = "SELECT concat('/', CAST(n_nationkey AS VARCHAR)) AS barcode, concat('PLT-', n_nationkey) AS plate_id FROM nation"
+#: One code in five is on two plates.
+_CODES = "SELECT concat('/', CAST(n_nationkey AS VARCHAR)) AS barcode, concat('PLT-', n_nationkey) AS plate_id FROM nation UNION ALL SELECT concat('/', CAST(n_nationkey AS VARCHAR)), concat('PLT-', n_nationkey, 'b') FROM nation WHERE n_nationkey % 5 = 0"
 _WORDS = "SELECT DISTINCT source AS name, concat('PLT-', source) AS plate_id FROM documents WHERE length(source) > 3"
 
 
 @query(f"""
-    WITH g AS ({_GRIDS}), b AS (SELECT grid_id, count(DISTINCT barcode) AS n, min(plate_id) AS plate_id FROM g JOIN ({_CODES}) ON contains(t, lower(barcode)) GROUP BY 1),
+    WITH g AS ({_GRIDS}), b AS (SELECT grid_id, greatest(count(DISTINCT barcode), count(DISTINCT plate_id)) AS n, min(plate_id) AS plate_id FROM g JOIN ({_CODES}) ON contains(t, lower(barcode)) GROUP BY 1),
     m AS (SELECT grid_id, min(plate_id) AS plate_id FROM g JOIN ({_WORDS}) ON contains(t, lower(name)) GROUP BY 1 HAVING count(DISTINCT name) = 1)
     SELECT g.grid_id, CASE WHEN b.n = 1 THEN 'barcode' WHEN m.plate_id IS NOT NULL THEN 'name' ELSE 'unresolved' END AS source, CASE WHEN b.n = 1 THEN b.plate_id ELSE m.plate_id END AS plate_id,
            CAST(CASE WHEN b.n = 1 THEN 0.99 WHEN m.plate_id IS NOT NULL THEN 0.8 ELSE 0.0 END AS DOUBLE) AS confidence,
@@ -248,6 +251,7 @@ _WORDS = "SELECT DISTINCT source AS name, concat('PLT-', source) AS plate_id FRO
 def assign_propose(spark, sf):
     grids = d.table(spark, sf, "pages").select(F.col("page_id").alias("grid_id"), F.concat("url", F.lit(" "), "html").alias("text"))
     codes = d.table(spark, sf, "nation").select(F.concat(F.lit("/"), F.col("n_nationkey").cast("string")).alias("barcode"), F.concat(F.lit("PLT-"), F.col("n_nationkey").cast("string")).alias("plate_id"))
+    codes = codes.unionByName(codes.where(F.substring("barcode", 2, 9).cast("int") % 5 == 0).withColumn("plate_id", F.concat("plate_id", F.lit("b"))))
     names = d.table(spark, sf, "documents").select(F.col("source").alias("name"), F.concat(F.lit("PLT-"), F.col("source")).alias("plate_id")).distinct()
     return assign.propose(grids, codes, names)
 

@@ -85,7 +85,8 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Readings of both plates of each pair by well; one cell is the mean over its events.
-_OD = "round(avg(CASE WHEN event_type = '{}' THEN 0.05 + 3.95 * (1 - exp(-0.01 * value)) END), 6)"
+#: Sums are of decimals, so that the order of events cannot matter.
+_OD = "round(CAST(sum(CASE WHEN event_type = '{0}' THEN CAST(0.05 + 3.95 * (1 - exp(-0.01 * value)) AS DECIMAL(18,12)) END) AS DOUBLE) / count(*) FILTER (event_type = '{0}' AND value IS NOT NULL), 6)"
 CELLS_SQL = f"""
     SELECT user_id % 10 AS pair_id, event_id % 96 AS place, concat(chr(CAST(65 + (event_id % 96) % 8 AS INT)), lpad(CAST(1 + (event_id % 96) // 8 AS VARCHAR), 2, '0')) AS well,
            {_OD.format("click")} AS od450_target, {_OD.format("view")} AS od450_control, {_OD.format("error")} AS od450_blank
@@ -100,7 +101,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("event_id") % 96
     well = F.concat(F.char((65 + place % 8).cast("int")), F.lpad((F.floor(place / 8) + 1).cast("string"), 2, "0"))
     od = 0.05 + 3.95 * (1 - F.exp(-0.01 * F.col("value")))
-    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, od)), 6)
+    of = lambda kind: F.when(F.col("event_type") == kind, od.cast("decimal(18,12)"))
+    mean = lambda kind: F.round(F.sum(of(kind)).cast("double") / F.nullif(F.count(of(kind)), F.lit(0)), 6)
     keys = table(spark, sf_dir, "events").withColumns({"pair_id": F.col("user_id") % 10, "place": place, "well": well})
     return keys.groupBy("pair_id", "place", "well").agg(mean("click").alias("od450_target"), mean("view").alias("od450_control"), mean("error").alias("od450_blank"))
 

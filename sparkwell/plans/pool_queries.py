@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pool as op
-from ..operators import selection
+from ..operators import selection, similar
 from ..operators.filters import Filter
 from . import derive as d
 from .catalog import query
@@ -186,6 +186,27 @@ def spec_check(spark, sf):
     return selection.Spec().check(_picks(spark, sf))
 
 
+@query(f"""
+    WITH p AS ({_FIRST}), n AS (SELECT count(*) AS n FROM p), i AS (SELECT unnest(range(1, 11)) AS draw),
+    d AS (SELECT draw, seq_id, cdr3_aa, row_number() OVER (PARTITION BY draw ORDER BY md5(concat('42:', draw, ':', seq_id)), seq_id) AS r FROM ({_KEPT_SQL}), i),
+    e AS (SELECT draw, seq_id, cdr3_aa FROM d, n WHERE r <= n UNION ALL SELECT 0, seq_id, cdr3_aa FROM p)
+    SELECT CAST(x.draw AS INTEGER) AS draw, max(round(1 - levenshtein(x.cdr3_aa, y.cdr3_aa) / greatest(length(x.cdr3_aa), length(y.cdr3_aa)), 9)) AS identity FROM e x JOIN e y ON x.draw = y.draw AND x.seq_id < y.seq_id GROUP BY 1
+""")
+def identity_curve(spark, sf):
+    """The worst identity among the picks, and among ten random sets of as many rows."""
+    return similar.identity_curve(_kept(spark, sf), _picks(spark, sf), draws=10)
+
+
+@query(f"""
+    WITH l AS (SELECT DISTINCT v_gene, cdr3_aa FROM ({d.POOL_SQL}) WHERE cdr3_aa <> '')
+    SELECT x.v_gene, x.cdr3_aa AS a, y.cdr3_aa AS b, CAST(levenshtein(x.cdr3_aa, y.cdr3_aa) AS INTEGER) AS distance FROM l x JOIN l y ON x.v_gene = y.v_gene AND x.cdr3_aa < y.cdr3_aa WHERE abs(length(x.cdr3_aa) - length(y.cdr3_aa)) <= 2 AND levenshtein(x.cdr3_aa, y.cdr3_aa) <= 2
+""")
+def loop_neighbours(spark, sf):
+    """Distinct loops of a gene that are two edits apart at most."""
+    loops = d.pool(spark, sf).where("cdr3_aa <> ''").select("v_gene", "cdr3_aa").distinct()
+    return similar.within_edits(loops, 2, "cdr3_aa", "cdr3_aa", "v_gene").select("v_gene", "a", "b", "distance")
+
+
 @query()
 def diversity_sample(spark, sf):
     """96 picks by quota, length bin and greedy distance."""

@@ -25,7 +25,9 @@ def generic(transfers: DataFrame, plate_format: int = 96) -> DataFrame:
 @INSTRUMENTS.register("tecan_evo", confidence="documented", suffix=".gwl")
 def tecan_evo(transfers: DataFrame, plate_format: int = 96, source_label: str = "Source", dest_label: str = "Destination", liquid_class: str = "", wash: bool = True) -> DataFrame:
     """(ordinal, sub, line): aspirate, dispense and wash lines of each transfer; positions run down the columns from 1."""
-    record = lambda letter, label, well: F.format_string(f"{letter};{label};;;%d;;%.2f;{liquid_class};;;", wells.column_major(F.col(well), plate_format), F.col("volume_ul"))
+    # two places through a decimal: a formatter for each line costs more than all else
+    volume = F.coalesce(F.col("volume_ul").cast("decimal(18,2)").cast("string"), F.lit("null"))
+    record = lambda letter, label, well: F.concat(F.lit(f"{letter};{label};;;"), F.coalesce(wells.column_major(F.col(well), plate_format).cast("string"), F.lit("null")), F.lit(";;"), volume, F.lit(f";{liquid_class};;;"))
     lines = [record("A", source_label, "source_well"), record("D", dest_label, "dest_well"), *([F.lit("W1;")] if wash else [])]
     return transfers.select("ordinal", F.posexplode(F.array(*lines)).alias("sub", "line"))
 
