@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from ..functions import dna, wells
 from ..kernels import local, trim
+from .spread import broadcast_within
 
 #: Thresholds of the verdicts.
 TRIM_Q, MIN_BP, COVERAGE, IDENTITY, SWAP_MARGIN, MIN_KMERS, MIXED, K = 20, 60, 0.80, 0.90, 1.25, 20, 0.02, 12
@@ -88,19 +89,37 @@ def match_traces(traces: DataFrame, expectations: DataFrame, by: str = "well") -
     return traces.join(hits, "file", "left").join(own, "clone_id", "left")
 
 
+#: k-mers of references that are broadcast; beyond, the join is by shuffle, and k-mers with more than this share of all rows, and so many, are joined apart.
+MAX_KMERS, HOT_SHARE, HOT_ROWS = 2_000_000, 1000, 10_000
+
+
+def _met(own: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of both sides that agree in ``canon``; no task gets all rows of one k-mer of the reads."""
+    if known.limit(MAX_KMERS + 1).count() <= MAX_KMERS:
+        return own.join(F.broadcast(known), "canon")
+    counts = own.groupBy("canon").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > max(HOT_ROWS, total // HOT_SHARE)).select("canon")  # at most HOT_SHARE of them
+    few = broadcast_within(known.join(F.broadcast(hot), "canon", "left_semi"), "ref_kmer")
+    return own.join(few, "canon").unionByName(own.join(F.broadcast(hot), "canon", "left_anti").join(known, "canon"))
+
+
 def screen(reads: DataFrame, references: DataFrame, k: int = K, top: int = 3) -> DataFrame:
     """(read_id, ref_id, shared, strand, place): references by distinct k-mers of the read that they have, the best ``top`` of each read.
 
-    The reverse strand counts only if it shares more. The k-mers of the references
-    are joined by key; nothing is compared pair by pair.
+    The reverse strand counts only if it shares more. A k-mer and its reverse
+    complement have one key, so a read's k-mers are made rows once, and the strand
+    is told from which of the two the reference has. Nothing is compared pair by pair.
     """
-    refs = references.select("ref_id", F.explode(dna.distinct_kmers(F.col("seq"), k)).alias("kmer"))
-    both = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), dna.reverse_complement(F.col("seq")).alias("s")))
-    sides = reads.select("read_id", F.inline(both)).select("read_id", "strand", F.explode(dna.distinct_kmers(F.col("s"), k)).alias("kmer"))
-    shared = sides.join(refs, "kmer").groupBy("read_id", "ref_id", "strand").agg(F.count("*").alias("n"))
-    best = shared.groupBy("read_id", "ref_id").agg(F.max(F.struct("n", (F.col("strand") == "+").alias("plus"))).alias("b"))
-    place = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("b.n"), "ref_id"))
-    ranked = best.select("read_id", "ref_id", F.col("b.n").alias("shared"), F.when(F.col("b.plus"), "+").otherwise("-").alias("strand"), place.cast("long").alias("place"))
+    turned = dna.reverse_complement(F.col("kmer"))
+    keyed = lambda rows: rows.withColumn("canon", F.least("kmer", turned))
+    known = keyed(references.select("ref_id", F.explode(dna.distinct_kmers(F.col("seq"), k)).alias("kmer"))).withColumnRenamed("kmer", "ref_kmer")
+    own = keyed(reads.select("read_id", F.explode(dna.distinct_kmers(F.col("seq"), k)).alias("kmer")))
+    met = _met(own, known)
+    counts = met.groupBy("read_id", "ref_id").agg(F.count_if(F.col("kmer") == F.col("ref_kmer")).alias("plus"), F.count_if(turned == F.col("ref_kmer")).alias("minus"))
+    shared = F.greatest("plus", "minus")
+    place = F.row_number().over(W.Window.partitionBy("read_id").orderBy(F.desc("shared"), "ref_id"))
+    ranked = counts.withColumn("shared", shared).select("read_id", "ref_id", "shared", F.when(F.col("plus") >= F.col("minus"), "+").otherwise("-").alias("strand"), place.cast("long").alias("place"))
     return ranked.where(F.col("place") <= max(top, 2))
 
 
@@ -154,15 +173,24 @@ def _one(row, others: list[tuple[str, str]]) -> tuple:
     return blank("missense" if changes else "silent", n=len(events), changes=",".join(changes), **info)
 
 
-def call_traces(traces: DataFrame, panel: list[tuple[str, str]]) -> DataFrame:
-    """A verdict for each matched trace. ``traces`` has file, well, clone_id, sequence, start, end, insert, context; ``panel`` the (clone, insert) of the plate, a few hundred at most."""
+#: Clones of a panel that every task is given; traces of a larger one bring the few they could be taken for.
+MAX_PANEL = 1536
+
+
+def call_traces(traces: DataFrame, panel: list[tuple[str, str]] | None) -> DataFrame:
+    """A verdict for each matched trace. ``traces`` has file, well, clone_id, sequence, start, end, insert, context.
+
+    ``panel``: the (clone, insert) of the plate, a few hundred at most; if there is
+    none, each trace has its own in an array ``others`` of (place, clone_id, insert).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _CALL.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([_one(r, panel) for r in batch.itertuples(index=False)], columns=names)
+            own = [[(o["clone_id"], o["insert"]) for o in ([] if x is None else x)] for x in batch["others"]] if panel is None else [panel] * len(batch)
+            yield pd.DataFrame([_one(r, p) for r, p in zip(batch.itertuples(index=False), own, strict=True)], columns=names)
 
-    columns = ["file", "well", "clone_id", "sequence", "start", "end", "insert", "context"]
+    columns = ["file", "well", "clone_id", "sequence", "start", "end", "insert", "context", *(["others"] if panel is None else [])]
     return traces.select(*columns).mapInPandas(run, _CALL)
 
 
@@ -170,10 +198,14 @@ def verify(traces: DataFrame, expectations: DataFrame, by: str = "well", prefer:
     """Reruns resolved, traces matched and called; superseded runs are not called."""
     trimmed = resolve_reruns(traces, prefer).where("status <> 'superseded'").withColumn("_trim", mott_trim(F.col("quality")))
     matched = match_traces(trimmed, expectations, by).select("file", "well", "clone_id", "sequence", F.col("_trim.start").alias("start"), F.col("_trim.end").alias("end"), "insert", "context")
-    panel = [(r["clone_id"], r["insert"]) for r in expectations.select("clone_id", "insert").distinct().limit(1537).collect()]
-    if len(panel) > 1536:
-        raise ValueError("the panel of one plate has at most 1536 clones")
-    return call_traces(matched, panel)
+    panel = [(r["clone_id"], r["insert"]) for r in expectations.select("clone_id", "insert").distinct().limit(MAX_PANEL + 1).collect()]
+    if len(panel) <= MAX_PANEL:
+        return call_traces(matched, panel)
+    # of a larger panel a trace can only be taken for the clones that share most with it: those are looked up by k-mers
+    clones = expectations.select(F.col("clone_id").alias("ref_id"), F.col("insert").alias("seq")).where("seq IS NOT NULL").distinct()
+    reads = matched.select(F.col("file").alias("read_id"), F.expr("substr(upper(sequence), start + 1, end - start)").alias("seq"))
+    near = screen(reads, clones, K, 3).join(clones, "ref_id").groupBy(F.col("read_id").alias("file")).agg(F.sort_array(F.collect_list(F.struct("place", F.col("ref_id").alias("clone_id"), F.col("seq").alias("insert")))).alias("others"))
+    return call_traces(matched.join(near, "file", "left"), None)
 
 
 def summarise(calls: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import pool as op
-from ..operators import selection, similar
+from ..operators import selection, similar, store
 from ..operators.filters import Filter
+from ..operators.storage import LOCAL
 from . import derive as d
 from .catalog import query
 
@@ -122,6 +125,14 @@ def pool_fetch(spark, sf):
     return op.fetch(orders, orders.select("id"), "id")
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT s_suppkey FROM supplier)")
+def clustered_fetch(spark, sf):
+    """Orders written in ranges of their key, of which a list of ids is read."""
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL}/clustered-{uuid.uuid4().hex}"
+    store.append_clustered(d.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, "o_orderkey")
+    return store.fetch(spark, path, d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("o_orderkey")), "o_orderkey")
+
+
 @query(f"SELECT row_number() OVER (ORDER BY cdr3_len DESC, seq_id) - 1 AS rank, seq_id, v_gene, cdr3_aa FROM ({_KEPT_SQL}) WHERE v_gene = 'IGHV3-53'")
 def library_members(spark, sf):
     """A frozen list with its order, joined with its sequences."""

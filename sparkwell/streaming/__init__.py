@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.filters import Filter
 from ..operators.pool import append_new, normalize
+from ..operators.store import exists
 
 
 def pool_stream(spark: SparkSession, folder: str, schema: T.StructType, meta: dict[str, str], source_ref: str, keep: Filter | None = None) -> DataFrame:
@@ -27,11 +28,9 @@ def append_to_pool(stream: DataFrame, pool: str, checkpoint: str) -> DataStreamW
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
+        if exists(spark, pool):
             stored = spark.read.option("basePath", pool).parquet(pool).where(F.col("batch") != number).select("seq_id")
-        except Exception as error:  # the pool does not exist before its first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        else:  # before the first batch
             stored = spark.createDataFrame([], "seq_id string")
         append_new(stored, batch).write.mode("overwrite").parquet(f"{pool}/batch={number}")
 

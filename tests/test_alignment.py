@@ -117,3 +117,46 @@ def test_votes_follow_insertions_and_deletions(spark):
     votes = {(r["place"], r["residue"]): r["votes"] for r in alignment.column_votes(frame).collect()}
     assert {k[0] for k in votes} == set(range(len(longer))) and all(votes[i, longer[i]] == 3 for i in range(30))
     assert sum(votes.values()) == sum(map(len, (base, shorter, longer)))
+
+
+def test_screen_of_both_strands(spark, monkeypatch):
+    from sparkwell.operators import sequencing
+
+    rng = random.Random(12)
+    turn = str.maketrans("ACGT", "TGCA")
+    refs = [(f"r{i:02}", word(rng, 80, "ACGT") + ("A" * 30 if i % 3 == 0 else "")) for i in range(12)]
+    reads = [(f"q{i:02}", refs[i % 12][1][5:70] + "N" + word(rng, 20, "ACGT") if i % 2 else refs[i % 12][1][::-1].translate(turn)) for i in range(30)]
+    reads += [(f"a{i:02}", "A" * 40 + word(rng, 30, "ACGT")) for i in range(6)] + [("e", ""), ("n", "N" * 30), ("p", "ACGTACGTACGTACGT" * 2)]
+    kmers = lambda s: {s[i : i + 12] for i in range(len(s) - 11) if "N" not in s[i : i + 12]}
+    want = {}
+    for name, seq in reads:
+        found = []
+        for ref, other in refs:
+            plus, minus = len(kmers(seq) & kmers(other)), len(kmers(seq[::-1].translate(turn)) & kmers(other))
+            if plus or minus:
+                found.append((-max(plus, minus), ref, "+" if plus >= minus else "-"))
+        want |= {(name, p): (r, -n, s) for p, (n, r, s) in enumerate(sorted(found)[:3], 1)}
+    q, r = spark.createDataFrame(reads, "read_id string, seq string"), spark.createDataFrame(refs, "ref_id string, seq string")
+    told = lambda: {(x["read_id"], x["place"]): (x["ref_id"], x["shared"], x["strand"]) for x in sequencing.screen(q, r).collect()}
+    assert told() == want
+    monkeypatch.setattr(sequencing, "MAX_KMERS", 10)
+    assert told() == want
+    monkeypatch.setattr(sequencing, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(sequencing, "HOT_ROWS", 3)  # some k-mers are hot now
+    assert told() == want
+
+
+def test_a_panel_beyond_one_plate(spark, monkeypatch):
+    from sparkwell.operators import sequencing
+
+    rng = random.Random(13)
+    clones = [(f"c{i}", word(rng, 240, "ACGT")) for i in range(6)]
+    rows = [(f"f{i}", f"{'ABCDEF'[i % 6]}01", clones[i % 6][0], clones[(i + (i == 4)) % 6][1][: 240 - i], clones[i % 6][1]) for i in range(12)]
+    traces = spark.createDataFrame([(f, w, c, s, 0, len(s), insert, "") for f, w, c, s, insert in rows], "file string, well string, clone_id string, sequence string, start int, end int, insert string, context string")
+    want = sorted(map(str, sequencing.call_traces(traces, clones).collect()))
+    near = sequencing.screen(traces.select(traces.file.alias("read_id"), traces.sequence.alias("seq")), spark.createDataFrame(clones, "ref_id string, seq string")).collect()
+    others = {}
+    for r in near:
+        others.setdefault(r["read_id"], []).append((r["place"], r["ref_id"], dict(clones)[r["ref_id"]]))
+    brought = traces.join(spark.createDataFrame([(f, sorted(o)) for f, o in others.items()], "file string, others array<struct<place:bigint,clone_id:string,insert:string>>"), "file", "left")
+    assert sorted(map(str, sequencing.call_traces(brought, None).collect())) == want and any("wrong_clone" in w for w in want)
