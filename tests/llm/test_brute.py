@@ -104,10 +104,10 @@ def test_attention_by_hand():
 
 
 def test_training_is_bounded(spark):
-    """However long the documents and however often a key repeats, what is gathered has one bag a key, of bounded size."""
+    """A bag has every passage of its text; whole texts are chosen up to ``TRAIN_BYTES`` (``test_every_passage_is_learned_from``)."""
     docs = spark.createDataFrame([(i % 4, f"word{i} " * 9000) for i in range(12)], "doc_id long, text string")
     rows = docs.selectExpr("doc_id AS _id", "1.0D AS y", "1.0D AS weight", "text").mapInArrow(quality._bags, "_id string, y double, weight double, bag binary").collect()
-    assert {len(r["bag"]) for r in rows} == {quality.TRAIN_PASSAGES * quality.FEATURES * 4}
+    assert {len(r["bag"]) for r in rows} == {-(-9000 // quality.PASSAGE_WORDS) * quality.FEATURES * 4}
 
 
 def test_mixture_by_hand():
