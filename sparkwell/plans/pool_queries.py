@@ -10,6 +10,8 @@ from ..operators import pool as op
 from ..operators import selection, similar, store
 from ..operators.filters import Filter
 from ..operators.storage import LOCAL
+from ..sinks.units import write_units
+from ..sources import formats
 from . import derive as d
 from .catalog import query
 
@@ -259,3 +261,19 @@ def evolved_schema(spark, sf):
     rows = store.read(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderstatus", "o_custkey"], o_orderstatus="F")
     named = rows.withColumnsRenamed({"o_orderkey": "id", "o_orderstatus": "status"})
     return store.evolve(named, T.StructType.fromDDL("id long, status string, added double"))
+
+
+@query(f"""
+    SELECT v_call, j_call, nullif(anarci_status, '') AS anarci_status, nullif(productive, '') AS productive, 'human' AS species, count(*) AS n, CAST(sum(length(aa_seq)) AS BIGINT) AS residues, CAST(sum(redundancy) AS BIGINT) AS reads, min(doc_id) AS first_id, max(sha256(concat(doc_id, ' ', aa_seq, ' ', cdr3_aa))) AS last_digest
+    FROM ({d.REPERTOIRE_SQL}) GROUP BY 1, 2, 3, 4
+""")
+def unit_format(spark, sf):
+    """The repertoire written as units, a task each, and read again by the format; columns are chosen by a schema."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL}/units-{uuid.uuid4().hex}"
+    write_units(d.repertoire(spark, sf), folder, {"Species": "human"})
+    formats.register(spark)
+    wanted = "doc_id string, v_call string, j_call string, aa_seq string, cdr3_aa string, anarci_status string, productive string, redundancy string, _meta map<string,string>"
+    rows = spark.read.format("repertoire_unit").schema(wanted).option("mode", "FAILFAST").load(folder)
+    text = F.concat_ws(" ", "doc_id", F.coalesce("aa_seq", F.lit("")), F.coalesce("cdr3_aa", F.lit("")))
+    totals = (F.count("*").alias("n"), F.sum(F.length(F.coalesce("aa_seq", F.lit("")))).alias("residues"), F.sum(F.col("redundancy").cast("long")).alias("reads"), F.min(F.col("doc_id").cast("long")).alias("first_id"), F.max(F.sha2(text, 256)).alias("last_digest"))
+    return rows.groupBy("v_call", "j_call", "anarci_status", "productive", F.col("_meta")["Species"].alias("species")).agg(*totals)

@@ -89,8 +89,8 @@ def parse_trace(path: str, data: bytes) -> Trace:
 _TRACE = "file string, sequence string, quality array<int>, sample string, well string, plate_id string, plate_name string, instrument string, dye_set string, vendor string, run_started timestamp, mean_quality double, q20 long, problem string"
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file; what cannot be read has its ``problem`` instead of a sequence."""
+def read_traces(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """A row for each file, as they are or as they arrive; what cannot be read has its ``problem`` instead of a sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in _TRACE.split(", ")]
@@ -104,7 +104,8 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name.rsplit("/", 1)[-1], *[None] * 12, str(error)))
             yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, _TRACE)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary") if streaming else spark.read.format("binaryFile")
+    return files.load(path).select("path", "content").mapInPandas(run, _TRACE)
 
 
 def write_abif(entries: dict[tuple[str, int], tuple[int, int, bytes]]) -> bytes:

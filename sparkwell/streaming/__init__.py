@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.filters import Filter
 from ..operators.pool import append_new, normalize
 from ..operators.store import exists
+from ..sources.binary import read_traces
 
 
 def pool_stream(spark: SparkSession, folder: str, schema: T.StructType, meta: dict[str, str], source_ref: str, keep: Filter | None = None) -> DataFrame:
@@ -18,6 +19,11 @@ def pool_stream(spark: SparkSession, folder: str, schema: T.StructType, meta: di
     return (keep or Filter()).apply(normalize(raw, meta, source_ref))
 
 
+def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of traces as their files arrive; Spark's own file stream keeps the log of the files that it has read."""
+    return read_traces(spark, folder, streaming=True)
+
+
 def append_to_pool(stream: DataFrame, pool: str, checkpoint: str) -> DataStreamWriter:
     """Appends rows whose id the pool has not, batch by batch.
 
