@@ -69,13 +69,16 @@ def resolve_reruns(traces: DataFrame, prefer: str = "latest") -> DataFrame:
 
 
 def expectations_from(clones: DataFrame, context_before: str = "", context_after: str = "", dna_columns: tuple[str, ...] = ("insert_dna_seq", "cds_dna", "insert_dna", "dna", "cds"), order: str = "ordinal") -> DataFrame:
-    """(well, clone_id, insert, context): one for each well, the last of several by ``order``; the first DNA column that is there holds the insert."""
+    """(well, clone_id, insert, context): one for each well, the last of several by ``order``; the first DNA column that is there holds the insert.
+
+    The context is the whole contig: the insert between its flanks.
+    """
     column = next((c for c in dna_columns if c in clones.columns), None)
     if column is None:
         raise KeyError(f"none of the columns {dna_columns}")
     rows = clones.withColumn("well", wells.normalize(F.col("well"), strict=True))
     last = rows.groupBy("well").agg(F.max_by(F.struct("clone_id", F.upper(column).alias("insert")), order).alias("r"))
-    return last.select("well", "r.clone_id", "r.insert", F.lit(context_before + context_after).alias("context"))
+    return last.select("well", "r.clone_id", "r.insert", F.concat(F.lit(context_before.upper()), "r.insert", F.lit(context_after.upper())).alias("context"))
 
 
 def match_traces(traces: DataFrame, expectations: DataFrame, by: str = "well") -> DataFrame:
@@ -123,63 +126,103 @@ def screen(reads: DataFrame, references: DataFrame, k: int = K, top: int = 3) ->
     return ranked.where(F.col("place") <= max(top, 2))
 
 
-_CALL = "file string, well string, clone_id string, verdict string, identity double, coverage double, trimmed_bp long, matched string, n_differences long, protein_changes string"
+_CALL = "file string, well string, clone_id string, verdict string, identity double, coverage double, trimmed_bp long, matched string, n_differences long, protein_changes string, confidence double, runner_up string, notes string"
+
+
+def _protein_changes(insert: str, observed: str) -> list[str]:
+    """Residues that differ, by place from 1, without stops at the end; then the lengths if they differ."""
+    old, now = (local.translate(x).rstrip("*") for x in (insert, observed))
+    found = [f"{x}{i}{y}" for i, (x, y) in enumerate(zip(old, now, strict=False), 1) if x != y]
+    return found + ([f"length {len(old)}->{len(now)}"] if len(old) != len(now) else [])
+
+
+def _events(a: local.Alignment, start: int, end: int) -> list[tuple[str, int, str, str]]:
+    """Differences that begin within the insert; each substituted base is one, a run of gaps is one."""
+    single = [(kind, at + i, old[i : i + 1], new[i : i + 1]) if kind == "substitution" else (kind, at, old, new) for kind, at, old, new in local.differences(a) for i in range(len(new) if kind == "substitution" else 1)]
+    return [e for e in single if start <= e[1] < end]
 
 
 def _one(row, others: list[tuple[str, str]]) -> tuple:
-    """The verdict on one trace by precedence; ``others`` are the inserts of the panel."""
+    """The verdict on one trace by precedence, in the order of ``_CALL``; ``others`` are the inserts of the panel.
+
+    The screen is by inserts alone, as flanks are the same in every well; the alignment is
+    against the whole expected contig (the insert if there is none), and only differences
+    within the insert count. What was not measured is null.
+    """
     seq = row.sequence[row.start : row.end].upper()
-    base = (row.file, row.well, row.clone_id)
-    blank = lambda v, **k: (*base, v, k.get("identity"), k.get("coverage"), len(seq), k.get("matched"), k.get("n"), k.get("changes", ""))
+    info: dict[str, object] = {}
+    notes: list[str] = []
+
+    def call(verdict: str, note: str = "") -> tuple:
+        get = info.get
+        said = "; ".join([*notes, note] if note else notes)
+        return (row.file, row.well, row.clone_id, verdict, get("identity"), get("coverage"), len(seq), get("matched"), get("n"), get("changes", ""), get("confidence"), get("runner_up"), said)
+
     if len(seq) < MIN_BP:
-        return blank("low_quality")
+        return call("low_quality", f"{len(seq)} bp are left after trimming at Q{TRIM_Q}: run it again")
     if not isinstance(row.insert, str) or not row.insert:
-        return blank("unreadable")
-    panel = [*(x for x in others if x[0] != row.clone_id), (row.clone_id, row.insert)]
+        return call("unreadable", "nothing is expected of this well, so the read was not judged")
+    insert = row.insert.upper()
+    context = row.context.upper() if isinstance(row.context, str) and row.context else insert
+    panel = [*(x for x in others if x[0] != row.clone_id), (row.clone_id, insert)]
     ranked = sorted(((local.shared_kmers(seq, ref, K), i, name) for i, (name, ref) in enumerate(panel)), key=lambda x: (-x[0][0], x[1]))[:3]
     mine = next((n for (n, _), _, name in ranked if name == row.clone_id), 0)
-    (best, _), _, leader = ranked[0]
+    (best, turned), _, leader = ranked[0]
     if best < MIN_KMERS:
-        if isinstance(row.context, str) and row.context and (a := local.align_to(row.context, seq)) is not None and a.identity >= IDENTITY:
-            return blank("no_insert", identity=a.identity)
-        return blank("unreadable")
+        a = local.align_to(context, seq)
+        if a is not None and a.identity >= IDENTITY:
+            info["identity"] = a.identity
+            return call("no_insert", "the vector without the insert")
+        return call("unreadable", "neither the insert nor the vector")
+    second = next(((n, name) for (n, _), _, name in ranked[1:] if n), (0, ""))
+    info.update(matched=leader, runner_up=second[1], confidence=round(1 - second[0] / best, 3))
     if leader != row.clone_id and best >= SWAP_MARGIN * mine:
-        return blank("wrong_clone", matched=leader)
-    flipped = next((r for (n, r), _, name in ranked if name == row.clone_id), False)
-    query = dna.complement_of(seq) if flipped else seq
-    a = local.align_to(row.insert, query)
+        a = local.align_to(dict(panel)[leader], dna.complement_of(seq) if turned else seq)
+        if a is not None:
+            info["identity"] = a.identity
+        return call("wrong_clone", f"{best} {K}-mers of {leader}, {mine} of {row.clone_id}")
+    query = seq
+    if next((r for (_, r), _, name in ranked if name == row.clone_id), False):
+        query = dna.complement_of(seq)
+        notes.append("reverse strand")
+    a = local.align_to(context, query)
     if a is None:
-        return blank("unreadable")
-    coverage = (a.ref_end - a.ref_start) / len(row.insert)
-    info = {"identity": a.identity, "coverage": coverage, "matched": row.clone_id}
-    if coverage < COVERAGE:
-        return blank("low_quality", **info)
-    if sum(c in "RYSWKMBDHV" for c in query) / len(query) >= MIXED:
-        return blank("mixed", **info)
+        return call("unreadable", "no alignment with the expected contig")
+    start = max(context.find(insert), 0)
+    end = start + len(insert)
+    events = _events(a, start, end)
+    info.update(identity=a.identity, coverage=max(0, min(a.ref_end, end) - max(a.ref_start, start)) / len(insert), n=len(events))
+    if info["coverage"] < COVERAGE:
+        return call("low_quality", f"{info['coverage']:.0%} of the insert is covered")
+    mixed = sum(c in "RYSWKMBDHV" for c in query) / len(query)
+    if mixed >= MIXED:
+        return call("mixed", f"{mixed:.1%} of the bases are ambiguous: two templates")
     if a.identity < IDENTITY:
-        return blank("unreadable", **info)
-    events = local.differences(a)
+        return call("unreadable", f"identity {a.identity:.1%} with the expected contig")
     indels = [e for e in events if e[0] != "substitution"]
     if indels:
         net = sum(len(e[3]) if e[0] == "insertion" else -len(e[2]) for e in indels)
-        return blank("frameshift" if net % 3 else "indel", n=len(events), **info)
+        return call("frameshift" if net % 3 else "indel", f"insertions and deletions: {len(indels)}, net {net:+d} bp")
     if not events:
-        return blank("exact", n=0, **info)
-    changed = list(row.insert.upper())
+        return call("exact")
+    observed = list(insert)
     for _, at, _, new in events:
-        changed[at : at + len(new)] = new
-    old, now = (local.translate(s) for s in (row.insert.upper(), "".join(changed)))
-    changes = [f"{x}{i}{y}" for i, (x, y) in enumerate(zip(old, now, strict=True), 1) if x != y]
-    return blank("missense" if changes else "silent", n=len(events), changes=",".join(changes), **info)
+        observed[at - start] = new
+    changes = _protein_changes(insert, "".join(observed))
+    info["changes"] = ";".join(changes)
+    return call("missense", ", ".join(changes[:6])) if changes else call("silent", f"silent changes: {len(events)}")
 
 
 #: Clones of a panel that every task is given; traces of a larger one bring the few they could be taken for.
 MAX_PANEL = 1536
+#: What a call says of its trace besides the verdict.
+CARRIED = ("sample", "mean_quality", "run_started")
 
 
 def call_traces(traces: DataFrame, panel: list[tuple[str, str]] | None) -> DataFrame:
     """A verdict for each matched trace. ``traces`` has file, well, clone_id, sequence, start, end, insert, context.
 
+    ``sample``, ``mean_quality`` and ``run_started`` are carried along if they are there.
     ``panel``: the (clone, insert) of the plate, a few hundred at most; if there is
     none, each trace has its own in an array ``others`` of (place, clone_id, insert).
     """
@@ -188,16 +231,19 @@ def call_traces(traces: DataFrame, panel: list[tuple[str, str]] | None) -> DataF
         names = [f.split()[0] for f in _CALL.split(", ")]
         for batch in batches:
             own = [[(o["clone_id"], o["insert"]) for o in ([] if x is None else x)] for x in batch["others"]] if panel is None else [panel] * len(batch)
-            yield pd.DataFrame([_one(r, p) for r, p in zip(batch.itertuples(index=False), own, strict=True)], columns=names)
+            calls = pd.DataFrame([_one(r, p) for r, p in zip(batch.itertuples(index=False), own, strict=True)], columns=names)
+            yield pd.concat([calls, batch[carried].reset_index(drop=True)], axis=1)
 
-    columns = ["file", "well", "clone_id", "sequence", "start", "end", "insert", "context", *(["others"] if panel is None else [])]
-    return traces.select(*columns).mapInPandas(run, _CALL)
+    carried = [c for c in CARRIED if c in traces.columns]
+    columns = ["file", "well", "clone_id", "sequence", "start", "end", "insert", "context", *carried, *(["others"] if panel is None else [])]
+    return traces.select(*columns).mapInPandas(run, ", ".join([_CALL, *(f"{c} {traces.schema[c].dataType.simpleString()}" for c in carried)]))
 
 
 def verify(traces: DataFrame, expectations: DataFrame, by: str = "well", prefer: str = "latest") -> DataFrame:
-    """Reruns resolved, traces matched and called; superseded runs are not called."""
-    trimmed = resolve_reruns(traces, prefer).where("status <> 'superseded'").withColumn("_trim", mott_trim(F.col("quality")))
-    matched = match_traces(trimmed, expectations, by).select("file", "well", "clone_id", "sequence", F.col("_trim.start").alias("start"), F.col("_trim.end").alias("end"), "insert", "context")
+    """Reruns resolved, traces matched and called; superseded runs are not called. A trace without scores has a mean quality of 0."""
+    mean = F.coalesce(F.aggregate("quality", F.lit(0).cast("long"), lambda t, q: t + F.coalesce(q, F.lit(0))) / F.nullif(F.size("quality"), F.lit(0)), F.lit(0.0))
+    trimmed = resolve_reruns(traces, prefer).where("status <> 'superseded'").withColumns({"_trim": mott_trim(F.col("quality")), "mean_quality": mean})
+    matched = match_traces(trimmed, expectations, by).select("file", "well", "clone_id", "sequence", F.col("_trim.start").alias("start"), F.col("_trim.end").alias("end"), "insert", "context", *CARRIED)
     panel = [(r["clone_id"], r["insert"]) for r in expectations.select("clone_id", "insert").distinct().limit(MAX_PANEL + 1).collect()]
     if len(panel) <= MAX_PANEL:
         return call_traces(matched, panel)

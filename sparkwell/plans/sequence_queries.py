@@ -151,12 +151,17 @@ _CODON_ROWS = ", ".join(f"('{c}', '{r}')" for c, r in dna.CODONS.items())
     WITH c(k, clone_id, s) AS (VALUES {", ".join(f"({k}, '{n}', '{s}')" for k, (n, _, s) in enumerate(CLONES))}), t(codon, residue) AS (VALUES {_CODON_ROWS}),
     r AS (SELECT doc_id, clone_id, s, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN s WHEN 1 THEN concat(substr(s, 1, 100), 'T', substr(s, 102)) WHEN 2 THEN concat(substr(s, 1, 100), substr(s, 102)) WHEN 3 THEN substr(s, 1, 50) WHEN 4 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE concat(substr(s, 1, 99), substr(s, 103)) END AS q FROM documents JOIN c ON c.k = doc_id % 8),
     p AS (SELECT s, q, string_agg(a.residue, '' ORDER BY i) AS old, string_agg(b.residue, '' ORDER BY i) AS now FROM (SELECT DISTINCT s, q, unnest(range(0, 80)) AS i FROM r WHERE length(q) = 240) JOIN t a ON a.codon = substr(s, CAST(3 * i + 1 AS BIGINT), 3) JOIN t b ON b.codon = substr(q, CAST(3 * i + 1 AS BIGINT), 3) GROUP BY 1, 2)
-    SELECT CAST(doc_id AS VARCHAR) AS file, clone_id, CASE WHEN length(q) < 60 THEN 'low_quality' WHEN q = s OR q = reverse(translate(s, 'ACGT', 'TGCA')) THEN 'exact' WHEN length(q) = length(s) THEN CASE WHEN old = now THEN 'silent' ELSE 'missense' END WHEN (length(s) - length(q)) % 3 <> 0 THEN 'frameshift' ELSE 'indel' END AS verdict FROM r LEFT JOIN p USING (s, q)
+    SELECT CAST(doc_id AS VARCHAR) AS file, clone_id, CASE WHEN length(q) < 60 THEN 'low_quality' WHEN q = s OR q = reverse(translate(s, 'ACGT', 'TGCA')) THEN 'exact' WHEN length(q) = length(s) THEN CASE WHEN old = now THEN 'silent' ELSE 'missense' END WHEN (length(s) - length(q)) % 3 <> 0 THEN 'frameshift' ELSE 'indel' END AS verdict,
+           CASE WHEN length(q) >= 60 THEN round(CASE WHEN length(q) < 240 THEN length(q) / 240 WHEN q = reverse(translate(s, 'ACGT', 'TGCA')) OR q = s THEN CAST(1 AS DOUBLE) ELSE 239 / 240 END, 4) END AS identity, CASE WHEN length(q) >= 60 THEN CAST(1 AS DOUBLE) END AS coverage,
+           length(q) AS trimmed_bp, CASE WHEN length(q) >= 60 THEN clone_id END AS matched, CASE WHEN length(q) >= 60 THEN CASE WHEN q = s OR q = reverse(translate(s, 'ACGT', 'TGCA')) THEN 0 ELSE 1 END END AS n_differences,
+           length(q) >= 60 AND q = reverse(translate(s, 'ACGT', 'TGCA')) AS reversed
+    FROM r LEFT JOIN p USING (s, q)
 """)
 def sanger_calls(spark, sf):
     """The verdict on every read; SQL tells it from read and insert, as each read has one change at most."""
     traces, panel = _reads(spark, sf)
-    return sequencing.call_traces(traces, panel).select("file", "clone_id", "verdict")
+    calls = sequencing.call_traces(traces, panel)
+    return calls.select("file", "clone_id", "verdict", F.round("identity", 4).alias("identity"), "coverage", "trimmed_bp", "matched", "n_differences", F.col("notes").contains("reverse strand").alias("reversed"))
 
 
 def _first_of_genes(pool):

@@ -159,7 +159,30 @@ def test_verdicts(read, verdict):
     from collections import namedtuple
 
     row = namedtuple("Row", "file well clone_id sequence start end insert context")("f", "A01", "c1", read, 0, len(read), INSERT, "")
-    assert sequencing._one(row, [("c1", INSERT), ("c2", OTHER)])[3] == verdict
+    panel = [("c1", INSERT), ("c2", OTHER)]
+    assert sequencing._one(row, panel)[3] == verdict
+    # within flanks the same is said, and of the same places
+    flanks = ["".join(random.Random(seed).choices("ACGT", k=80)) for seed in (17, 18)]
+    names = [f.split()[0] for f in sequencing._CALL.split(", ")]
+    wide = row._replace(context=flanks[0] + INSERT + flanks[1])
+    bare, whole = (dict(zip(names, sequencing._one(x, panel), strict=True)) for x in (row, wide))
+    assert whole == bare
+    if verdict == "exact" and read == INSERT:
+        # what lies in the flanks is the vector's; a read of the vector alone has no insert
+        marred = flanks[0][:60] + ("A" if flanks[0][60] != "A" else "C") + flanks[0][61:] + INSERT + flanks[1]
+        call = dict(zip(names, sequencing._one(wide._replace(sequence=marred, end=len(marred)), panel), strict=True))
+        assert (call["verdict"], call["n_differences"], call["coverage"]) == ("exact", 0, 1.0) and call["identity"] < 1
+        assert sequencing._one(wide._replace(sequence=flanks[0], end=80), panel)[3] == "no_insert"
+        # a share of both: the runner-up is named, and lowers the confidence
+        chimera = INSERT + OTHER[:100]
+        call = dict(zip(names, sequencing._one(row._replace(sequence=chimera, end=400), panel), strict=True))
+        assert (call["matched"], call["runner_up"], call["confidence"]) == ("c1", "c2", round(1 - 89 / 289, 3))
+
+
+def test_protein_changes():
+    assert sequencing._protein_changes("ATGAAATAA", "ATGAACTAA") == ["K2N"]
+    assert sequencing._protein_changes("ATGAAATAA", "ATGAAATAC") == ["length 2->3"]
+    assert sequencing._protein_changes("ATGAAATAA", "ATGAAGTGA") == []
 
 
 def test_gotoh_is_optimal():

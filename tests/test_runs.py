@@ -399,6 +399,9 @@ def test_sequencing_run(spark):
     calls = sequencing.verify(traces, sequencing.expectations_from(clones))
     assert {r["file"]: r["verdict"] for r in calls.collect()} == {"f0": "exact", "f1": "wrong_clone", "f2": "low_quality"}
     assert [r["well"] for r in sequencing.usable_wells(calls).collect()] == ["A01"]
+    said = {r["file"]: r for r in calls.collect()}
+    assert (said["f1"]["matched"], said["f1"]["identity"], said["f1"]["mean_quality"], said["f1"]["sample"], said["f1"]["run_started"]) == ("CL2", 1.0, 40.0, "CL1", 1)
+    assert "229" in said["f1"]["notes"] and "40 bp" in said["f2"]["notes"]
 
 
 def test_modes_have_no_vote_of_blanks(spark):
