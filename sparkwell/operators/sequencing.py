@@ -165,7 +165,8 @@ def _one(row, others: list[tuple[str, str]]) -> tuple:
     insert = row.insert.upper()
     context = row.context.upper() if isinstance(row.context, str) and row.context else insert
     panel = [*(x for x in others if x[0] != row.clone_id), (row.clone_id, insert)]
-    ranked = sorted(((local.shared_kmers(seq, ref, K), i, name) for i, (name, ref) in enumerate(panel)), key=lambda x: (-x[0][0], x[1]))[:3]
+    shared = local.shared_kmers(seq, [ref for _, ref in panel], K)
+    ranked = sorted(((s, i, name) for i, (s, (name, _)) in enumerate(zip(shared, panel, strict=True))), key=lambda x: (-x[0][0], x[1]))[:3]
     mine = next((n for (n, _), _, name in ranked if name == row.clone_id), 0)
     (best, turned), _, leader = ranked[0]
     if best < MIN_KMERS:

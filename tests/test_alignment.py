@@ -160,3 +160,18 @@ def test_a_panel_beyond_one_plate(spark, monkeypatch):
         others.setdefault(r["read_id"], []).append((r["place"], r["ref_id"], dict(clones)[r["ref_id"]]))
     brought = traces.join(spark.createDataFrame([(f, sorted(o)) for f, o in others.items()], "file string, others array<struct<place:bigint,clone_id:string,insert:string>>"), "file", "left")
     assert sorted(map(str, sequencing.call_traces(brought, None).collect())) == want and any("wrong_clone" in w for w in want)
+
+
+def test_a_read_found_whole_is_aligned_as_by_the_table():
+    from sparkwell.kernels import local
+
+    rng = random.Random(3)
+    for _ in range(40):
+        reference = word(rng, 200, "ACGT")
+        at, n = rng.randrange(120), rng.randrange(12, 80)
+        query = reference[at : at + n]
+        offset, spread = local.diagonal(query, reference)
+        assert local.align_to(reference, query) == local.align(reference, query, offset, max(local.MIN_BAND, spread + local.MIN_BAND))
+    twice = word(rng, 40, "ACGT")
+    assert local.align_to(twice + twice, twice) is None  # no k-mer stands once
+    assert local.shared_kmers(twice, [twice, local.complement_of(twice), "A" * 30], 12) == [(29, False), (29, True), (0, False)]
