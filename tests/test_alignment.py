@@ -175,3 +175,35 @@ def test_a_read_found_whole_is_aligned_as_by_the_table():
     twice = word(rng, 40, "ACGT")
     assert local.align_to(twice + twice, twice) is None  # no k-mer stands once
     assert local.shared_kmers(twice, [twice, local.complement_of(twice), "A" * 30], 12) == [(29, False), (29, True), (0, False)]
+
+
+def test_consensus_moves_what_differs(spark):
+    """Germlines that are alike give a row for each column that differs and one for the gene, however long they are; before, one for each residue."""
+    rng = random.Random(5)
+    whole = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(3000))
+    other = whole[:1000] + ("A" if whole[1000] != "A" else "C") + whole[1001:]
+    frame = spark.createDataFrame([("G", whole), ("G", other), ("G", other), ("G", whole[5:]), ("H", "XX*B")], "v_gene string, germline_aa string").repartition(3)
+    anchors, votes = alignment._changed_columns(frame, "germline_aa")
+    assert votes.count() == 2 + 1 + 5
+    assert {tuple(r) for r in alignment.consensus_germline(frame).collect()} == {("G", whole, 3), ("H", "XX*B", 1)}
+    assert alignment.column_votes(frame).where("v_gene = 'G'").count() == 3001
+
+
+def test_repeats_take_a_band():
+    """Sequences that repeat one line have no anchors; a band that provably suffices gives the slots of the whole table, and few cells."""
+    rng = random.Random(8)
+    for _ in range(60):
+        line = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.choice((2, 3, 7, 40, 95))))
+        ref = (line * 400)[: rng.randrange(300, 900)]
+        seq = list(ref)
+        for _ in range(rng.randrange(4)):
+            seq[rng.randrange(len(seq))] = rng.choice("ACDEFGHIKLMNPQRSTVWYX")
+        kind = rng.randrange(5)
+        seq = "".join(seq[20:] if kind == 0 else seq[:-15] if kind == 1 else seq[:100] + seq[101:] if kind == 2 else seq[:50] + ["W"] + seq[50:] if kind == 3 else seq)
+        assert anchored.align([ref], [seq])[0][0].tolist() == gotoh.slots(ref, seq).tolist(), (ref, seq)
+    ref = "RETINLY" * 900
+    seq = "".join("W" if i % 1009 == 150 else c for i, c in enumerate(ref))
+    assert anchored.align([ref], [seq])[1] == 0
+    part = anchored.Part(anchored.encode(ref), anchored.encode(seq), 0, 0, 0, True, True)
+    low, high = anchored.band(part)
+    assert high - low < 100
