@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwell.kernels import greedy, trim
-from sparkwell.operators import assign, plates, quantiles, selection, similar
+from sparkwell.operators import assign, plates, quantiles, selection, sequencing, similar
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -191,3 +191,37 @@ def test_a_barcode_on_two_plates_is_unresolved(spark):
     codes = spark.createDataFrame([("BC7", "P1"), ("BC7", "P2"), ("BC8", "P3"), ("BC8", "P3")], "barcode string, plate_id string")
     got = {r["grid_id"]: (r["source"], r["plate_id"], r["confidence"], r["alternatives"]) for r in assign.by_barcode(grids, codes).collect()}
     assert got == {1: ("unresolved", None, 0.0, ["P1", "P2"]), 2: ("barcode", "P3", 0.99, [])}
+
+
+def test_batches_are_gone_through_in_parts(spark):
+    """No helper holds more than a part of a batch; before, all rows of one were objects at once."""
+    import pyarrow as pa
+
+    from sparkwell.operators.spread import sliced
+
+    batch = pa.RecordBatch.from_pydict({"q": [[1] * n for n in (5, 0, 7, 30, 2, 2)], "s": ["abc", None, "", "x", "y", "z"]})
+    parts = list(sliced(batch, rows=3, size=12))
+    assert [p["q"].to_pylist() for p in parts] == [batch["q"].to_pylist()[a:b] for a, b in ((0, 2), (2, 3), (3, 4), (4, 6))]
+    assert [len(p) for p in sliced(batch, rows=4)] == [4, 2] and list(sliced(batch.slice(0, 0))) == []
+    assert trim._coded([np.array([3, 40], np.int32), np.array([0], np.int32)])[0].dtype == np.uint8  # 1 byte a score; before, 8 in each of four arrays
+    wide = [np.array([70000, 3, 3] * 20), np.array([-1, 300] * 20), np.array([2.5] * 30)]
+    for some in (wide, wide[:1], wide[1:2], [np.array([300, 4] * 20)]):
+        assert [tuple(x) for x in trim.best_segments(some, 20, 20).tolist()] == [folded(a.tolist(), 20, 20) for a in some]
+    rng = random.Random(9)
+    rows = [(i, [rng.randint(0, 60) for _ in range(rng.choice((0, 30, 400)))] if i % 7 else None) for i in range(3000)]
+    frame = spark.createDataFrame([*rows, (-1, [40, None, 40] * 20)], "i int, q array<int>").coalesce(1)
+    got = {r["i"]: r["t"] and tuple(r["t"]) for r in frame.select("i", sequencing.mott_trim(F.col("q")).alias("t")).collect()}
+    assert got == {i: q if q is None else folded(q, 20, 20) for i, q in rows} | {-1: folded([40, 0, 40] * 20, 20, 20)}
+
+
+def test_codon_choice_in_parts(spark):
+    """Rows, columns and nulls beside the protein stay as they are over parts of a batch."""
+    from sparkwell.kernels import codon
+    from sparkwell.operators import construct
+
+    rows = [(i, "MKVLAGGS" * (1 + i % 5), None if i % 3 else "x") for i in range(600)] + [(600, "MXM", "y"), (601, "", None)]
+    got = {r["i"]: r for r in construct.optimize_codons(spark.createDataFrame(rows, "i int, insert_aa_seq string, note string").coalesce(1)).collect()}
+    assert len(got) == len(rows)
+    for i, protein, note in rows:
+        made = codon.optimize(protein, ("BsaI", "BsmBI", "BbsI"))
+        assert tuple(got[i])[1:] == (protein, note, made.dna, made.gc_swaps, made.sites_removed, "; ".join(made.problems))
