@@ -207,3 +207,24 @@ def test_repeats_take_a_band():
     part = anchored.Part(anchored.encode(ref), anchored.encode(seq), 0, 0, 0, True, True)
     low, high = anchored.band(part)
     assert high - low < 100
+
+
+def test_equal_reads_are_judged_once(monkeypatch):
+    """Before, each of equal reads was aligned anew."""
+    from types import SimpleNamespace
+
+    from sparkwell.operators import sequencing
+
+    rng = random.Random(3)
+    insert, other = ("".join(rng.choice("ACGT") for _ in range(240)) for _ in range(2))
+    changed = insert[:100] + ("A" if insert[100] != "A" else "C") + insert[101:]
+    kinds = [(changed, "A", insert), (changed.lower(), "A", insert), (changed, "B", other), (insert, "A", insert), (insert, "A", None), (insert, None, float("nan")), (insert[:40], "A", insert)]
+    rows = [SimpleNamespace(file=str(i), well=f"A{i % 12}", clone_id=c, sequence=s, start=0, end=len(s), insert=x, context="") for i, (s, c, x) in enumerate(kinds * 20)]
+    panel, wide = [("A", insert), ("B", other)], [("A", insert)]
+    others = [panel if i % 2 else wide for i in range(len(rows))]
+    want = [sequencing._one(r, p) for r, p in zip(rows, others, strict=True)]
+    seen = []
+    one = sequencing._one
+    monkeypatch.setattr(sequencing, "_one", lambda row, p: seen.append(row) or one(row, p))
+    got = sequencing._all(iter(rows), others)
+    assert list(map(str, got)) == list(map(str, want)) and len(seen) == 12
