@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wells
@@ -22,11 +22,16 @@ def generic(transfers: DataFrame, plate_format: int = 96) -> DataFrame:
     return transfers.select("ordinal", F.lit(0).alias("sub"), F.concat_ws(",", well("source_well"), well("dest_well"), F.format_string("%.2f", F.col("volume_ul"))).alias("line"))
 
 
+def _two_places(volume: str) -> Column:
+    """Through a decimal: a formatter for each line costs more than all else, and is left to what is no positive number of that size."""
+    v = F.col(volume)
+    return F.coalesce(F.when(v > 0, v.try_cast("decimal(18,2)").cast("string")), F.format_string("%.2f", v.cast("double")))
+
+
 @INSTRUMENTS.register("tecan_evo", confidence="documented", suffix=".gwl")
 def tecan_evo(transfers: DataFrame, plate_format: int = 96, source_label: str = "Source", dest_label: str = "Destination", liquid_class: str = "", wash: bool = True) -> DataFrame:
     """(ordinal, sub, line): aspirate, dispense and wash lines of each transfer; positions run down the columns from 1."""
-    # two places through a decimal: a formatter for each line costs more than all else
-    volume = F.coalesce(F.col("volume_ul").cast("decimal(18,2)").cast("string"), F.lit("null"))
+    volume = _two_places("volume_ul")
     record = lambda letter, label, well: F.concat(F.lit(f"{letter};{label};;;"), F.coalesce(wells.column_major(F.col(well), plate_format).cast("string"), F.lit("null")), F.lit(";;"), volume, F.lit(f";{liquid_class};;;"))
     lines = [record("A", source_label, "source_well"), record("D", dest_label, "dest_well"), *([F.lit("W1;")] if wash else [])]
     return transfers.select("ordinal", F.posexplode(F.array(*lines)).alias("sub", "line"))
@@ -36,7 +41,7 @@ def tecan_evo(transfers: DataFrame, plate_format: int = 96, source_label: str =
 def opentrons(transfers: DataFrame, plate_format: int = 96) -> DataFrame:
     """(ordinal, sub, line): the transfer calls of a protocol; ``protocol_text`` puts them into a program."""
     well = lambda c: wells.normalize(F.col(c), plate_format, strict=True)
-    return transfers.select("ordinal", F.lit(0).alias("sub"), F.format_string('    pipette.transfer(%.2f, source["%s"], destination["%s"])', F.col("volume_ul"), well("source_well"), well("dest_well")).alias("line"))
+    return transfers.select("ordinal", F.lit(0).alias("sub"), F.concat(F.lit("    pipette.transfer("), _two_places("volume_ul"), F.lit(', source["'), F.coalesce(well("source_well"), F.lit("null")), F.lit('"], destination["'), F.coalesce(well("dest_well"), F.lit("null")), F.lit('"])')).alias("line"))
 
 
 def protocol_text(lines: list[str], pipette: str = "p300_single_gen2", tiprack: str = "opentrons_96_tiprack_300ul", labware: str = "corning_96_wellplate_360ul_flat", level: str = "2.14") -> str:

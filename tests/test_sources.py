@@ -104,3 +104,15 @@ def test_bundle(spark, tmp_path):
     b.write_table("t", spark.range(3))
     b.close()
     assert read_manifest(tmp_path / "run")["sections"]["s"] == {"a": 1, "b": [1, 2]} and "1 files" in describe(tmp_path / "run")
+
+
+def test_volumes_of_lines(spark):
+    """Two places as a formatter writes them, for any number; only odd ones go to the formatter, before, all did."""
+    from pyspark.sql import functions as F
+
+    from sparkwell.sinks import worklists
+
+    volumes = [1.0, 0.125, 1.005, 49.999, 2.675, 0.0, -0.001, -3.5, 1e17, float("nan"), None]
+    frame = spark.createDataFrame([(i, "A1", "b02" if i % 2 else None, v) for i, v in enumerate(volumes)], "ordinal int, source_well string, dest_well string, volume_ul double")
+    want = {r["ordinal"]: r["x"] for r in frame.select("ordinal", F.format_string('    pipette.transfer(%.2f, source["%s"], destination["%s"])', "volume_ul", F.lit("A01"), F.when(F.col("dest_well").isNotNull(), "B02")).alias("x")).collect()}
+    assert {r["ordinal"]: r["line"] for r in worklists.emit(frame, "opentrons", allow_unverified=True).collect()} == want
