@@ -228,3 +228,23 @@ def test_equal_reads_are_judged_once(monkeypatch):
     monkeypatch.setattr(sequencing, "_one", lambda row, p: seen.append(row) or one(row, p))
     got = sequencing._all(iter(rows), others)
     assert list(map(str, got)) == list(map(str, want)) and len(seen) == 12
+
+
+def test_one_strand_screen_cuts_only_likely_kmers(spark, monkeypatch):
+    """The same rows with and without the table, letters of any case and script included; before, every k-mer of a read was a row."""
+    from sparkwell.operators import screen
+
+    rng = random.Random(4)
+    alphabet = "acgtACGTN \u00e9\u00df\u0130\u03c3\U00010400"
+    refs = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(6)] + ["short", None, "the quick brown fox"]
+    reads = [refs[i % 6][5:40].swapcase() + "".join(rng.choice(alphabet) for _ in range(50)) for i in range(40)] + [None, "", "THE QUICK brown dog"]
+    known = spark.createDataFrame(list(enumerate(refs)), "ref_id int, seq string")
+    rows = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    got = sorted(map(tuple, screen.screen_one_strand(rows, known).collect()))
+    monkeypatch.setattr(screen, "MAX_KMERS", 0)
+    assert got == sorted(map(tuple, screen.screen_one_strand(rows, known).collect())) and len(got) > 20
+    plain = "".join(rng.choice("acgt ") for _ in range(5000))
+    import pyarrow as pa
+
+    cut = list(screen._likely([plain[100:112].upper()], 12)(iter([pa.RecordBatch.from_pydict({"read_id": [1], "seq": [plain]})])))
+    assert 1 <= sum(len(c) for c in cut) <= 10
