@@ -248,3 +248,17 @@ def test_one_strand_screen_cuts_only_likely_kmers(spark, monkeypatch):
 
     cut = list(screen._likely([plain[100:112].upper()], 12)(iter([pa.RecordBatch.from_pydict({"read_id": [1], "seq": [plain]})])))
     assert 1 <= sum(len(c) for c in cut) <= 10
+
+
+def test_short_numbers_equal_long_ones(monkeypatch):
+    """Two bytes for a cell, also over more letters than two bytes count and with the way back in blocks."""
+    rng = np.random.default_rng(11)
+    parts = [anchored.Part(*(rng.integers(0, 20, n).astype(np.uint8) for n in (60 + k, size)), k, 0, 0, k < 2, k < 2) for k, size in enumerate((36_000, 500, 90, 40))]
+    batch = anchored._Batch(parts)
+    assert batch.start().dtype == np.int16
+    got = batch.slots()
+    monkeypatch.setattr(anchored, "SHORT", 0)
+    monkeypatch.setattr(anchored, "KEPT_BYTES", 1 << 20)
+    batch = anchored._Batch(parts)
+    assert batch.start().dtype == np.int32
+    assert all((a == b).all() for a, b in zip(got, batch.slots(), strict=True))
