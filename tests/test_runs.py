@@ -407,3 +407,13 @@ def test_sequencing_run(spark):
 def test_modes_have_no_vote_of_blanks(spark):
     frame = spark.createDataFrame([("a", ""), ("a", None), ("a", "x"), ("b", "y"), ("b", "z")], "k string, v string")
     assert {(r["k"], r["v"], r["votes"]) for r in alignment.modal(frame, ["k"], "v").collect()} == {("a", "x", 1), ("b", "y", 1)}
+
+
+def test_link_counts_once(spark):
+    """Old links stay as often as they are, new ones come once, without a join of both sides."""
+    schema = "parent_id long, child_id long, relationship string"
+    old = spark.createDataFrame([(1, 2, "made"), (1, 2, "made"), (3, None, "used")], schema)
+    new = spark.createDataFrame([(1, 2, "made"), (1, 2, "used"), (1, 2, "used"), (3, None, "used")], schema)
+    out = ledger.link(old, new)
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 2, "made"), (1, 2, "made"), (1, 2, "used"), (3, None, "used")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
