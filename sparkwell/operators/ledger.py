@@ -78,16 +78,47 @@ def children(links: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("obj_id").distinct().join(links.withColumnRenamed("parent_id", "obj_id"), "obj_id").select("obj_id", "child_id", "relationship")
 
 
+#: From so many starts on, those above others of them are looked for first.
+MANY_STARTS = 10_000
+
+
 def lineage(links: DataFrame, starts: DataFrame, direction: str = "up", levels: int | None = None) -> DataFrame:
     """(start, obj_id, depth): everything above or below each start, at the least depth; the start itself is left out.
 
-    Breadth first: each round joins the open ends with the links and keeps what
-    is new, so a cycle ends and an ancestor that many paths reach is walked once.
-    Rounds go on until nothing is new; ``levels`` asks for that many only.
+    Many starts may stand on few others: then what is above those is found first, by the
+    same rule, and the others' lineage is that of their parents, one deeper, and the parents. A shortest way leads
+    through a parent, so this holds on cycles too. Other starts are searched breadth first: each round joins
+    the open ends with the links and keeps what is new, so a cycle ends and an ancestor that
+    many paths reach is walked once. Rounds go on until nothing is new; ``levels`` asks for that many only.
     """
     a, b = ("child_id", "parent_id") if direction == "up" else ("parent_id", "child_id")
     edges = links.select(F.col(a).alias("_from"), F.col(b).alias("obj_id")).distinct()
-    ends = starts.select(F.col("obj_id").alias("start"), "obj_id").distinct().withColumn("depth", F.lit(0))
+    wanted = starts.select(F.col("obj_id").alias("start")).distinct()
+    if levels is not None:
+        return _breadth_first(edges, wanted, levels)
+    return _lineage(checkpointed(edges), wanted)
+
+
+def _lineage(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Those above the starts first if they are fewer by a fourth, else all breadth first."""
+    starts = checkpointed(starts)
+    n = starts.count()
+    if n < MANY_STARTS:
+        return _breadth_first(edges, starts)
+    first = edges.join(starts.withColumnRenamed("start", "_from"), "_from", "left_semi")
+    above = checkpointed(first.select(F.col("obj_id").alias("start")).distinct())
+    if 4 * above.count() > 3 * n:
+        return _breadth_first(edges, starts)
+    known = checkpointed(_lineage(edges, above))
+    # starts whose lineage is not known yet
+    first = first.join(above.withColumnRenamed("start", "_from"), "_from", "left_anti").withColumnRenamed("_from", "start")
+    through = first.select("start", F.col("obj_id").alias("_via")).join(known.withColumnRenamed("start", "_via"), "_via").select("start", "obj_id", F.col("depth") + 1)
+    found = first.select("start", "obj_id", F.lit(1).alias("depth")).union(through).where(~F.col("start").eqNullSafe(F.col("obj_id")))
+    return known.join(starts, "start", "left_semi").select("start", "obj_id", "depth").unionByName(found.groupBy("start", "obj_id").agg(F.min("depth").alias("depth")))
+
+
+def _breadth_first(edges: DataFrame, starts: DataFrame, levels: int | None = None) -> DataFrame:
+    ends = starts.select("start", F.col("start").alias("obj_id")).withColumn("depth", F.lit(0))
     seen, depth = ends, 0
     while levels is None or depth < levels:
         depth += 1

@@ -417,3 +417,26 @@ def test_link_counts_once(spark):
     out = ledger.link(old, new)
     assert sorted(map(tuple, out.collect()), key=str) == [(1, 2, "made"), (1, 2, "made"), (1, 2, "used"), (3, None, "used")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lineage_of_many_starts_is_that_of_their_parents(spark, monkeypatch):
+    """Halving graphs with a cycle at the root and ways of unequal length, against a search of each start."""
+    n = 300
+    links = sorted({(k // 2, k) for k in range(1, n)} | {(k // 3, k) for k in range(1, n)} | {(7, 0), (1, 0)})
+    up = {k: {p for p, c in links if c == k} for k in range(n)}
+    wanted = set()
+    for start in range(n):
+        seen, ends, depth = {start}, {start}, 0
+        while ends:
+            depth += 1
+            ends = {p for e in ends for p in up[e]} - seen
+            seen |= ends
+            wanted |= {(start, e, depth) for e in ends}
+    frame = spark.createDataFrame([(p, c, "made") for p, c in links], "parent_id long, child_id long, relationship string")
+    monkeypatch.setattr(ledger, "MANY_STARTS", 20)
+    searched = []
+    search = ledger._breadth_first
+    monkeypatch.setattr(ledger, "_breadth_first", lambda edges, starts, levels=None: searched.append(starts.count()) or search(edges, starts, levels))
+    got = ledger.lineage(frame, spark.range(n).withColumnRenamed("id", "obj_id")).collect()
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    assert searched == [searched[0]] and searched[0] < 40
