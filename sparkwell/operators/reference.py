@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.request import Request, urlopen
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import imgt
 from ..functions.imgt import ANCHORS
@@ -71,6 +74,15 @@ def coverage_report(genes: DataFrame, sources: list[tuple[str, DataFrame]], deri
 # ---------------------------------------------------------------- germline by column
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq_id, position, residue) of (seq_id, positions, residues, same) rows that are the same and have as many of both."""
+    for batch in batches:
+        n, held = (pc.fill_null(pc.list_value_length(batch.column(i)), -1) for i in (1, 2))
+        kept = batch.filter(pc.and_(pc.fill_null(batch.column(3), False), pc.and_(pc.equal(n, held), pc.greater(n, 0))))
+        ids = kept.column(0).take(pc.list_parent_indices(kept.column(1)))
+        yield pa.RecordBatch.from_arrays([ids, pc.list_flatten(kept.column(1)), pc.list_flatten(kept.column(2))], names=["seq_id", "position", "residue"])
+
+
 def germline_by_column(rows: DataFrame, numbering: str = "anarci_numbering", gapped: str = "aa_gapped", germline: str = "germline_aa") -> DataFrame:
     """(seq_id, position, residue) of each row's germline in numbered columns.
 
@@ -81,9 +93,9 @@ def germline_by_column(rows: DataFrame, numbering: str = "anarci_numbering", gap
     maps = F.flatten(F.transform(F.map_values(imgt.parse_numbering(F.col(numbering))), lambda m: F.map_keys(m)))
     keys = F.transform(F.array_sort(F.transform(F.array_distinct(F.transform(maps, lambda p: F.trim(p))), lambda p: F.struct(imgt.position_key(p).alias("k"), p.alias("p")))), lambda x: x["p"])
     pairs = F.filter(F.zip_with(F.split(gapped, ""), F.split(germline, ""), lambda s, g: F.struct(s.alias("s"), g.alias("g"))), lambda x: ~x["s"].isin(".", "-", ""))
-    same = (F.length(gapped) == F.length(germline)) & (F.size(pairs) == F.size(keys)) & (F.size(keys) > 0)
-    each = rows.select("seq_id", keys.alias("_k"), pairs.alias("_p"), same.alias("_same")).where("_same")
-    return each.select("seq_id", F.explode(F.arrays_zip("_k", "_p")).alias("x")).select("seq_id", F.col("x._k").alias("position"), F.col("x._p.g").alias("residue"))
+    each = rows.select("seq_id", keys.alias("_k"), F.transform(pairs, lambda x: x["g"]).alias("_g"), (F.length(gapped) == F.length(germline)).alias("_same"))
+    # a filter over these lists would be moved below them, and make them and the sequences once more for each place that names them
+    return each.mapInArrow(_agreeing, T.StructType([rows.schema["seq_id"], *T.StructType.fromDDL("position string, residue string")]))
 
 
 def germline_row(rows: DataFrame, **columns: str) -> DataFrame:

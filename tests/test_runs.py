@@ -440,3 +440,13 @@ def test_lineage_of_many_starts_is_that_of_their_parents(spark, monkeypatch):
     got = ledger.lineage(frame, spark.range(n).withColumnRenamed("id", "obj_id")).collect()
     assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
     assert searched == [searched[0]] and searched[0] < 40
+
+
+def test_germline_columns_make_sequences_once(spark):
+    """A filter on the columns must not make the sequences again for each place that names them."""
+    rows = spark.createDataFrame([("a", "x1ACx", "AC", "GT"), ("b", "A-C", "A-C", "GTW"), ("c", "AC", "AC", "G")], "seq_id string, raw string, gapped string, germline string")
+    numbering = F.concat(F.lit("{'fwh1': {'1 ': 'A', '2 ': 'C'"), F.regexp_replace("raw", ".", ""), F.lit("}}"))
+    frame = rows.select("seq_id", numbering.alias("anarci_numbering"), F.col("gapped").alias("aa_gapped"), F.col("germline").alias("germline_aa"))
+    out = reference.germline_by_column(frame)
+    assert sorted(map(tuple, out.collect())) == [("a", "1", "G"), ("a", "2", "T"), ("b", "1", "G"), ("b", "2", "W")]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
