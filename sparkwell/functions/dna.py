@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Complements of the IUPAC letters, either case.
 _IUPAC, _COMPLEMENT = "ACGTRYSWKMBDHVNacgtryswkmbdhvn", "TGCAYRSWMKVHDBNtgcayrswmkvhdbn"
@@ -35,8 +38,24 @@ def codons(dna: Column) -> Column:
 
 def translate(dna: Column) -> Column:
     """Residues of the codons, with a star for a stop and X for what is no codon."""
-    table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
-    return F.array_join(F.transform(codons(dna), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    return F.arrow_udf(_translated, T.StringType())(dna)
+
+
+#: A number for each byte, 4 for what is no base; and the residue of three of them.
+_BASE = np.full(256, 4, np.uint8)
+_BASE[[ord(b) for b in "TCAG"]] = range(4)
+_RESIDUE = np.full((5, 5, 5), ord("X"), np.uint8)
+_RESIDUE[:4, :4, :4] = np.frombuffer(_CODE.encode(), np.uint8).reshape(4, 4, 4)
+
+
+def _translated(sequences: pa.Array) -> pa.Array:
+    """One byte for each character, so that three are a codon; evaluated once, however often an expression names it."""
+
+    def residues(text: str) -> str:
+        codes = _BASE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)[: len(text) // 3 * 3]].reshape(-1, 3)
+        return _RESIDUE[codes[:, 0], codes[:, 1], codes[:, 2]].tobytes().decode()
+
+    return pa.array((residues(x.as_py()) if x.is_valid else None for x in sequences), pa.string())
 
 
 def homopolymers(dna: Column, limit: int = 6) -> Column:

@@ -442,6 +442,17 @@ def test_lineage_of_many_starts_is_that_of_their_parents(spark, monkeypatch):
     assert searched == [searched[0]] and searched[0] < 40
 
 
+def test_translation_is_made_once(spark):
+    """However often the problems of an assembly name it; characters beyond ASCII are one each, a rest is no codon."""
+    from sparkwell.functions import dna
+
+    rows = spark.createDataFrame([("ATGTAAG",), ("atgGCéNNNTGG𝄞C",), ("",), (None,)], "s string")
+    assert [r[0] for r in rows.select(dna.translate(F.col("s"))).collect()] == ["M*", "XXXW", "", None]
+    vector = construct.Vector("v", upstream="GCTAGC", downstream="TCTAGA", coding_before="ATGGGATCC", coding_after="AAGCTT")
+    plan = rows.select(construct.assembly_problems(F.col("s"), F.col("s"), vector, F.lit("MGS")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [_translated(") == 1 and plan.count("pythonUDF0#") and "pythonUDF1#" not in plan
+
+
 def test_germline_columns_make_sequences_once(spark):
     """A filter on the columns must not make the sequences again for each place that names them."""
     rows = spark.createDataFrame([("a", "x1ACx", "AC", "GT"), ("b", "A-C", "A-C", "GTW"), ("c", "AC", "AC", "G")], "seq_id string, raw string, gapped string, germline string")
