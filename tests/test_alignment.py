@@ -262,3 +262,42 @@ def test_short_numbers_equal_long_ones(monkeypatch):
     batch = anchored._Batch(parts)
     assert batch.start().dtype == np.int32
     assert all((a == b).all() for a, b in zip(got, batch.slots(), strict=True))
+
+
+def test_pairs_of_one_reference_are_swept(monkeypatch):
+    """All along antidiagonals, not one after the other in the old batches; also with short numbers or long ones, few kept steps and tables, and sequences that leave early."""
+    from sparkwell.kernels import sweep
+
+    rng = random.Random(12)
+    ref = word(rng, 500)
+    seqs = [word(rng, rng.choice((1, 3, 60, 499, 500, 501, 900, 2500))) for _ in range(60)] + [changed(rng, ref[100:], 0.3, 0.1) for _ in range(10)] + ["AC" * 300, ref[:7]]
+    want = [gotoh.slots(ref, s).tolist() for s in seqs]
+    codes = anchored.encode(ref)
+    held = [anchored.Part(codes, anchored.encode(s), k, 0, 0, k % 2 == 0, k % 3 == 0) for k, s in enumerate(seqs)]
+    ends = [anchored._Batch([p]).slots()[0].tolist() for p in held]
+    monkeypatch.setattr(anchored, "_Batch", None)
+    got, whole = anchored.align([ref] * len(seqs), seqs)
+    assert [w.tolist() for w in got] == want and whole > 50
+    for values in ({"LEAST_STEPS": 8, "STRETCH": 20, "CELLS": 3000}, {"LOW": -1000, "TOGETHER": 5}, {"KEPT": 1 << 16}):
+        for k, v in values.items():
+            monkeypatch.setattr(sweep, k, v)
+        assert [w.tolist() for w in sweep.slots(anchored._SWEEP, codes, [anchored.encode(s) for s in seqs])] == want
+        for p, w in zip(held, ends, strict=True):
+            assert sweep.slots(anchored._SWEEP, codes, [p.seq], p.free_start, p.free_end)[0].tolist() == w
+
+
+def test_changes_are_handed_on_in_parts(monkeypatch):
+    """Before, all changes of a batch were one batch, some thousand times as long; letters of any script are kept."""
+    import pyarrow as pa
+
+    rows = [(f"s{k}", "ACDEFé\U00010400", ("", "ACWEFé\U00010400", "ACDEFe")[k % 3]) for k in range(30)]
+    monkeypatch.setattr(alignment, "MOST_CHANGES", 20)
+    parts = list(alignment._changed(iter([pa.RecordBatch.from_pydict(dict(zip(("seq_id", "germline_aa", "aa_seq"), map(list, zip(*rows)), strict=True)))])))
+    assert len(parts) > 3 and max(map(len, parts)) <= 28
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    want = []
+    for name, ref, seq in rows:
+        top, bottom = gotoh.align_pair(ref, seq)
+        on = [(a, b) for a, b in zip(top, bottom, strict=True) if a != "-"]
+        want += [(name, i + 1, a, b) for i, (a, b) in enumerate(on) if a != b]
+    assert got == want
