@@ -225,3 +225,49 @@ def test_codon_choice_in_parts(spark):
     for i, protein, note in rows:
         made = codon.optimize(protein, ("BsaI", "BsmBI", "BbsI"))
         assert tuple(got[i])[1:] == (protein, note, made.dna, made.gc_swaps, made.sites_removed, "; ".join(made.problems))
+
+
+def test_codon_rounds_equal_single_swaps():
+    """Rounds told from the numbers of residues give what one swap after the other gives; repairs judged on a piece give what whole windows give. Before, each swap was sorted and each repair looked at a whole window."""
+    import re
+
+    from sparkwell.functions import dna
+    from sparkwell.kernels import codon
+
+    def flaws(text, sites):
+        found = [(m.start(), m.start() + len(s), True) for s in sites for m in re.finditer(f"(?={s})", text)]
+        return sorted(found + [(m.start(), m.end(), False) for m in re.finditer(r"([ACGT])\1{5,}", text)])
+
+    def repaired(protein, text, sites):
+        worth = lambda t: sum(1000 if x else b - a for a, b, x in flaws(t, sites))
+        picked, n = [text[i : i + 3] for i in range(0, len(text), 3)], 0
+        around = lambda i, j: "".join(picked[max(0, i - codon.MARGIN) : j + codon.MARGIN])
+        waiting = [(x // 3, (y + 2) // 3) for x, y, _ in reversed(flaws(text, sites))]
+        while waiting:
+            first, last = waiting.pop()
+            now, best = worth(around(first, last)), None
+            for i in range(first, last) if now else ():
+                old = picked[i]
+                for c in codon.CHOICES[protein[i]]:
+                    picked[i] = c
+                    if c != old and (s := worth(around(first, last))) < now:
+                        best = min(best or (s, -codon.USAGE[protein[i]][c], i, c), (s, -codon.USAGE[protein[i]][c], i, c))
+                picked[i] = old
+            if best:
+                picked[best[2]], n, base = best[3], n + 1, max(0, first - codon.MARGIN)
+                waiting += [(base + x // 3, base + (y + 2) // 3) for x, y, _ in reversed(flaws(around(first, last), sites))] if best[0] else []
+        return "".join(picked), n
+
+    rng = random.Random(21)
+    enzymes = ("BsaI", "BsmBI", "BbsI")
+    sites, swaps, repairs = dna.sites_to_avoid(list(enzymes)), 0, 0
+    for k in range(240):
+        letters = ("ACDEFGHIKLMNPQRSTVWY", "GAPR", "FKNIYM", "KFGP", "EDVLSR", "MW")[k % 6]
+        protein = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 11, 12, 13, 40, 400))))
+        text, n = codon._few_balanced(protein)
+        assert codon._balanced(protein) == (text, n), protein
+        made = codon.optimize(protein, enzymes)
+        assert (made.dna, made.gc_swaps, made.sites_removed) == (repaired(protein, text, sites)[0], n, repaired(protein, text, sites)[1]), protein
+        assert flaws(made.dna, sites) == codon._flaws(made.dna, sites)
+        swaps, repairs = swaps + n, repairs + made.sites_removed
+    assert swaps > 1000 and repairs > 100
