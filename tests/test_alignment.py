@@ -301,3 +301,48 @@ def test_changes_are_handed_on_in_parts(monkeypatch):
         on = [(a, b) for a, b in zip(top, bottom, strict=True) if a != "-"]
         want += [(name, i + 1, a, b) for i, (a, b) in enumerate(on) if a != b]
     assert got == want
+
+
+def test_bands_are_stepped_through_together():
+    """Pairs of a band, some at a time, give the slots of their whole tables; before, each was stepped through by itself, row by row."""
+    from sparkwell.kernels import sweep
+
+    rng = random.Random(17)
+    bands, want = [], []
+    for k in range(60):
+        ref = word(rng, rng.choice((7, 20, 90, 200)), RESIDUES if k % 3 else "AC")
+        seq = changed(rng, ref, 0.05, 0.02) or "A"
+        start, end = k % 2 == 0, k % 5 < 3
+        where = anchored._Batch([anchored.Part(anchored.encode(ref), anchored.encode(seq), 0, 0, 0, start, end)]).slots()[0]
+        passed = [0, len(ref) - len(seq)]
+        for j, s in enumerate(where.tolist()):
+            passed += [(s + 1) // 2 - j - 1, s // 2 - j, (s + 1) // 2 - j]
+        bands.append(sweep.Band(anchored.encode(ref), anchored.encode(seq), min(passed) - k % 3, max(passed) + k % 4, start, end))
+        want.append(where.tolist())
+    assert [w.tolist() for w in sweep.banded(anchored._SWEEP, bands)] == want
+    assert [sweep.banded(anchored._SWEEP, [b])[0].tolist() for b in bands] == want
+
+
+def test_a_part_of_the_reference_needs_no_chain(monkeypatch):
+    """A sequence that is one place of the reference lies there, others are aligned as before."""
+    rng = random.Random(18)
+    ref = word(rng, 400) + "ACD" * 200
+    seqs = [ref, ref[20:], ref[7:90], "ACD" * 150, "XX" + ref[10:], ref[:100].lower()]
+    assert [w.tolist() for w in anchored.align([ref] * 6, seqs)[0]] == [gotoh.slots(ref, s).tolist() for s in seqs]
+    monkeypatch.setattr(anchored, "_chained", None)
+    assert anchored.align([ref] * 3, seqs[:3])[1] == 0
+
+
+def test_germlines_are_made_once(spark):
+    """Before, the rows of a consensus were made four times: for their size, for the anchors twice, and for the alignment."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("G", "ACDEFGHIKL"), ("G", "ACDEFGHIK"), ("G", "ACWEFGHIKL"), ("H", "AC-D"), ("H", " "), (None, "A")], "v_gene string, germline_aa string")
+    got = alignment.consensus_germline(rows.mapInArrow(counted, rows.schema)).collect()
+    assert {tuple(r) for r in got} == {("G", "ACDEFGHIKL", 3), ("H", "ACD", 1)}
+    assert made.value == 6
