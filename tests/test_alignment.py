@@ -346,3 +346,26 @@ def test_germlines_are_made_once(spark):
     got = alignment.consensus_germline(rows.mapInArrow(counted, rows.schema)).collect()
     assert {tuple(r) for r in got} == {("G", "ACDEFGHIKL", 3), ("H", "ACD", 1)}
     assert made.value == 6
+
+
+def test_pairs_are_aligned_in_parts(monkeypatch):
+    """Before, the slots of a whole batch of up to 10,000 pairs were held at once."""
+    import pyarrow as pa
+
+    sizes, align = [], anchored.align
+    monkeypatch.setattr(alignment, "MOST_PAIRS", 7)
+    monkeypatch.setattr(anchored, "align", lambda refs, seqs: sizes.append(len(refs)) or align(refs, seqs))
+    batch = pa.RecordBatch.from_pydict({"seq_id": [str(k) for k in range(20)], "germline_aa": ["ACD"] * 20, "aa_seq": ["AC"] * 20})
+    assert sum(len(b) for b in alignment._changed(iter([batch]))) == 20 and sizes == [7, 7, 6]
+
+
+def test_residues_of_odd_texts(spark):
+    """One pass over a text gives what the two of the SQL give."""
+    from pyspark.sql import functions as F
+
+    from sparkwell.plans import derive
+
+    odd = ["", "Ünïcödé ıİſK straße", "abcdefghijklmnopqrstuvwxyz ABCXYZ 019_-\n\t", "BJOUXZ bjouxz", "\U0001d400AİiKK", None]
+    frame = spark.createDataFrame([(t,) for t in odd], "text string")
+    plain = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    assert all(a == b for a, b in frame.select(derive.protein(), plain).collect())
